@@ -1,6 +1,12 @@
 """The checked queries, by operator name."""
 
-from stforecast.plans.catalog import prepare  # noqa: F401
+from stforecast.plans.catalog import (  # noqa: F401
+    features,
+    models,
+    prepare,
+    scores,
+    structure,
+)
 from stforecast.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
