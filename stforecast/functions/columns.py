@@ -7,10 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Seeded draws use integer arithmetic modulo this prime, so the same seed gives the
-# same value in any engine, for any partitioning, and after a lost task is re-run.
-PRIME = 2147483647
-_KEY_FACTORS = (7919, 104729, 1299709, 15485863, 32452843, 49979687)
+from stforecast.functions.numeric import KEY_FACTORS, MIX_SHIFTS, PRIME
 
 
 def square_even(x: Column) -> Column:
@@ -40,11 +37,11 @@ def pick(values: Column, positions: Column) -> Column:
 def seeded_int(*parts: Column | int) -> Column:
     """Well-mixed integer in [0, PRIME) from up to six non-negative integer keys."""
     total = F.lit(12345).cast("long")
-    for factor, part in zip(_KEY_FACTORS, parts, strict=False):
+    for factor, part in zip(KEY_FACTORS, parts, strict=False):
         key = part if isinstance(part, Column) else F.lit(part)
         total = total + (key.cast("long") % PRIME) * F.lit(factor).cast("long")
     x = total % PRIME
-    for shift in (48271, 69621):
+    for shift in MIX_SHIFTS:
         x = (x * x + x * F.lit(shift).cast("long") + 11) % PRIME
     return x
 

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+# Seeded draws use integer arithmetic modulo this prime, so the same seed gives the
+# same value in any engine, for any partitioning, and after a lost task is re-run.
+PRIME = 2147483647
+KEY_FACTORS = (7919, 104729, 1299709, 15485863, 32452843, 49979687)
+MIX_SHIFTS = (48271, 69621)
+
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural cubic spline through (x, y), linear beyond the ends."""
@@ -52,6 +58,39 @@ def squared_evens(x: np.ndarray) -> np.ndarray:
     return z
 
 
+def padded_terms(terms) -> np.ndarray:
+    """Index lists of monomials as one array, short ones padded with -1 (a constant one)."""
+    width = max((len(t) for t in terms), default=0)
+    out = np.full((len(terms), max(width, 1)), -1)
+    for f, term in enumerate(terms):
+        out[f, : len(term)] = term
+    return out
+
+
+def monomials(lin: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Products of the chosen linear terms for every row of ``lin``."""
+    lin = np.concatenate([lin, np.ones((*lin.shape[:-1], 1))], axis=-1)
+    out = lin[..., terms[:, 0]]
+    for k in range(1, terms.shape[1]):
+        out = out * lin[..., terms[:, k]]
+    return out
+
+
+def seeded_normal_array(*parts) -> np.ndarray:
+    """The draws of ``columns.seeded_normal`` for arrays of keys."""
+
+    def uniform(*keys) -> np.ndarray:
+        x = np.int64(12345)
+        for factor, key in zip(KEY_FACTORS, keys, strict=False):
+            x = x + np.asarray(key, dtype=np.int64) % PRIME * np.int64(factor)
+        x = x % PRIME
+        for shift in MIX_SHIFTS:
+            x = (x * x + x * np.int64(shift) + 11) % PRIME
+        return (x + 0.5) / PRIME
+
+    return np.sqrt(-2.0 * np.log(uniform(*parts, 1))) * np.cos(2.0 * np.pi * uniform(*parts, 2))
+
+
 class LeakyNet:
     """Weights of one recurrent net: ``levels`` of (input, recurrent, leak)."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stforecast.functions.columns import pick
-from stforecast.session import broadcast_within
+from stforecast.session import broadcast_within, fits_broadcast
 
 ROLES = ("rec", "neigh", "layer")
 
@@ -209,54 +209,65 @@ def gather_inputs(
     frames: DataFrame,
     block_map: DataFrame,
     coarse_frames: DataFrame | None = None,
+    keys: Sequence[str] = ("series",),
     map_rows: int | None = None,
 ) -> DataFrame:
     """Inputs of every block at every step, from frames: ``u_rec, u_neigh, u_layer``.
 
-    The packed map goes to the frames when its size (``map_rows``) is known to be small,
-    so frames are neither shuffled nor sorted, and the same code serves a stream. Panels
-    too wide for frames take :func:`gather_inputs_panel`.
+    ``keys`` name what the steps belong to (a series or a run). The packed map is sent to
+    the frames, so these are neither shuffled nor sorted, and the same code serves a
+    stream. The map's size is checked first (``map_rows``, counted if not given); a map
+    too large for that takes the long form, :func:`gather_inputs_panel`.
     """
+    keys = list(keys)
+    if map_rows is None:
+        map_rows = block_map.count()
+    if not fits_broadcast(map_rows, 8):
+        coarse = None if coarse_frames is None else _long(coarse_frames, keys)
+        return gather_inputs_panel(_long(frames, [*keys, "layer"]), block_map, coarse, keys, map_rows)
     empty = F.array().cast("array<double>")
-    if coarse_frames is None:
-        joined = frames
-    else:
-        upper = coarse_frames.select("series", "t", F.col("values").alias("_coarse"))
-        joined = frames.join(upper, ["series", "t"])
-    joined = joined.join(broadcast_within(pack_blocks(block_map), map_rows, 8), "layer")
+    joined = frames
+    if coarse_frames is not None:
+        upper = coarse_frames.select(*keys, "t", F.col("values").alias("_coarse"))
+        joined = joined.join(upper, [*keys, "t"])
+    joined = joined.join(F.broadcast(pack_blocks(block_map)), "layer")  # size checked above
     return joined.select(
-        *[c for c in frames.columns if c != "values"], "block",
+        *keys, "layer", "block", "t",
         pick(F.col("values"), F.col("rec_cells")).alias("u_rec"),
         pick(F.col("values"), F.col("neigh_cells")).alias("u_neigh"),
         (empty if coarse_frames is None else pick(F.col("_coarse"), F.col("layer_cells"))).alias("u_layer"),
     )
 
 
+def _long(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return frames.select(*keys, "t", F.posexplode("values").alias("cell", "value"))
+
+
 def gather_inputs_panel(
     panel: DataFrame,
     block_map: DataFrame,
     coarse_panel: DataFrame | None = None,
+    keys: Sequence[str] = ("series",),
     map_rows: int | None = None,
 ) -> DataFrame:
-    """As :func:`gather_inputs` from long rows: a join on the cell and one shuffle.
+    """As :func:`gather_inputs` from long rows: a join on the cell, a grouping per step.
 
-    Rows are placed by (series, layer, block) once; the grouping per step and a later
-    state pass over the same keys reuse that placement.
+    The grouping key includes the step, so one long series spreads over all tasks.
     """
-    packed = broadcast_within(block_map, map_rows, 40)
-    own = panel.join(packed.filter("role <> 'layer'"), ["layer", "cell"])
-    rows = own.select("series", "layer", "block", "t", "role", "pos", "value")
+    keys = list(keys)
+    mapped = broadcast_within(block_map, map_rows, 40)
+    own = panel.join(mapped.filter("role <> 'layer'"), ["layer", "cell"])
+    rows = own.select(*keys, "layer", "block", "t", "role", "pos", "value")
     if coarse_panel is not None:
-        upper = coarse_panel.select("series", "t", "cell", "value")
-        linked = upper.join(packed.filter("role = 'layer'"), "cell")
+        upper = coarse_panel.select(*keys, "t", "cell", "value")
+        linked = upper.join(mapped.filter("role = 'layer'"), "cell")
         rows = rows.unionByName(linked.select(*rows.columns))
 
     def values(role: str) -> Column:
         pairs = F.collect_list(F.when(F.col("role") == role, F.struct("pos", "value")))
         return F.array_sort(pairs).getField("value").alias(f"u_{role}")
 
-    placed = rows.repartition("series", "layer", "block")
-    return placed.groupBy("series", "layer", "block", "t").agg(*[values(r) for r in ROLES])
+    return rows.groupBy(*keys, "layer", "block", "t").agg(*[values(r) for r in ROLES])
 
 
 def merge_block_outputs(

@@ -11,19 +11,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stforecast.functions.columns import add_arrays, dot, square_even
-from stforecast.functions.numeric import ridge_solutions
+from stforecast.functions.numeric import (
+    monomials,
+    padded_terms,
+    ridge_solutions,
+    seeded_normal_array,
+)
 from stforecast.operators.states import check_mode, state_gram
-from stforecast.session import broadcast_within
+from stforecast.session import broadcast_within, spread
 
 BLOCK = ["run", "layer", "block"]
 # Partial rows summed by one group at a time.
 SUM_FAN = 1024
+# Gram sums one task keeps before it gives them out.
+TASK_SUM_BYTES = 256 * 1024 * 1024
 
 
 def _types(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
 
+def _partial_sums(keys: list[str], stacked):
+    """Task body: sums z' [z | y] per key over its batches, emitted as rows.
+
+    ``stacked`` turns the rows of one key into (z, y or None). Sums of many keys are
+    given out early when they grow past the budget; later rounds add them up anyway.
+    """
+
+    def emit(sums: dict) -> Iterator[pd.DataFrame]:
+        for key, total in sums.items():
+            out = pd.DataFrame({n: [v] * len(total) for n, v in zip(keys, key, strict=True)})
+            yield out.assign(i=np.arange(len(total)), row=list(total))
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        held = 0
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False):
+                z, y = stacked(part)
+                add = z.T @ (z if y is None else np.hstack([z, y]))
+                if key in sums:
+                    sums[key] += add
+                else:
+                    sums[key] = add
+                    held += add.nbytes
+            if held > TASK_SUM_BYTES:
+                yield from emit(sums)
+                sums, held = {}, 0
+        yield from emit(sums)
+
+    return body
+
+
 def gram(features: DataFrame, keys: Sequence[str], x: str = "phi", y: str | None = "y") -> DataFrame:
     """Rows of [X X' | X Y'] per key: ``(keys, i, row)``.
 
@@ -31,27 +70,44 @@ def gram(features: DataFrame, keys: Sequence[str], x: str = "phi", y: str | None
     those partials are shuffled, never the feature rows.
     """
     keys = list(keys)
-    taken = features.select(*keys, x, *([y] if y else [])).sortWithinPartitions(*keys)
+    taken = features.select(*keys, x, *([y] if y else []))
 
-    def emit(key, total) -> pd.DataFrame:
-        out = pd.DataFrame({name: [value] * len(total) for name, value in zip(keys, key, strict=True)})
-        return out.assign(i=np.arange(len(total)), row=list(total))
+    def stacked(part: pd.DataFrame):
+        return np.stack(part[x].to_numpy()), np.stack(part[y].to_numpy()) if y else None
 
-    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = total = None
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
-                z = np.stack(part[x].to_numpy())
-                right = np.hstack([z, np.stack(part[y].to_numpy())]) if y else z
-                if current is not None and key != current:
-                    yield emit(current, total)
-                    total = None
-                add = z.T @ right
-                current, total = key, add if total is None else total + add
-        if current is not None:
-            yield emit(current, total)
-
-    parts = taken.mapInPandas(partials, f"{_types(features, keys)}, i int, row array<double>")
+    parts = taken.mapInPandas(
+        _partial_sums(keys, stacked), f"{_types(features, keys)}, i int, row array<double>"
+    )
+    return sum_gram(parts.withColumn("part", F.spark_partition_id()), keys)
+
+
+def delay_gram(
+    delayed: DataFrame,
+    dictionary: DataFrame,
+    keys: Sequence[str],
+    noise_std: float = 0.0,
+    seed: int = 0,
+) -> DataFrame:
+    """Gram rows of polynomial delay features, computed where the delay vectors are.
+
+    Only the linear terms travel to the Python side; the monomials (and their noise) are
+    formed there. The dictionary has at most MAX_FEATURES short rows.
+    """
+    keys = list(keys)
+    listed = dictionary.orderBy("f").collect()  # bounded by MAX_FEATURES
+    ids = np.array([row.f for row in listed], dtype=np.int64)
+    terms = padded_terms([row.idx for row in listed])
+
+    def stacked(part: pd.DataFrame):
+        phi = monomials(np.stack(part["lin"].to_numpy()), terms)
+        if noise_std > 0:
+            t = part["t"].to_numpy(np.int64)[:, None]
+            phi = phi + noise_std * seeded_normal_array(seed, t, ids[None, :])
+        return phi, np.stack(part["y"].to_numpy())
+
+    parts = delayed.select(*keys, "t", "lin", "y").mapInPandas(
+        _partial_sums(keys, stacked), f"{_types(delayed, keys)}, i int, row array<double>"
+    )
     return sum_gram(parts.withColumn("part", F.spark_partition_id()), keys)
 
 
@@ -98,7 +154,7 @@ def fit_readout(
             ridge=values, n_out=full.shape[1] - n, coef=[w.ravel() for w in solved]
         )
 
-    return grams.groupBy(*keys).applyInPandas(
+    return spread(grams, *keys).groupBy(*keys).applyInPandas(
         solve, f"{_types(grams, keys)}, ridge double, n_out int, coef array<double>"
     )
 
@@ -219,7 +275,7 @@ def pca_fit(
             k=np.arange(kept), eigenvalue=lam[:kept], ratio=share[:kept], vector=list(q.T[:kept])
         )
 
-    return sums.groupBy(*keys).applyInPandas(
+    return spread(sums, *keys).groupBy(*keys).applyInPandas(
         solve,
         f"{_types(frames, keys)}, k int, eigenvalue double, ratio double, vector array<double>",
     )

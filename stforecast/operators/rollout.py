@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stforecast.functions.numeric import squared_evens
+from stforecast.functions.numeric import monomials, padded_terms, squared_evens
 from stforecast.operators.blocks import pack_blocks
 from stforecast.operators.states import NET, check_mode, net_from_row
+from stforecast.session import spread
 
 FORECAST_SCHEMA = "run long, layer int, origin long, t long, cell int, yhat double"
 SYSTEM = ["run", "layer", "origin"]
@@ -140,7 +141,7 @@ def rollout_blocks(
             "cell": np.tile(np.arange(cells), n), "yhat": np.concatenate(outputs),
         })
 
-    return rows.groupBy(*SYSTEM).applyInPandas(roll, FORECAST_SCHEMA)
+    return spread(rows, *SYSTEM).groupBy(*SYSTEM).applyInPandas(roll, FORECAST_SCHEMA)
 
 
 def rollout_deep(
@@ -184,22 +185,17 @@ def rollout_delay(
     def roll(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         run, origin = (int(v) for v in key)
         head_row = pdf[pdf["kind"] == 0].iloc[0]
-        width = max(len(term) for term in head_row["terms"])
         seeds = pdf[pdf["kind"] == 2].sort_values("t", ascending=False)
         history = [np.asarray(v) for v in seeds["values"]]
         if len(history) != depth:
             raise ValueError(f"origin {origin} has {len(history)} of {depth} history steps")
         cells = len(history[0])
         coef = np.asarray(head_row["coef"]).reshape(cells, -1)
-        # short terms are padded with the position of a constant one
-        one = cells * past
-        idx = np.full((len(head_row["terms"]), max(width, 1)), one)
-        for f, term in enumerate(head_row["terms"]):
-            idx[f, : len(term)] = term
+        terms = padded_terms(head_row["terms"])
         outputs = []
         for _ in range(steps):
-            lin = np.concatenate([*(history[j * delay] for j in range(past)), [1.0]])
-            nxt = coef @ lin[idx].prod(axis=1)
+            lin = np.concatenate([history[j * delay] for j in range(past)])
+            nxt = coef @ monomials(lin, terms)
             outputs.append(nxt)
             history = [nxt, *history[:-1]]
         n = steps * cells
@@ -210,4 +206,4 @@ def rollout_delay(
         })
 
     rows = head.unionByName(true, allowMissingColumns=True)
-    return rows.groupBy("run", "origin").applyInPandas(roll, FORECAST_SCHEMA)
+    return spread(rows, "run", "origin").groupBy("run", "origin").applyInPandas(roll, FORECAST_SCHEMA)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stforecast.functions.numeric import LeakyNet, squared_evens
-from stforecast.session import broadcast_within
+from stforecast.session import broadcast_within, spread
 
 GROUP = ["run", "layer", "block", "segment"]
 NET = ["sizes", "leaks", "n_inputs", "w_level", "w_kind", "w_i", "w_j", "w_w"]
@@ -30,8 +30,13 @@ def check_mode(mode: str) -> None:
 
 
 def attach_runs(df: DataFrame, runs: DataFrame, n_runs: int | None = None) -> DataFrame:
-    """Give every row of a series to each run on that series."""
-    return df.join(broadcast_within(runs.select("run", "series"), n_runs, 40), "series")
+    """Give every row of a series to each run on that series.
+
+    The run table is counted if its size is not given, so that a series with many rows
+    is not gathered in one task by a shuffle on ``series``.
+    """
+    table = runs.select("run", "series")
+    return df.join(broadcast_within(table, table.count() if n_runs is None else n_runs, 40), "series")
 
 
 def net_from_row(row) -> LeakyNet:
@@ -87,7 +92,7 @@ def _placed(
         extra = ["coef"]
     heads = heads.select(*GROUP, F.lit(None).cast("long").alias("t"), *NET, *extra)
     rows = data.unionByName(heads, allowMissingColumns=True)
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.col("t").asc_nulls_first())
+    return spread(rows, *GROUP).sortWithinPartitions(*GROUP, F.col("t").asc_nulls_first())
 
 
 def _run_net(batches: Iterator[pd.DataFrame], after: bool):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stforecast.session import settle, spread
+
 
 def _expand(lists: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row of value arrays to all combinations, the first parameter fastest.
@@ -89,16 +92,16 @@ def run_errors(
 ) -> DataFrame:
     """User function on every run's row: ``(config_id, rep, errors)``.
 
-    ``run_once`` gets a one-row frame of parameters and returns numbers.
+    ``run_once`` gets a one-row frame of parameters and returns numbers. Runs are spread
+    over all partitions, whatever their size in bytes.
     """
 
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        errors = [float(e) for e in run_once(pdf)]
-        return pd.DataFrame({
-            "config_id": pdf["config_id"], "rep": pdf["rep"], "errors": [errors] * len(pdf),
-        })
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            errors = [[float(e) for e in run_once(pdf.iloc[k : k + 1])] for k in range(len(pdf))]
+            yield pd.DataFrame({"config_id": pdf["config_id"], "rep": pdf["rep"], "errors": errors})
 
-    return runs.groupBy("run").applyInPandas(call, "config_id long, rep int, errors array<double>")
+    return spread(runs, "run").mapInPandas(call, "config_id long, rep int, errors array<double>")
 
 
 def multi_error(errors: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -116,17 +119,13 @@ def multi_error(errors: DataFrame, names: Sequence[str] | None = None) -> DataFr
 
 
 def sweep_stats(errors: DataFrame, keys: Sequence[str] = ("config_id",)) -> DataFrame:
-    """Mean and sample deviation of each error over the repetitions (0 for a single one).
-
-    Grid points whose runs give different numbers of errors are an error.
-    """
+    """Mean and sample deviation of each error over the repetitions (0 for a single one)."""
     keys = list(keys)
-    checked = errors.groupBy(*keys, "err").agg(
+    return errors.groupBy(*keys, "err").agg(
         F.avg("error").alias("mean"),
         F.coalesce(F.stddev_samp("error"), F.lit(0.0)).alias("std"),
         F.count("*").alias("n_rep"),
     )
-    return checked
 
 
 def check_error_lengths(errors: DataFrame) -> None:
@@ -155,7 +154,7 @@ def run_sweep(
     names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Grid x repetitions of a user function, summarised per grid point."""
-    errors = run_errors(sweep_runs(grid, repetitions), run_once).cache()
+    errors = settle(run_errors(sweep_runs(grid, repetitions), run_once))
     check_error_lengths(errors)
     if names is None:
         width = errors.agg(F.max(F.size("errors"))).first()[0]
@@ -167,7 +166,5 @@ def best_configs(table: DataFrame, error: str, k: int, keys: Sequence[str] = ())
     """The k grid points with the smallest error, overall or per key."""
     if not keys:
         return table.orderBy(F.col(error).asc(), F.col("config_id").asc()).limit(k)
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*keys).orderBy(F.col(error).asc(), F.col("config_id").asc())
     return table.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

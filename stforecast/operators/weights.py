@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stforecast.functions.columns import seeded_normal, seeded_uniform
+from stforecast.session import spread
 
 # stream numbers that keep the draws of different matrices apart
 STREAMS = {"input": 11, "keep": 12, "recurrent": 13, "inter": 14}
@@ -114,7 +115,7 @@ def scale_to_radius(entries: DataFrame) -> DataFrame:
         factor = pdf["radius"].iloc[0] / rho if rho > 0 else 0.0
         return pdf.assign(w=pdf["w"] * factor)[WEIGHT_COLUMNS]
 
-    return entries.groupBy("run", "layer").applyInPandas(
+    return spread(entries, "run", "layer").groupBy("run", "layer").applyInPandas(
         rescale, "run long, layer int, tag string, i int, j int, w double"
     )
 

@@ -18,14 +18,14 @@ from stforecast.operators.features import (
     delay_frames,
     feature_dictionary,
     jitter_features,
-    next_step_target,
     poly_features,
     select_features,
 )
 from stforecast.operators.readout import (
+    delay_gram,
     fit_block_readouts,
     fit_deep_readout,
-    fit_delay_readout,
+    fit_readout,
     fitted_values,
     pca_fit,
     pca_reduce,
@@ -33,7 +33,7 @@ from stforecast.operators.readout import (
 )
 from stforecast.operators.rollout import origin_table, rollout_blocks, rollout_deep, rollout_delay
 from stforecast.operators.states import attach_runs, score_one_step
-from stforecast.operators.sweep import multi_error, sweep_runs, sweep_stats, sweep_table
+from stforecast.operators.sweep import sweep_runs, sweep_stats
 from stforecast.operators.weights import (
     deep_weights,
     layer_params,
@@ -93,7 +93,7 @@ def forecast_single_layer(
     sized = with_dimensions(spec, check_dimensions(block_map))
     weights = reservoir_weights(sized, input_mode) if weights is None else weights
     nets = settle(pack_reservoir(sized, weights))
-    inputs = _gathered(frames, block_map, coarse_frames, map_rows)
+    inputs = gather_inputs(frames, block_map, coarse_frames, ["run"], map_rows)
     readouts = settle(
         fit_block_readouts(
             inputs, nets, block_map, *train, washout, [ridge], mode, segment, overlap
@@ -109,13 +109,6 @@ def forecast_single_layer(
     return Result(readouts, fitted, forecast, nets)
 
 
-def _gathered(frames, block_map, coarse_frames, map_rows):
-    """Block inputs of run-keyed frames."""
-    as_series = frames.withColumn("series", F.col("run"))
-    coarse = None if coarse_frames is None else coarse_frames.withColumn("series", F.col("run"))
-    return gather_inputs(as_series, block_map, coarse, map_rows).drop("series")
-
-
 def forecast_layers(
     frames_by_layer: Sequence[DataFrame],
     maps: Sequence[DataFrame],
@@ -228,8 +221,10 @@ def forecast_delay(
     start = washout + (past - 1) * delay
     stop = start + train_len
     delayed = delay_frames(model, past, delay, washout, ["run", "layer"]).filter(F.col("t") < stop)
+    readouts = settle(
+        fit_readout(delay_gram(delayed, dictionary, ["run"], noise_std, seed), [ridge], ["run"])
+    )
     features = jitter_features(poly_features(delayed, dictionary), noise_std, seed)
-    readouts = settle(fit_delay_readout(features, [ridge]))
     fitted = fitted_values(
         features, readouts, ["run"], "phi", "linear"
     ).select("run", "layer", (F.col("t") + 1).alias("t"), F.posexplode("yhat").alias("cell", "yhat"))
@@ -279,7 +274,7 @@ def sweep_single_layer(
     sized = with_dimensions(spec, check_dimensions(block_map))
     nets = settle(pack_reservoir(sized, reservoir_weights(sized)))
     per_net = attach_runs(frames, spec.select("run").withColumn("series", F.lit(base["series"])))
-    inputs = _gathered(per_net.drop("series"), block_map, None, None)
+    inputs = gather_inputs(per_net.drop("series"), block_map, keys=["run"])
     readouts = fit_block_readouts(inputs, nets, block_map, *train, washout, ridges, mode)
     # a run is a (net, ridge) pair
     listed = F.array(*[F.lit(float(r)) for r in ridges])

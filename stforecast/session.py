@@ -31,17 +31,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_LIMIT_BYTES
+
+
 def broadcast_within(df: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
-    """Broadcast ``df`` only if its known size is within the limit.
+    """Broadcast ``df`` only if its size is known to be within the limit.
 
     ``rows`` comes from the model's own arithmetic (cells x roles, runs x blocks ...);
     ``None`` means "not known", and then Spark's statistics decide.
     """
-    if rows is not None and rows * row_bytes <= BROADCAST_LIMIT_BYTES:
+    if rows is not None and fits_broadcast(rows, row_bytes):
         return F.broadcast(df)
     return df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Place rows by key for a step that is heavy on CPU but light on bytes.
+
+    The partition number is given, so adaptive execution does not merge the partitions
+    of a few small rows that each start a long computation.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a result that several later stages read.
 

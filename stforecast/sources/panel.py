@@ -60,7 +60,7 @@ def dense_time_index(
     Times with no row at all get no index, so the index is dense over existing times.
     Works on the distinct times only, ranked bucket by bucket.
     """
-    bucket = F.date_trunc("month", F.col(ts)) if bucket is None else bucket
+    bucket = F.date_trunc("hour", F.col(ts)) if bucket is None else bucket
     times = df.select(*keys, ts).distinct()
     index = chunked_rank(times, keys, ts, bucket, "t")
     return df.join(index, [*keys, ts])
