@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stforecast.functions.columns import seeded_int, seeded_normal, square_even
-from stforecast.sources.panel import KEYS
+from stforecast.sources.panel import KEYS, time_chunks
 
 # A Gram matrix of this many features is 800 MB; wider models are refused.
 MAX_FEATURES = 10_000
+# Steps per time chunk of the lag windows.
+CHUNK = 65_536
 
 
 def squared_states(states: DataFrame, column: str = "x") -> DataFrame:
@@ -82,53 +84,48 @@ def select_features(dictionary: DataFrame, n_features: int, seed: int = 0) -> Da
 
 
 def delay_embed(
-    panel: DataFrame, past: int, delay: int, washout: int = 0, keys: Sequence[str] = KEYS
+    panel: DataFrame, past: int, delay: int, washout: int = 0, keys: Sequence[str] = KEYS,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Lags 0, d, ..., (past-1)d of every cell as columns ``lag0, lag1, ...``.
 
-    Starts at the first step that has a full history after the washout.
+    Starts at the first step that has a full history after the washout. Steps must be
+    dense (see ``complete_panel``).
     """
-    w = W.partitionBy(*keys, "cell").orderBy("t")
+    depth = (past - 1) * delay
+    w = W.partitionBy(*keys, "cell", "_chunk").orderBy("t")
     lags = [F.lag("value", j * delay).over(w).alias(f"lag{j}") for j in range(past)]
-    return panel.select(*keys, "t", "cell", *lags).filter(
-        F.col("t") >= washout + (past - 1) * delay
+    cut = time_chunks(panel.select(*keys, "t", "cell", "value"), chunk, back=depth)
+    return (
+        cut.select(*keys, "t", "cell", "_own", *lags)
+        .filter(F.col("_own") & (F.col("t") >= washout + depth)).drop("_own")
     )
 
 
-def next_step_target(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def next_step_target(
+    panel: DataFrame, keys: Sequence[str] = KEYS, chunk: int = CHUNK
+) -> DataFrame:
     """Add ``target``: the value one step later; the last step has none."""
-    w = W.partitionBy(*keys, "cell").orderBy("t")
-    return panel.withColumn("target", F.lead("value").over(w)).filter(F.col("target").isNotNull())
+    w = W.partitionBy(*keys, "cell", "_chunk").orderBy("t")
+    ahead = time_chunks(panel, chunk, ahead=1).withColumn("target", F.lead("value").over(w))
+    return ahead.filter(F.col("_own") & F.col("target").isNotNull()).drop("_own", "_chunk")
 
 
 def delay_frames(
     frames: DataFrame, past: int, delay: int, washout: int = 0, keys: Sequence[str] = KEYS,
-    chunk: int = 65536,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Delay vectors of whole frames: ``lin`` (lag-major, then cell) and target ``y``.
-
-    A frame is sent to the time chunks that need it, so the lag window runs in bounded
-    groups even for one very long series.
-    """
+    """Delay vectors of whole frames: ``lin`` (lag-major, then cell) and target ``y``."""
     depth = (past - 1) * delay
-    if depth + 1 >= chunk:
-        raise ValueError("the delay history must be shorter than a chunk")
-    own = F.floor(F.col("t") / chunk)
-    at = F.pmod(F.col("t"), F.lit(chunk))
-    homes = F.array_compact(F.array(
-        own, F.when(at >= chunk - depth, own + 1), F.when(at == 0, own - 1)
-    )) if depth else F.array_compact(F.array(own, F.when(at == 0, own - 1)))
-    spread = frames.withColumn("_chunk", F.explode(homes))
     w = W.partitionBy(*keys, "_chunk").orderBy("t")
     lags = [F.lag("values", j * delay).over(w) for j in range(past)]
-    return (
-        spread.select(
-            *keys, "t", "_chunk", F.concat(*lags).alias("lin"), F.lead("values").over(w).alias("y")
-        )
-        .filter((F.floor(F.col("t") / chunk) == F.col("_chunk")) & (F.col("t") >= washout + depth))
-        .filter(F.col("y").isNotNull())
-        .drop("_chunk")
+    cut = time_chunks(frames.select(*keys, "t", "values"), chunk, back=depth, ahead=1)
+    vectors = cut.select(
+        *keys, "t", "_own", F.concat(*lags).alias("lin"), F.lead("values").over(w).alias("y")
     )
+    return vectors.filter(
+        F.col("_own") & (F.col("t") >= washout + depth) & F.col("y").isNotNull()
+    ).drop("_own")
 
 
 def pack_dictionary(dictionary: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from stforecast.plans.catalog import (  # noqa: F401
     models,
     prepare,
     scores,
+    streams,
     structure,
 )
 from stforecast.plans.catalog.registry import ORACLES, QUERIES

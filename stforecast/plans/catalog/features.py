@@ -105,7 +105,7 @@ phi AS (
            {r('lag1')} AS lag1, {r('lag2')} AS lag2 FROM w WHERE t >= 14""",
 )
 def delay_embed_job(spark, sf_dir):
-    out = ft.delay_embed(p.emb8(spark, sf_dir), 3, 2, washout=10)
+    out = ft.delay_embed(p.emb8(spark, sf_dir), 3, 2, washout=10, chunk=128)
     return p.present(out.select("t", "cell", "lag0", "lag1", "lag2"))
 
 

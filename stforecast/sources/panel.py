@@ -52,6 +52,25 @@ def chunked_rank(
     )
 
 
+def time_chunks(df: DataFrame, chunk: int, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Cut a series into time chunks that also hold the steps just around them.
+
+    Adds ``_chunk`` and ``_own`` (false on a copied row). A window function over
+    (keys, _chunk) then sees ``back`` earlier and ``ahead`` later steps, and no task has
+    to sort a whole long series. Steps must be dense.
+    """
+    if max(back, ahead) >= chunk:
+        raise ValueError("the neighbourhood must be shorter than a chunk")
+    own = F.floor(F.col("t") / chunk)
+    at = F.pmod(F.col("t"), F.lit(chunk))
+    homes = F.array_compact(F.array(
+        own,
+        F.when(at >= chunk - back, own + 1) if back else F.lit(None).cast("long"),
+        F.when(at < ahead, own - 1) if ahead else F.lit(None).cast("long"),
+    ))
+    return df.withColumn("_chunk", F.explode(homes)).withColumn("_own", F.col("_chunk") == own)
+
+
 def dense_time_index(
     df: DataFrame, ts: str = "ts", keys: Sequence[str] = KEYS, bucket: Column | None = None
 ) -> DataFrame:
