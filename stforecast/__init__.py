@@ -1,3 +1,10 @@
 """Spatio-temporal panel preparation, block-wise ridge models and forecasts as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

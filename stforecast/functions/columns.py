@@ -34,24 +34,41 @@ def pick(values: Column, positions: Column) -> Column:
     return F.transform(positions, lambda p: F.get(values, p))
 
 
-def seeded_int(*parts: Column | int) -> Column:
-    """Well-mixed integer in [0, PRIME) from up to six non-negative integer keys."""
-    total = F.lit(12345).cast("long")
-    for factor, part in zip(KEY_FACTORS, parts, strict=False):
-        key = part if isinstance(part, Column) else F.lit(part)
-        total = total + (key.cast("long") % PRIME) * F.lit(factor).cast("long")
-    x = total % PRIME
+def seeded_int_sql(*parts: str | int) -> str:
+    """Well-mixed integer in [0, PRIME) from up to six non-negative integer keys.
+
+    Keys are SQL expressions over the row (column names, lambda variables) or numbers.
+    SQL text keeps a long expression to one call into the JVM.
+    """
+    terms = " + ".join(
+        f"(CAST({part} AS BIGINT) % {PRIME}L) * {factor}L"
+        for factor, part in zip(KEY_FACTORS, parts, strict=False)
+    )
+    x = f"((12345L + {terms}) % {PRIME}L)"
     for shift in MIX_SHIFTS:
-        x = (x * x + x * F.lit(shift).cast("long") + 11) % PRIME
+        x = f"(({x} * {x} + {x} * {shift}L + 11L) % {PRIME}L)"
     return x
 
 
-def seeded_uniform(*parts: Column | int) -> Column:
+def seeded_uniform_sql(*parts: str | int) -> str:
+    return f"((CAST({seeded_int_sql(*parts)} AS DOUBLE) + 0.5D) / {float(PRIME)!r}D)"
+
+
+def seeded_normal_sql(*parts: str | int) -> str:
+    radius = f"sqrt(-2.0D * ln({seeded_uniform_sql(*parts, 1)}))"
+    return f"({radius} * cos({2.0 * math.pi!r}D * {seeded_uniform_sql(*parts, 2)}))"
+
+
+def seeded_int(*parts: str | int) -> Column:
+    """Well-mixed integer in [0, PRIME)."""
+    return F.expr(seeded_int_sql(*parts))
+
+
+def seeded_uniform(*parts: str | int) -> Column:
     """Uniform draw in (0, 1)."""
-    return (seeded_int(*parts).cast("double") + 0.5) / float(PRIME)
+    return F.expr(seeded_uniform_sql(*parts))
 
 
-def seeded_normal(*parts: Column | int) -> Column:
+def seeded_normal(*parts: str | int) -> Column:
     """Standard normal draw (Box-Muller on two seeded uniforms)."""
-    radius = F.sqrt(-2.0 * F.log(seeded_uniform(*parts, 1)))
-    return radius * F.cos(2.0 * math.pi * seeded_uniform(*parts, 2))
+    return F.expr(seeded_normal_sql(*parts))

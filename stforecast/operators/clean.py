@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stforecast.functions.numeric import natural_spline
+from stforecast.session import broadcast_within
 from stforecast.sources.panel import KEYS, chunked_rank
 
 # Fixed values of the packed sea-surface-temperature format.
@@ -23,6 +24,9 @@ PACKED_FILL = -32768
 # this far away change nothing in double precision.
 SPLINE_HALO = 64
 
+# Upper bound of one row of per-cell statistics.
+CELL_ROW_BYTES = 128
+
 
 def decode_packed(
     df: DataFrame,
@@ -40,12 +44,14 @@ def decode_packed(
 
 
 def drop_sparse_cells(
-    panel: DataFrame, max_missing: float = 0.15, keys: Sequence[str] = KEYS
+    panel: DataFrame, max_missing: float = 0.15, keys: Sequence[str] = KEYS,
+    n_cells: int | None = None,
 ) -> DataFrame:
     """Blank the whole series of a cell that misses more than the given share.
 
     The panel must be complete (see ``complete_panel``). Missing counts are aggregated
-    before any shuffle, and only the dropped cells travel to the join.
+    before any shuffle, and only the dropped cells travel to the join; with ``n_cells``
+    (over all keys) given and small, the panel itself is not shuffled.
     """
     cell = [*keys, "cell"]
     dropped = (
@@ -55,6 +61,7 @@ def drop_sparse_cells(
         .select(*cell, F.lit(True).alias("_dropped"))
     )
     value = F.when(F.col("_dropped").isNull(), F.col("value"))
+    dropped = broadcast_within(dropped, n_cells, CELL_ROW_BYTES)
     return panel.join(dropped, cell, "left").withColumn("value", value).drop("_dropped")
 
 
@@ -64,6 +71,7 @@ def mask_isolated(
     passes: int = 1,
     keys: Sequence[str] = KEYS,
     at_t: int | None = None,
+    n_cells: int | None = None,
 ) -> DataFrame:
     """Blank interior cells with >= ``n_missing`` missing in their 3x3 neighbourhood.
 
@@ -102,7 +110,8 @@ def mask_isolated(
         )
         masked = hit if masked is None else masked.union(hit).distinct()
         missing = missing.union(hit).distinct()
-    flagged = panel.join(masked.withColumn("_masked", F.lit(True)), pos, "left")
+    masked = broadcast_within(masked.withColumn("_masked", F.lit(True)), n_cells, CELL_ROW_BYTES)
+    flagged = panel.join(masked, pos, "left")
     return flagged.withColumn(
         "value", F.when(F.col("_masked").isNull(), F.col("value"))
     ).drop("_masked")
@@ -128,17 +137,43 @@ def standardise(
     fit_until: int | None = None,
     keys: Sequence[str] = KEYS,
     stats: DataFrame | None = None,
+    n_cells: int | None = None,
 ) -> DataFrame:
-    """(value - mean) / sd per cell; a cell with no spread becomes missing."""
+    """(value - mean) / sd per cell; a cell with no spread becomes missing.
+
+    With ``n_cells`` (over all keys) given and small, only the statistics are shuffled.
+    """
     stats = cell_stats(panel, fit_until, keys) if stats is None else stats
+    stats = broadcast_within(stats, n_cells, CELL_ROW_BYTES)
     scaled = F.try_divide(F.col("value") - F.col("mean"), F.col("sd"))
     return panel.join(stats, [*keys, "cell"]).withColumn("value", scaled).drop("mean", "sd")
 
 
+def standardise_frames(
+    frames: DataFrame,
+    fit_until: int | None = None,
+    keys: Sequence[str] = KEYS,
+    n_series: int | None = None,
+    n_cells: int = 0,
+) -> DataFrame:
+    """As :func:`standardise` on frames: sums per cell are shuffled, the frames are not.
+
+    ``n_series`` and ``n_cells`` bound the two statistics arrays per key.
+    """
+    panel = frames.select(*keys, "t", F.posexplode("values").alias("cell", "value"))
+    listed = F.array_sort(F.collect_list(F.struct("cell", "mean", "sd")))
+    arrays = cell_stats(panel, fit_until, keys).groupBy(*keys).agg(listed.alias("_s"))
+    joined = frames.join(broadcast_within(arrays, n_series, 32 * n_cells + 64), list(keys))
+    scaled = F.zip_with("values", "_s", lambda v, s: F.try_divide(v - s["mean"], s["sd"]))
+    return joined.withColumn("values", scaled).drop("_s")
+
+
 def unstandardise(
-    panel: DataFrame, stats: DataFrame, column: str = "value", keys: Sequence[str] = KEYS
+    panel: DataFrame, stats: DataFrame, column: str = "value", keys: Sequence[str] = KEYS,
+    n_cells: int | None = None,
 ) -> DataFrame:
     """Back to physical units with the stats of :func:`cell_stats`."""
+    stats = broadcast_within(stats, n_cells, CELL_ROW_BYTES)
     back = F.col(column) * F.col("sd") + F.col("mean")
     return panel.join(stats, [*keys, "cell"]).withColumn(column, back).drop("mean", "sd")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stforecast.functions.columns import seeded_int, seeded_normal, square_even
+from stforecast.functions.columns import seeded_int, seeded_normal_sql, square_even
 from stforecast.sources.panel import KEYS, time_chunks
 
 # A Gram matrix of this many features is 800 MB; wider models are refused.
@@ -78,7 +78,7 @@ def select_features(dictionary: DataFrame, n_features: int, seed: int = 0) -> Da
     if n_features <= 0:
         return dictionary
     draw = dictionary.withColumn(
-        "_key", F.when(F.col("f") == 0, F.lit(-1).cast("long")).otherwise(seeded_int(F.lit(seed), F.col("f")))
+        "_key", F.when(F.col("f") == 0, F.lit(-1).cast("long")).otherwise(seeded_int(seed, "f"))
     )
     return draw.orderBy("_key", "f").limit(n_features).drop("_key").orderBy("f")
 
@@ -160,8 +160,6 @@ def jitter_features(features: DataFrame, noise_std: float, seed: int = 0) -> Dat
     """
     if noise_std <= 0:
         return features
-    noisy = F.zip_with(
-        "phi", "feature_ids",
-        lambda v, f: v + F.lit(float(noise_std)) * seeded_normal(F.lit(seed), F.col("t"), f),
-    )
+    noise = f"{float(noise_std)!r}D * {seeded_normal_sql(seed, 't', 'f')}"
+    noisy = F.expr(f"zip_with(phi, feature_ids, (v, f) -> v + {noise})")
     return features.withColumn("phi", noisy)

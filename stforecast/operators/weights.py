@@ -38,7 +38,7 @@ def with_dimensions(config: DataFrame, dims: dict[int, tuple[int, int, int]]) ->
     return out
 
 
-def _symmetric(*key: Column | int) -> Column:
+def _symmetric(*key: str | int) -> Column:
     return 2.0 * seeded_uniform(*key) - 1.0
 
 
@@ -77,7 +77,7 @@ def input_weights(spec: DataFrame, mode: str = "structured") -> DataFrame:
         .when(F.col("_in") < to_layer, F.col("g_in_neigh"))
         .otherwise(F.col("g_in_layer"))
     )
-    draw = _symmetric(F.col("seed"), F.col("layer"), STREAMS["input"], F.col("i"), F.col("_in"))
+    draw = _symmetric("seed", "layer", STREAMS["input"], "i", "_in")
     return rows.select(
         "run", "layer", tag.alias("tag"), F.col("i").cast("int").alias("i"),
         j.cast("int").alias("j"), (gain * draw).alias("w"),
@@ -86,12 +86,12 @@ def input_weights(spec: DataFrame, mode: str = "structured") -> DataFrame:
 
 def _sparse_normal(spec: DataFrame, size: str, density: Column) -> DataFrame:
     """Entry (i, j) is present with the given probability, then standard normal."""
-    key = (F.col("seed"), F.col("layer"))
+    key = ("seed", "layer")
     grid = spec.withColumn("i", F.explode(F.sequence(F.lit(0), F.col(size) - 1))).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.col(size) - 1))
     )
-    kept = grid.filter(seeded_uniform(*key, STREAMS["keep"], F.col("i"), F.col("j")) < density)
-    return kept.withColumn("w", seeded_normal(*key, STREAMS["recurrent"], F.col("i"), F.col("j")))
+    kept = grid.filter(seeded_uniform(*key, STREAMS["keep"], "i", "j") < density)
+    return kept.withColumn("w", seeded_normal(*key, STREAMS["recurrent"], "i", "j"))
 
 
 def raw_recurrent_weights(spec: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def deep_input_weights(spec: DataFrame) -> DataFrame:
     links = (
         spec.filter("level > 0").withColumn("i", F.explode(units)).withColumn("j", F.explode(units))
     )
-    draw = _symmetric(F.col("seed"), F.col("level"), STREAMS["inter"], F.col("i"), F.col("j"))
+    draw = _symmetric("seed", "level", STREAMS["inter"], "i", "j")
     return input_weights(first).unionByName(
         links.select(
             "run", F.col("level").alias("layer"), F.lit("inter").alias("tag"), "i", "j",

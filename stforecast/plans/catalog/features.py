@@ -11,6 +11,7 @@ from stforecast.operators.readout import gram
 from stforecast.plans.catalog import panels as p
 from stforecast.plans.catalog import sql
 from stforecast.plans.catalog.registry import query
+from stforecast.session import spread
 
 r = sql.r
 
@@ -246,7 +247,7 @@ def recurrent_weights_job(spark, sf_dir):
             shape=pdf["w"] / pdf["w"].abs().max(), entries=len(pdf), radius_ok=abs(radius - 0.9) < 1e-9
         )
 
-    return p.present(scaled.groupBy("run").applyInPandas(
+    return p.present(spread(scaled, "run").groupBy("run").applyInPandas(
         check, "run long, i int, j int, shape double, entries long, radius_ok boolean"
     ))
 

@@ -59,7 +59,7 @@ def one_setup(spark, sf_dir):
     """Block map, nets, inputs and number of frames of the single-layer model."""
     block_map = bl.blocks_1d(spark, 8, 4, 1)
     frames = run_frames(p.emb8_frames(spark, sf_dir))
-    inputs = bl.gather_inputs(frames, block_map, keys=["run"])
+    inputs = bl.gather_inputs(frames, block_map, keys=["run"], map_rows=16)
     return block_map, nets_of(spark, ONE), inputs, frames, p.frame_count(spark, sf_dir)
 
 

@@ -8,16 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stforecast.operators.clean import standardise
+from stforecast.operators.clean import standardise, standardise_frames
 from stforecast.operators.regrid import regrid_1d, regrid_1d_frames
-from stforecast.sources import complete_panel, panel_from_events, to_frames
+from stforecast.sources import complete_panel, panel_from_events
 
 BUCKET_SECONDS = 7200
 EVENTS_ORIGIN = 1704067200  # 2024-01-01
 
 
+# Known schemas of the tables, so that opening one reads no file.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+EMB_CELLS = 64  # the width of an embedding
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def emb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +53,19 @@ def emb_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return standardise(emb_panel(spark, sf_dir))
+    return standardise(emb_panel(spark, sf_dir), n_cells=EMB_CELLS)
 
 
 def emb_std_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_frames(emb_std(spark, sf_dir))
+    return standardise_frames(emb_frames(spark, sf_dir), n_series=1, n_cells=EMB_CELLS)
 
 
 def emb8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid_1d(emb_std(spark, sf_dir), 8, n_cells=64)
+    return regrid_1d(emb_std(spark, sf_dir), 8, n_cells=EMB_CELLS)
 
 
 def emb8_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regrid_1d_frames(emb_std_frames(spark, sf_dir), 8, n_cells=64)
+    return regrid_1d_frames(emb_std_frames(spark, sf_dir), 8, n_cells=EMB_CELLS)
 
 
 def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

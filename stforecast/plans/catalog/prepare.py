@@ -186,7 +186,7 @@ kept AS (
 
 @query("drop_sparse_cells", panel_sql(SPARSE, "kept"))
 def drop_sparse_cells_job(spark, sf_dir):
-    return p.present(clean.drop_sparse_cells(p.event_panel_full(spark, sf_dir)).select(*PANEL))
+    return p.present(clean.drop_sparse_cells(p.event_panel_full(spark, sf_dir), n_cells=14).select(*PANEL))
 
 
 VALID = """
@@ -214,13 +214,13 @@ def _filled_sql(x: str, target: str) -> str:
     _filled_sql("i", "CAST(kept.t - t0 AS DOUBLE) * (CAST(k - 1 AS DOUBLE) / (t1 - t0))"),
 )
 def fill_gaps_compact_job(spark, sf_dir):
-    kept = clean.drop_sparse_cells(p.event_panel_full(spark, sf_dir))
+    kept = clean.drop_sparse_cells(p.event_panel_full(spark, sf_dir), n_cells=14)
     return p.present(clean.fill_gaps(kept, "compact").select(*PANEL))
 
 
 @query("fill_gaps_time", _filled_sql("t", "CAST(kept.t AS DOUBLE)"))
 def fill_gaps_time_job(spark, sf_dir):
-    kept = clean.drop_sparse_cells(p.event_panel_full(spark, sf_dir))
+    kept = clean.drop_sparse_cells(p.event_panel_full(spark, sf_dir), n_cells=14)
     return p.present(clean.fill_gaps(kept, "time", chunk=256).select(*PANEL))
 
 
@@ -268,12 +268,12 @@ def _mask_sql(passes: int) -> str:
 
 @query("mask_isolated", _mask_sql(1))
 def mask_isolated_job(spark, sf_dir):
-    return p.present(clean.mask_isolated(p.event_grid(spark, sf_dir)).select(*PANEL))
+    return p.present(clean.mask_isolated(p.event_grid(spark, sf_dir), n_cells=72).select(*PANEL))
 
 
 @query("mask_isolated_two_passes", _mask_sql(2))
 def mask_isolated_two_job(spark, sf_dir):
-    return p.present(clean.mask_isolated(p.event_grid(spark, sf_dir), passes=2).select(*PANEL))
+    return p.present(clean.mask_isolated(p.event_grid(spark, sf_dir), passes=2, n_cells=72).select(*PANEL))
 
 
 STD_EVENTS = sql.EVENTS_FULL + """,
@@ -284,7 +284,7 @@ sev AS (
 
 @query("fill_missing", panel_sql(STD_EVENTS, "(SELECT t, cell, coalesce(value, 0) AS value FROM sev)"))
 def fill_missing_job(spark, sf_dir):
-    std = clean.standardise(p.event_panel_full(spark, sf_dir))
+    std = clean.standardise(p.event_panel_full(spark, sf_dir), n_cells=14)
     return p.present(clean.fill_missing(std).select(*PANEL))
 
 
@@ -303,14 +303,19 @@ def standardise_job(spark, sf_dir):
 )
 def standardise_fit_until_job(spark, sf_dir):
     full = p.event_panel_full(spark, sf_dir)
-    return p.present(clean.standardise(full, fit_until=240).select(*PANEL))
+    return p.present(clean.standardise(full, fit_until=240, n_cells=14).select(*PANEL))
+
+
+@query("standardise_frames", panel_sql(sql.Z, "z"))
+def standardise_frames_job(spark, sf_dir):
+    return p.present(from_frames(p.emb_std_frames(spark, sf_dir)).select(*PANEL))
 
 
 @query("unstandardise", panel_sql(sql.EMB, "emb"))
 def unstandardise_job(spark, sf_dir):
     panel = p.emb_panel(spark, sf_dir)
     stats = clean.cell_stats(panel)
-    return p.present(clean.unstandardise(clean.standardise(panel, stats=stats), stats).select(*PANEL))
+    return p.present(clean.unstandardise(clean.standardise(panel, stats=stats, n_cells=64), stats, n_cells=64).select(*PANEL))
 
 
 @query(
@@ -354,7 +359,7 @@ def unflatten_cells_job(spark, sf_dir):
     FROM (SELECT t, list(value ORDER BY cell) AS v FROM z GROUP BY t)""",
 )
 def to_frames_job(spark, sf_dir):
-    frames = p.emb_std_frames(spark, sf_dir)
+    frames = to_frames(p.emb_std(spark, sf_dir))
     return p.present(frames.select(
         "t", F.size("values").alias("n_cells"), F.element_at("values", 1).alias("first_value"),
         F.element_at("values", -1).alias("last_value"),

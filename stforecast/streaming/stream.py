@@ -83,7 +83,7 @@ def stream_one_step(
         if state.exists:
             due, flat, early_t, early_u = state.get
             x = [np.asarray(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            waiting = dict(zip(early_t, np.asarray(early_u).reshape(len(early_t), -1), strict=True))
+            waiting = dict(zip(early_t, np.reshape(early_u, (len(early_t), model["n_inputs"])), strict=True))
         for pdf in batches:
             for t, u in zip(pdf["t"], pdf["u"], strict=True):
                 if t >= due:
