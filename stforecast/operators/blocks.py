@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stforecast.functions.columns import pick
@@ -184,15 +184,20 @@ def input_dimensions(block_map: DataFrame) -> DataFrame:
     )
 
 
-def check_dimensions(block_map: DataFrame) -> dict[int, tuple[int, int, int]]:
-    """Input counts per layer, or an error if blocks differ or there are none."""
+def layer_sizes(block_map: DataFrame) -> dict[int, Row]:
+    """The row of :func:`input_dimensions` per layer; an error if blocks differ or are none."""
     rows = input_dimensions(block_map).collect()  # one row per layer
     if not rows:
         raise ValueError("the block map is empty")
     for row in rows:
         if not row.consistent:
             raise ValueError(f"blocks of layer {row.layer} differ in their input counts")
-    return {row.layer: (row.d_rec, row.d_neigh, row.d_layer) for row in rows}
+    return {row.layer: row for row in rows}
+
+
+def check_dimensions(block_map: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """Input counts (rec, neigh, layer) per layer, or an error if blocks differ or are none."""
+    return {l: (row.d_rec, row.d_neigh, row.d_layer) for l, row in layer_sizes(block_map).items()}
 
 
 def pack_blocks(block_map: DataFrame) -> DataFrame:

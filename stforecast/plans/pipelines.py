@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stforecast.operators.blocks import (
     check_dimensions,
     gather_inputs,
+    layer_sizes,
     merge_block_outputs,
 )
 from stforecast.operators.evaluate import align_forecast, error_curve, sample_curve
@@ -31,7 +32,15 @@ from stforecast.operators.readout import (
     pca_reduce,
     pca_restore,
 )
-from stforecast.operators.rollout import origin_table, rollout_blocks, rollout_deep, rollout_delay
+from stforecast.operators.rollout import (
+    MAX_SYSTEM_BYTES,
+    origin_table,
+    rollout_blocks,
+    rollout_blocks_wide,
+    rollout_deep,
+    rollout_delay,
+    system_bytes,
+)
 from stforecast.operators.states import attach_runs, score_one_step
 from stforecast.operators.sweep import sweep_runs, sweep_stats
 from stforecast.operators.weights import (
@@ -90,9 +99,12 @@ def forecast_single_layer(
     ``frames`` is ``(run, layer, t, values)``: attach the runs to the series first. ``spec``
     has one row per (run, layer). Input counts come from the block map.
     """
-    sized = with_dimensions(spec, check_dimensions(block_map))
+    sizes = layer_sizes(block_map)
+    sized = with_dimensions(spec, {l: (s.d_rec, s.d_neigh, s.d_layer) for l, s in sizes.items()})
     weights = reservoir_weights(sized, input_mode) if weights is None else weights
     nets = settle(pack_reservoir(sized, weights))
+    if map_rows is None:
+        map_rows = sum(s.n_blocks * (s.d_rec + s.d_neigh + s.d_layer) for s in sizes.values())
     inputs = gather_inputs(frames, block_map, coarse_frames, ["run"], map_rows)
     readouts = settle(
         fit_block_readouts(
@@ -102,7 +114,11 @@ def forecast_single_layer(
     scored = score_one_step(inputs, nets, readouts, block_map, *train, mode, segment, overlap)
     fitted = merge_block_outputs(scored, block_map, map_rows=map_rows)
     runs = spec.select("run").distinct()
-    forecast = rollout_blocks(
+    n_cells = max(s.n_blocks * s.d_rec for s in sizes.values())
+    units = spec.agg(F.max("n")).first()[0]
+    one_task = system_bytes(n_cells, units, warmup + steps) <= MAX_SYSTEM_BYTES
+    roll = rollout_blocks if one_task else rollout_blocks_wide
+    forecast = roll(
         frames, nets, readouts, block_map, origin_table(runs, origins), warmup, steps, mode,
         coarse_frames,
     )

@@ -136,7 +136,7 @@ def read_wide_csv(
     time_col: str | None = None,
     series: str = "csv",
     layer: int = 0,
-    refresh_names: Sequence[str] | None = None,
+    column_names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Header CSV with one row per time step and one column per cell, as a panel.
 
@@ -144,7 +144,7 @@ def read_wide_csv(
     order of the file is the time: lines are numbered inside each input split and the
     splits are put in (file, offset) order, so partition order plays no part.
     """
-    names = list(refresh_names) if refresh_names else [f"c{i}" for i in range(n_cells)]
+    names = list(column_names) if column_names else [f"c{i}" for i in range(n_cells)]
     fields = ([f"`{time_col}` long"] if time_col else []) + [f"`{c}` double" for c in names]
     raw = (
         spark.read.option("header", True).option("enforceSchema", True)
