@@ -56,7 +56,7 @@ def input_weights(spec: DataFrame, mode: str = "structured") -> DataFrame:
         "_in", F.explode(F.sequence(F.lit(0), F.col("_d") - 1))
     )
     if mode == "structured":
-        q = F.floor(F.col("n") / F.col("_d")).cast("int")
+        q = F.coalesce(F.floor(F.try_divide(F.col("n"), F.col("_d"))), F.lit(0)).cast("int")
         first, count = F.col("_in") * q, q
     else:
         first, count = F.lit(0), F.col("n")
