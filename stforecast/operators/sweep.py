@@ -128,11 +128,12 @@ def sweep_stats(errors: DataFrame, keys: Sequence[str] = ("config_id",)) -> Data
     )
 
 
-def check_error_lengths(errors: DataFrame) -> None:
-    """Error if the runs of a sweep return error vectors of different lengths."""
+def error_length(errors: DataFrame) -> int:
+    """Length of the error vectors of a sweep; an error if the runs disagree."""
     sizes = errors.agg(F.min(F.size("errors")).alias("lo"), F.max(F.size("errors")).alias("hi")).first()
     if sizes.lo != sizes.hi:
         raise ValueError(f"runs returned between {sizes.lo} and {sizes.hi} errors")
+    return sizes.hi
 
 
 def sweep_table(stats: DataFrame, grid: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -155,10 +156,11 @@ def run_sweep(
 ) -> DataFrame:
     """Grid x repetitions of a user function, summarised per grid point."""
     errors = settle(run_errors(sweep_runs(grid, repetitions), run_once))
-    check_error_lengths(errors)
+    width = error_length(errors)
     if names is None:
-        width = errors.agg(F.max(F.size("errors"))).first()[0]
         names = [f"err{k + 1}" for k in range(width)]
+    if len(names) != width:
+        raise ValueError(f"{len(names)} error names for {width} errors")
     return sweep_table(sweep_stats(multi_error(errors, names)), grid, names)
 
 
