@@ -15,7 +15,7 @@ from stforecast.sources.panel import KEYS, time_chunks
 # A Gram matrix of this many features is 800 MB; wider models are refused.
 MAX_FEATURES = 10_000
 # Steps per time chunk of the lag windows.
-CHUNK = 65_536
+CHUNK = 4096
 
 
 def squared_states(states: DataFrame, column: str = "x") -> DataFrame:

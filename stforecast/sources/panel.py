@@ -104,12 +104,17 @@ def panel_from_events(
     functions = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
     if agg not in functions:
         raise ValueError(f"agg must be one of {sorted(functions)}, got {agg!r}")
-    second = F.unix_seconds(F.col(ts).cast("timestamp")) - F.lit(origin_seconds)
+    if dict(events.dtypes)[ts] == "timestamp_ntz":  # the session time zone plays no part
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    else:
+        micros = F.unix_micros(F.col(ts))
+    since = micros - F.lit(origin_seconds * 1_000_000).cast("long")
+    width = F.lit(bucket_seconds * 1_000_000).cast("long")
     return (
         events.select(
             (F.lit("events") if series is None else series).alias("series"),
             F.lit(layer).alias("layer"),
-            F.floor(second / bucket_seconds).cast("long").alias("t"),
+            ((since - F.pmod(since, width)) / width).cast("long").alias("t"),
             cell.cast("int").alias("cell"),
             value.alias("_v"),
         )
