@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stforecast.operators import clean
 from stforecast.operators.features import next_step_target
-from stforecast.operators.regrid import regrid_1d, regrid_1d_frames, regrid_2d
+from stforecast.operators.regrid import regrid_1d, regrid_2d
 from stforecast.plans.catalog import panels as p
 from stforecast.plans.catalog import sql
 from stforecast.plans.catalog.registry import query
