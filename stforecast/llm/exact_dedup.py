@@ -32,7 +32,8 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(norm)).alias("hash"),
         F.unhex(F.sha2(norm, 256)).alias("sha"),
     ))
-    repeated = digest.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # written, so that the join below has an exchange on either side and a hot hash can be split
+    repeated = written(digest.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     suspects = digest.join(repeated, "hash").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "hash")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
 
