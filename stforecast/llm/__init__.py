@@ -1,6 +1,6 @@
 """Operators for training-data pipelines, one module each; QUERIES and ORACLES hold their jobs."""
 
-from stforecast.llm import exact_dedup, lang_id, packing, token_files
+from stforecast.llm import exact_dedup, lang_id, near_dedup, packing, token_files
 from stforecast.llm.shared import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "exact_dedup", "lang_id", "packing", "token_files"]
+__all__ = ["ORACLES", "QUERIES", "exact_dedup", "lang_id", "near_dedup", "packing", "token_files"]
