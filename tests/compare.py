@@ -41,7 +41,7 @@ def compare(spark_df, con, sql) -> str | None:
     if left_cols != right_cols:
         return f"columns {left_cols} != {right_cols}"
     for f in spark_df.schema.fields:
-        want = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(
+        want = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(
             f.dataType.simpleString()
         )
         if want is None or want != types[f.name]:
