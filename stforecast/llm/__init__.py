@@ -1,6 +1,6 @@
 """Operators for training-data pipelines, one module each; QUERIES and ORACLES hold their jobs."""
 
-from stforecast.llm import exact_dedup, exact_topk, lang_id, near_dedup, packing, sharding, token_files
+from stforecast.llm import exact_dedup, exact_topk, lang_id, mixing, near_dedup, packing, sharding, token_files
 from stforecast.llm.shared import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "exact_dedup", "exact_topk", "lang_id", "near_dedup", "packing", "sharding", "token_files"]
+__all__ = ["ORACLES", "QUERIES", "exact_dedup", "exact_topk", "lang_id", "mixing", "near_dedup", "packing", "sharding", "token_files"]
