@@ -39,14 +39,14 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     words = lists.flatten()
     real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     bounds = lists.offsets.to_numpy().astype(np.int64)
     kept = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]
     coded = words.filter(pa.array(real)).dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in names), np.uint64, len(names))
     hashes = known[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.uint64)
     factors = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1)) for i in range(width)]
 
