@@ -100,7 +100,7 @@ def mix_plan(docs: DataFrame, levels: Levels, percent: int, epochs: int, seed: i
     within = inside.withColumn("upto", run).where("upto <= rest").groupBy(*names).agg(F.max("place").alias("in_edge"))
     cut = edge.alias("l").join(within.alias("r"), _same(names), "left").select(
         *[f"l.{c}" for c in names], F.coalesce(F.col("in_edge"), F.lpad(
-            F.lower(F.hex(F.ceil(F.col("l.bucket") * F.lit(1 << 24) / buckets))), 6, "0")).alias("cut"))
+            F.lower(F.hex(F.ceil(F.col("l.bucket").cast("long") * F.lit(1 << 24) / buckets))), 6, "0")).alias("cut"))
     return written(plan.alias("l").join(cut.alias("r"), _same(names), "left").select("l.*", "r.cut"))
 
 
