@@ -222,7 +222,8 @@ def gather_inputs(
     ``keys`` name what the steps belong to (a series or a run). The packed map is sent to
     the frames, so these are neither shuffled nor sorted, and the same code serves a
     stream. The map's size is checked first (``map_rows``, counted if not given); a map
-    too large for that takes the long form, :func:`gather_inputs_panel`.
+    too large for that takes the long form, :func:`gather_inputs_panel`, with the same rows.
+    With coarse frames, a step that either side lacks is left out.
     """
     keys = list(keys)
     if map_rows is None:
@@ -257,15 +258,20 @@ def gather_inputs_panel(
 ) -> DataFrame:
     """As :func:`gather_inputs` from long rows: a join on the cell, a grouping per step.
 
-    The grouping key includes the step, so one long series spreads over all tasks.
+    The grouping key includes the step, so one long series spreads over all tasks. A batch
+    operator: a grouping per step has no place in a stream without a watermark.
     """
     keys = list(keys)
     mapped = broadcast_within(block_map, map_rows, 40)
+    if coarse_panel is not None:  # only steps that both sides have, as with frames
+        panel = panel.join(coarse_panel.select(*keys, "t").distinct(), [*keys, "t"], "left_semi")
     own = panel.join(mapped.filter("role <> 'layer'"), ["layer", "cell"])
     rows = own.select(*keys, "layer", "block", "t", "role", "pos", "value")
     if coarse_panel is not None:
-        upper = coarse_panel.select(*keys, "t", "cell", "value")
-        linked = upper.join(mapped.filter("role = 'layer'"), "cell")
+        # coarse values go to every layer that the step has, as the map links it
+        steps = panel.select(*keys, "layer", "t").distinct()
+        upper = coarse_panel.select(*keys, "t", "cell", "value").join(steps, [*keys, "t"])
+        linked = upper.join(mapped.filter("role = 'layer'"), ["layer", "cell"])
         rows = rows.unionByName(linked.select(*rows.columns))
 
     def values(role: str) -> Column:

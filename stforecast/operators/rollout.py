@@ -7,7 +7,6 @@ group's size is known before it is built and is checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from stforecast.functions.numeric import monomials, padded_terms, squared_evens
 from stforecast.operators.blocks import pack_blocks
 from stforecast.operators.states import NET, check_mode, net_from_row
-from stforecast.session import BROADCAST_LIMIT_BYTES, settle, spread
+from stforecast.session import spread
 
 FORECAST_SCHEMA = "run long, layer int, origin long, t long, cell int, yhat double"
 SYSTEM = ["run", "layer", "origin"]
@@ -43,11 +42,13 @@ def system_bytes(n_cells: int, n_features: int, window: int) -> int:
     return 8 * n_cells * (n_features + 2 * window)
 
 
-def check_system_size(n_cells: int, n_features: int, window: int) -> None:
+def check_system_size(
+    n_cells: int, n_features: int, window: int, max_bytes: int = MAX_SYSTEM_BYTES
+) -> None:
     """Refuse a coupled system whose readouts and window do not fit in one task."""
     need = system_bytes(n_cells, n_features, window)
-    if need > MAX_SYSTEM_BYTES:
-        raise ValueError(f"one forecast group would hold {need} bytes; use rollout_blocks_wide")
+    if need > max_bytes:
+        raise ValueError(f"one forecast group holds {need} bytes; raise max_bytes or use fewer cells")
 
 
 def rollout_blocks(
@@ -62,13 +63,15 @@ def rollout_blocks(
     coarse_frames: DataFrame | None = None,
     after: bool = False,
     y_init: list[float] | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> DataFrame:
     """Warm up on true values, then feed the predictions back for ``steps`` steps.
 
     ``frames`` is ``(run, layer, t, values)``, ``coarse_frames`` ``(run, t, values)``; an
     origin is the first step to forecast. Each step all blocks give their output first,
     then all advance on their own and their neighbours' predicted values. The result
-    covers the warm-up as well; ``t`` is always the step the value is for.
+    covers the warm-up as well; ``t`` is always the step the value is for. A system of more
+    than ``max_bytes`` (readouts and window) fails; its task must hold it whole.
     """
     check_mode(mode)
     if steps < 1:
@@ -112,8 +115,13 @@ def rollout_blocks(
             for name in ("rec_cells", "neigh_cells", "layer_cells")
         )
         cells = rec.size
-        true = {int(r.t): np.asarray(r["values"]) for _, r in pdf[pdf["kind"] == 2].iterrows()}
-        coarse = {int(r.t): np.asarray(r["values"]) for _, r in pdf[pdf["kind"] == 3].iterrows()}
+        check_system_size(cells, coef.shape[2], warmup + steps, max_bytes)
+
+        def values_of(kind: int) -> dict[int, np.ndarray]:
+            part = pdf[pdf["kind"] == kind]
+            return {int(t): np.asarray(v) for t, v in zip(part["t"], part["values"], strict=True)}
+
+        true, coarse = values_of(2), values_of(3)
         state = net.start(len(blocks))
         seen = np.zeros(cells) if y_init is None else np.asarray(y_init, dtype=float)
         times, outputs = [], []
@@ -147,108 +155,15 @@ def rollout_blocks(
     return spread(rows, *SYSTEM).groupBy(*SYSTEM).applyInPandas(roll, FORECAST_SCHEMA)
 
 
-def fetch_nets(nets: DataFrame) -> dict[tuple[int, int], dict]:
-    """The nets of a few runs for use inside task functions; their bytes are checked first."""
-    total = nets.agg(F.sum((F.size("w_w") * 32).cast("long"))).first()[0] or 0
-    if total > BROADCAST_LIMIT_BYTES:
-        raise ValueError(f"{total} bytes of nets; forecast fewer runs at a time")
-    return {(row.run, row.layer): {c: row[c] for c in NET} for row in nets.collect()}
-
-
-def rollout_blocks_wide(
-    frames: DataFrame,
-    nets: DataFrame,
-    readouts: DataFrame,
-    block_map: DataFrame,
-    origins: DataFrame,
-    warmup: int,
-    steps: int,
-    mode: str = "quadratic",
-    coarse_frames: DataFrame | None = None,
-) -> DataFrame:
-    """:func:`rollout_blocks` for systems of too many blocks for one task.
-
-    The block states are a table. Every step is a join: the values a block needs are
-    brought to it by cell, then it advances; only those values are shuffled. The table is
-    settled at every step: the next step reads it twice, and a lost executor costs one step.
-    """
-    check_mode(mode)
-    models = fetch_nets(nets)
-    keys = [*SYSTEM, "block"]
-    rank = F.when(F.col("role") == "rec", 0).when(F.col("role") == "neigh", 1).otherwise(2)
-    wiring = block_map.select("layer", "block", rank.alias("rank"), "pos", "cell")
-    own = wiring.filter("rank = 0").select("layer", "block", "pos", "cell")
-    n_units = F.aggregate("sizes", F.lit(0), lambda total, size: total + size)
-    state = (
-        readouts.select("run", "layer", "block", "n_out", "coef")
-        .join(nets.select("run", "layer", n_units.alias("_n")), ["run", "layer"])
-        .join(origins, "run")
-        .select(
-            *keys, "coef", F.array_repeat(F.lit(0.0), F.col("_n")).alias("x"),
-            F.array_repeat(F.lit(0.0), F.col("n_out")).alias("y"),
-        )
-    )
-
-    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(["run", "layer"], sort=False):
-                if key not in made:
-                    made[key] = net_from_row(models[key])
-                net = made[key]
-                x = np.stack(part["x"].to_numpy()).T
-                cuts = np.cumsum(net.sizes)[:-1]
-                u = np.stack(part["u"].to_numpy())
-                x = np.concatenate(net.advance(np.split(x, cuts), net.drive(u).T)).T
-                z = squared_evens(x) if mode == "quadratic" else x
-                y = [
-                    np.asarray(c).reshape(-1, x.shape[1]) @ row
-                    for c, row in zip(part["coef"], z, strict=True)
-                ]
-                yield part[keys].assign(coef=part["coef"], x=list(x), y=y)
-
-    def at_lead(values: DataFrame, lead: int) -> DataFrame:
-        """The long values of step origin + lead."""
-        long = values.select("run", "t", F.posexplode("values").alias("cell", "value"))
-        when = origins.select("run", "origin", (F.col("origin") + lead).alias("t"))
-        return long.join(when, ["run", "t"]).select("run", "origin", "cell", "value")
-
-    pieces = []
-    schema = "run long, layer int, origin long, block int, coef array<double>, x array<double>, y array<double>"
-    for lead in range(-warmup, steps):
-        state = settle(state)
-        pieces.append(state.select(*keys, (F.col("origin") + lead).alias("t"), "y"))
-        if lead == steps - 1:
-            break
-        if lead < 0:
-            values = at_lead(frames, lead).join(nets.select("run", "layer"), "run")
-        else:
-            values = state.select(*keys, F.posexplode("y").alias("pos", "value")).join(
-                own, ["layer", "block", "pos"]
-            ).select(*SYSTEM, "cell", "value")
-        sent = values.join(wiring.filter("rank < 2"), ["layer", "cell"])
-        if coarse_frames is not None:
-            upper = at_lead(coarse_frames, lead).join(nets.select("run", "layer"), "run")
-            sent = sent.unionByName(upper.join(wiring.filter("rank = 2"), ["layer", "cell"]))
-        inputs = sent.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(F.struct("rank", "pos", "value"))).getField("value").alias("u")
-        )
-        state = state.join(inputs, keys).select(*keys, "coef", "x", "u").mapInPandas(advance, schema)
-    out = pieces[0]
-    for piece in pieces[1:]:
-        out = out.unionByName(piece)
-    long = out.select(*keys, "t", F.posexplode("y").alias("pos", "yhat"))
-    return long.join(own, ["layer", "block", "pos"]).select(*SYSTEM, "t", "cell", "yhat")
-
-
 def rollout_deep(
     frames: DataFrame, nets: DataFrame, readouts: DataFrame, block_map: DataFrame,
     origins: DataFrame, warmup: int, steps: int, y_init: list[float] | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> DataFrame:
     """Closed loop of a deep net: the output after step t is the value for t + 1."""
     return rollout_blocks(
         frames, nets, readouts, block_map, origins, warmup, steps, "quadratic",
-        after=True, y_init=y_init,
+        after=True, y_init=y_init, max_bytes=max_bytes,
     )
 
 
@@ -260,6 +175,7 @@ def rollout_delay(
     past: int,
     delay: int,
     steps: int,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> DataFrame:
     """Closed loop of delay-feature readouts.
 
@@ -288,6 +204,7 @@ def rollout_delay(
             raise ValueError(f"origin {origin} has {len(history)} of {depth} history steps")
         cells = len(history[0])
         coef = np.asarray(head_row["coef"]).reshape(cells, -1)
+        check_system_size(cells, coef.shape[1], depth + steps, max_bytes)
         terms = padded_terms(head_row["terms"])
         outputs = []
         for _ in range(steps):

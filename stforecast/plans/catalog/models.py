@@ -295,12 +295,11 @@ def deep_setup(spark, sf_dir):
 @query(
     "deep_states",
     f"""{DEEP} SELECT t, CAST(unit AS BIGINT) AS unit, {r('x')} AS x FROM (
-      SELECT t, unnest(range(16)) AS unit, unnest(list_concat(x1, x2)) AS x FROM dst WHERE t >= 0), pr
-    WHERE t < n - 1""",
+      SELECT t, unnest(range(16)) AS unit, unnest(list_concat(x1, x2)) AS x FROM dst WHERE t >= 0)""",
 )
 def deep_states_job(spark, sf_dir):
     _, nets, block_map, inputs, n = deep_setup(spark, sf_dir)
-    states = st.deep_states(inputs, nets, block_map, 0, n - 1)
+    states = st.deep_states(inputs, nets, block_map, 0, n)
     return p.present(states.select("t", F.posexplode("x").alias("unit", "x")))
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stforecast.operators import blocks as bl
 from stforecast.operators import evaluate as ev
 from stforecast.operators import sweep as sw
+from stforecast.operators import weights as wt
 from stforecast.plans import pipelines as pl
 from stforecast.plans.catalog import panels as p
 from stforecast.plans.catalog import sql
+from stforecast.plans.catalog import sqlmodel as sm
 from stforecast.plans.catalog.prepare import _lineitem_errors
 from stforecast.plans.catalog.registry import query
 
@@ -264,15 +267,77 @@ def run_sweep_job(spark, sf_dir):
     return p.present(sw.run_sweep(_table_grid(spark, sf_dir), _toy_errors, repetitions=3))
 
 
-@query("sweep_single_layer")
+# The sweep: gains x ridge values x repetitions; the seed of a net is its number.
+SWEEP_GAINS, SWEEP_RIDGES, SWEEP_REPS, SWEEP_STEPS = (0.3, 0.6), (0.1, 10.0), 2, 15
+
+
+def _sweep_sql() -> str:
+    parts, errors = [], []
+    for config, gain in enumerate(SWEEP_GAINS):
+        for rep in range(SWEEP_REPS):
+            for k, ridge in enumerate(SWEEP_RIDGES):
+                run = config * SWEEP_REPS + rep
+                net = sm.Reservoir(
+                    f"s{run}r{k}", "z8", 8, 4, 1, 8, seed=run, gains=(gain, 0.4, 0.0), ridge=ridge, washout=20
+                )
+                parts += [net.net(), net.inputs(), net.states(), net.fit(),
+                          net.rollout("SELECT stop AS origin FROM pr", 25, SWEEP_STEPS)]
+                errors.append(f"""
+                  SELECT {config} AS config_id, {gain} AS g_in_rec, {ridge} AS ridge, {rep} AS rep,
+                         f.t - pr.stop + 1 AS t_len, (f.value - z8.value) ** 2 AS se
+                  FROM {net.p}fc f JOIN z8 ON z8.t = f.t AND z8.cell = f.cell, pr WHERE f.t >= pr.stop""")
+    return f"""WITH RECURSIVE {sql.Z8}, {sm.SPAN}, {', '.join(parts)},
+    er AS ({' UNION ALL '.join(errors)}),
+    st AS (SELECT config_id, g_in_rec, ridge, rep, t_len, sum(se) AS sse, count(*) AS n FROM er GROUP BY ALL),
+    cu AS (SELECT config_id, g_in_rec, ridge, rep, t_len, sqrt(sum(sse) OVER w / sum(n) OVER w) AS rmse
+           FROM st WINDOW w AS (PARTITION BY config_id, ridge, rep ORDER BY t_len))
+    SELECT CAST(config_id AS BIGINT) AS config_id, {r('g_in_rec')} AS g_in_rec, {r('ridge')} AS ridge,
+           'rmse' || ((t_len - 1) // 4 + 1) AS err, {r('avg(rmse)')} AS mean, {r('stddev_samp(rmse)')} AS std,
+           count(*) AS n_rep
+    FROM cu WHERE (t_len - 1) % 4 = 0 GROUP BY config_id, g_in_rec, ridge, t_len"""
+
+
+@query("sweep_single_layer", _sweep_sql())
 def sweep_single_layer_job(spark, sf_dir):
-    """Gains x ridge values x repetitions of the block model; no SQL has its eigenvalues."""
+    """Gains x ridge values x repetitions of the block model, with weights SQL can state too."""
     n = p.frame_count(spark, sf_dir)
-    frames = p.emb8_frames(spark, sf_dir)
-    grid = sw.config_grid(spark, {"g": [0.3, 0.6], "g_in_rec": [0.1, 0.5]})
-    base = {"n": 20, "degree": 5, "g_in_neigh": 0.3, "g_in_layer": 0.0, "tau": 0.25, "dt": 0.25, "series": "emb"}
+
+    def given(sized):
+        damped = wt.raw_recurrent_weights(sized).withColumn("w", F.col("w") * 0.3)
+        return damped.unionByName(wt.input_weights(sized))
+
+    base = {"n": 8, "degree": 4, "g": 0.0, "g_in_neigh": 0.4, "g_in_layer": 0.0, "tau": 1.0, "dt": 0.5, "series": "emb"}
     out = pl.sweep_single_layer(
-        frames, p.emb8(spark, sf_dir), bl.blocks_1d(spark, 8, 4, 1), grid, [1e-3, 1e-1, 10.0], base,
-        3, (0, n - 20), 20, 30, 25,
+        p.emb8_frames(spark, sf_dir), p.emb8(spark, sf_dir), bl.blocks_1d(spark, 8, 4, 1),
+        sw.config_grid(spark, {"g_in_rec": list(SWEEP_GAINS)}), SWEEP_RIDGES, base, SWEEP_REPS,
+        (0, n - sm.LAST), SWEEP_STEPS, 20, 25, weights=given,
     )
     return p.present(out)
+
+
+# Two series and two resolutions: a forecast of every step by the step before.
+LAYERED = sql.Z + """,
+la AS (SELECT label AS series, 0 AS layer, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t,
+              unnest(range(64)) AS cell, unnest(embedding)::DOUBLE AS value FROM embeddings),
+both_ AS (SELECT * FROM la UNION ALL SELECT series, 1, t, cell // 2, avg(value) FROM la GROUP BY 1, 3, 4)"""
+
+
+@query(
+    "align_forecast_layers",
+    f"""WITH {LAYERED} SELECT 's' || series AS series, CAST(layer AS BIGINT) AS layer, t, CAST(cell AS BIGINT) AS cell,
+      {r('value')} AS value, {r('yhat')} AS yhat, {r('yhat - value')} AS error FROM (
+        SELECT *, lag(value) OVER (PARTITION BY series, layer, cell ORDER BY t) AS yhat FROM both_)
+    WHERE t > 0""",
+)
+def align_forecast_layers_job(spark, sf_dir):
+    """Scores of ten series at two resolutions, kept apart by their keys."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    fine = p.table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("s"), F.col("label").cast("string")).alias("series"), F.lit(0).alias("layer"),
+        (F.row_number().over(order) - 1).cast("long").alias("t"), F.col("embedding").cast("array<double>").alias("values"),
+    ).select("series", "layer", "t", F.posexplode("values").alias("cell", "value"))
+    coarse = fine.groupBy("series", "t", F.floor(F.col("cell") / 2).cast("int").alias("cell")).agg(
+        F.avg("value").alias("value")).withColumn("layer", F.lit(1))
+    panel = fine.unionByName(coarse)
+    forecast = panel.select("series", "layer", (F.col("t") + 1).alias("t"), "cell", F.col("value").alias("yhat"))
+    return p.present(ev.align_forecast(forecast, panel).select("series", "layer", "t", "cell", "value", "yhat", "error"))

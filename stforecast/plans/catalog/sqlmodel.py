@@ -131,6 +131,17 @@ class Reservoir:
           SELECT t, block * {d} + o - 1 AS cell, list_dot_product(w[block + 1][o], z) AS value
           FROM {p}fe, {p}wo, (SELECT unnest(range(1, {d + 1})) AS o))"""
 
+    def after_last(self) -> str:
+        """``{p}nx(t, cell, value)``: the output for the step after the last."""
+        p, d = self.p, self.size
+        return f"""
+        {p}ls AS (
+          SELECT s.block, s.t + 1 AS t, {self._cell_step('s.x', 'i.u', 'nt')} AS x
+          FROM {p}st s JOIN {p}in i ON i.block = s.block AND i.t = s.t, {p}nt nt, pr WHERE s.t = pr.n - 1),
+        {p}nx AS (
+          SELECT t, block * {d} + o - 1 AS cell, list_dot_product(w[block + 1][o], {self.features('x')}) AS value
+          FROM {p}ls, {p}wo, (SELECT unnest(range(1, {d + 1})) AS o))"""
+
     def rollout(self, origins: str, warmup: int, steps: int) -> str:
         """``{p}fc(origin, t, cell, value)``; ``origins`` is a SELECT of ``origin``."""
         p, n, d, b = self.p, self.n, self.size, self.blocks

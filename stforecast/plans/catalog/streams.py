@@ -38,8 +38,9 @@ def stream_panel_job(spark, sf_dir):
 
 @query(
     "stream_one_step",
-    f"""{FIT}, {ONE.fitted()} SELECT t, CAST(cell AS BIGINT) AS cell, {r('value')} AS yhat
-    FROM aft WHERE t >= 1""",
+    f"""{FIT}, {ONE.fitted()}, {ONE.after_last()}
+    SELECT t, CAST(cell AS BIGINT) AS cell, {r('value')} AS yhat FROM aft WHERE t >= 1
+    UNION ALL SELECT t, CAST(cell AS BIGINT), {r('value')} FROM anx""",
 )
 def stream_one_step_job(spark, sf_dir):
     """The batch one-step scores, from a stream of frame files in any order."""
@@ -51,6 +52,5 @@ def stream_one_step_job(spark, sf_dir):
     )
     inputs = bl.gather_inputs(arriving, block_map, keys=["run"])
     scored = run_to_table(stream_one_step(inputs, load_models(nets, readouts)), folder)
-    known = frames.select("t")
-    merged = bl.merge_block_outputs(scored.drop("run"), block_map).join(known, "t", "left_semi")
+    merged = bl.merge_block_outputs(scored.drop("run"), block_map)
     return p.present(merged.select("t", "cell", "yhat"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,10 +36,8 @@ from stforecast.operators.rollout import (
     MAX_SYSTEM_BYTES,
     origin_table,
     rollout_blocks,
-    rollout_blocks_wide,
     rollout_deep,
     rollout_delay,
-    system_bytes,
 )
 from stforecast.operators.states import attach_runs, score_one_step
 from stforecast.operators.sweep import sweep_runs, sweep_stats
@@ -76,6 +74,11 @@ def layer_input(fitted: DataFrame, forecast: DataFrame, train_stop: int) -> Data
     return past.unionByName(ahead)
 
 
+def around(frames: DataFrame, origins: Sequence[int], before: int, after: int) -> DataFrame:
+    """The steps that free runs from these origins read; the filter reaches the scan."""
+    return frames.filter(F.col("t").between(min(origins) - before, max(origins) + after))
+
+
 def forecast_single_layer(
     frames: DataFrame,
     block_map: DataFrame,
@@ -93,6 +96,7 @@ def forecast_single_layer(
     segment: int | None = None,
     overlap: int = 0,
     map_rows: int | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> Result:
     """Build the nets, fit every block, and roll forward from every origin.
 
@@ -114,13 +118,10 @@ def forecast_single_layer(
     scored = score_one_step(inputs, nets, readouts, block_map, *train, mode, segment, overlap)
     fitted = merge_block_outputs(scored, block_map, map_rows=map_rows)
     runs = spec.select("run").distinct()
-    n_cells = max(s.n_blocks * s.d_rec for s in sizes.values())
-    units = spec.agg(F.max("n")).first()[0]
-    one_task = system_bytes(n_cells, units, warmup + steps) <= MAX_SYSTEM_BYTES
-    roll = rollout_blocks if one_task else rollout_blocks_wide
-    forecast = roll(
-        frames, nets, readouts, block_map, origin_table(runs, origins), warmup, steps, mode,
-        coarse_frames,
+    forecast = rollout_blocks(
+        around(frames, origins, warmup, steps), nets, readouts, block_map, origin_table(runs, origins),
+        warmup, steps, mode, None if coarse_frames is None else around(coarse_frames, origins, warmup, steps),
+        max_bytes=max_bytes,
     )
     return Result(readouts, fitted, forecast, nets)
 
@@ -168,10 +169,11 @@ def whole_block(frames: DataFrame, n_cells: int, layer: int = 0) -> DataFrame:
 def frames_with_target(frames: DataFrame, keys: Sequence[str] = ("run", "layer")) -> DataFrame:
     """Frames as deep-net inputs with the next frame as target ``y``.
 
-    The target comes from an equi-join on t + 1, so no single task sorts a whole series.
+    The target comes from an equi-join on t + 1, so no single task sorts a whole series;
+    the last frame has none (null).
     """
     ahead = frames.select(*keys, (F.col("t") - 1).alias("t"), F.col("values").alias("y"))
-    return frames.join(ahead, [*keys, "t"]).select(
+    return frames.join(ahead, [*keys, "t"], "left").select(
         *keys, F.lit(0).alias("block"), "t", F.col("values").alias("u_rec"),
         F.array().cast("array<double>").alias("u_neigh"),
         F.array().cast("array<double>").alias("u_layer"), "y",
@@ -189,18 +191,20 @@ def forecast_deep(
     warmup: int,
     ridge: float,
     weights: DataFrame | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> Result:
     """Deep net on whole frames: build, fit, warm up, free-run."""
     weights = deep_weights(spec) if weights is None else weights
     nets = settle(pack_deep(spec, weights))
     block_map = whole_block(frames, n_cells)
     inputs = frames_with_target(frames)
-    readouts = settle(fit_deep_readout(inputs, nets, block_map, *train, washout, [ridge]))
+    readouts = settle(fit_deep_readout(inputs.filter("y IS NOT NULL"), nets, block_map, *train, washout, [ridge]))
     scored = score_one_step(inputs, nets, readouts, block_map, *train, after=True)
     fitted = merge_block_outputs(scored, block_map)
     runs = spec.select("run").distinct()
     forecast = rollout_deep(
-        frames, nets, readouts, block_map, origin_table(runs, origins), warmup, steps
+        around(frames, origins, warmup, steps), nets, readouts, block_map, origin_table(runs, origins),
+        warmup, steps, max_bytes=max_bytes,
     )
     return Result(readouts, fitted, forecast, nets)
 
@@ -221,6 +225,7 @@ def forecast_delay(
     origins: Sequence[int] | None = None,
     pca_ratio: float | None = None,
     fit_until: int | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> Result:
     """Polynomial delay features of ``(run, layer, t, values)``: (reduce,) fit, free-run, (restore).
 
@@ -245,8 +250,10 @@ def forecast_delay(
         features, readouts, ["run"], "phi", "linear"
     ).select("run", "layer", (F.col("t") + 1).alias("t"), F.posexplode("yhat").alias("cell", "yhat"))
     runs = frames.select("run").distinct()
+    origins = list(origins or [stop + 1])
     forecast = rollout_delay(
-        model, readouts, dictionary, origin_table(runs, origins or [stop + 1]), past, delay, steps
+        around(model, origins, 1 + (past - 1) * delay, steps), readouts, dictionary,
+        origin_table(runs, origins), past, delay, steps, max_bytes,
     )
     if components is not None:
         reduced = to_frames(
@@ -273,12 +280,15 @@ def sweep_single_layer(
     warmup: int,
     mode: str = "quadratic",
     points: int = 4,
+    weights: Callable[[DataFrame], DataFrame] | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> DataFrame:
     """Sweep of the single-layer pipeline with one state pass per net for all ridge values.
 
     ``frames`` is ``(series, layer, t, values)`` of one series; ``grid`` holds every
     parameter except the ridge. Each (grid point, repetition) is a net; each ridge value of
     it a run. Nets do not depend on the ridge, so the passes and Gram sums are shared.
+    ``weights`` makes the weights of the sized spec (one row per net); random nets if not given.
     """
     nets_grid = sweep_runs(grid, repetitions)
     spec = nets_grid.withColumn("layer", F.lit(0)).withColumn("tau", F.lit(float(base["tau"]))).withColumn(
@@ -288,7 +298,7 @@ def sweep_single_layer(
         if name not in grid.columns:
             spec = spec.withColumn(name, F.lit(base[name]))
     sized = with_dimensions(spec, check_dimensions(block_map))
-    nets = settle(pack_reservoir(sized, reservoir_weights(sized)))
+    nets = settle(pack_reservoir(sized, (weights or reservoir_weights)(sized)))
     per_net = attach_runs(frames, spec.select("run").withColumn("series", F.lit(base["series"])))
     inputs = gather_inputs(per_net.drop("series"), block_map, keys=["run"])
     readouts = fit_block_readouts(inputs, nets, block_map, *train, washout, ridges, mode)
@@ -305,7 +315,8 @@ def sweep_single_layer(
     ).select("config_id", "rep", "ridge", (F.col("_net") * n_ridges + F.col("_k")).alias("run"))
     run_frames = attach_runs(frames, runs.withColumn("series", F.lit(base["series"]))).drop("series")
     forecast = rollout_blocks(
-        run_frames, run_nets, models, block_map, origin_table(runs, [train[1]]), warmup, steps, mode
+        around(run_frames, [train[1]], warmup, steps), run_nets, models, block_map,
+        origin_table(runs, [train[1]]), warmup, steps, mode, max_bytes=max_bytes,
     )
     aligned = align_forecast(forecast.filter(F.col("t") >= train[1]), panel)
     curve = sample_curve(error_curve(aligned, ["run"]), points, keys=["run"])

@@ -84,3 +84,25 @@ def test_large_map_takes_the_long_path(spark, panel_of, monkeypatch):
         (r.block, r.t, r.u_rec, r.u_neigh) for r in large
     ]
     assert small[0].u_rec == [0.0, 4.0, 8.0, 12.0]
+
+
+def test_both_forms_leave_out_steps_without_coarse_values(spark, panel_of, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from stforecast.sources import to_frames
+
+    fine = panel_of(np.arange(32.0).reshape(8, 4), layer=1)
+    coarse = panel_of(100 + np.arange(16.0).reshape(4, 4)).filter("t IN (1, 3)")
+    m = bl.blocks_1d_linked(spark, 8, 2, 4, 1, 2, "include")
+    three = m.unionByName(m.withColumn("layer", F.lit(2)).withColumn("cell", F.col("cell") * 0))
+    frames = to_frames(fine)
+
+    def rows(block_map):
+        out = bl.gather_inputs(frames, block_map, to_frames(coarse)).orderBy("layer", "block", "t").collect()
+        return [(r.layer, r.block, r.t, r.u_rec, r.u_neigh, r.u_layer) for r in out]
+
+    small, small_three = rows(m), rows(three)
+    monkeypatch.setattr(bl, "fits_broadcast", lambda rows, row_bytes: False)
+    assert rows(m) == small and rows(three) == small_three
+    assert len(small) == 8 and all(len(r[5]) == 1 for r in small)

@@ -8,12 +8,6 @@ from compare import compare, duck
 from stforecast.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-# whole pipelines that other entries already cover step by step; check_all.py runs them
-LONG = {
-    "forecast_two_layer", "forecast_delay", "rollout_delay", "forecast_deep", "thin_units",
-    "fit_readout", "backtest", "stream_one_step", "deep_states",
-}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -22,10 +16,10 @@ def con():
     return duck(SF)
 
 
-def test_every_query_but_the_sweep_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"sweep_single_layer"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLES if n not in LONG])
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) is None

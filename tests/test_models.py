@@ -192,20 +192,6 @@ def test_coupled_rollout(spark, setup, nets, weights, mode):
                     x[b] = 0.5 * x[b] + 0.5 * np.tanh(w @ x[b] + win @ v[rec + neigh])
 
 
-def test_wide_rollout_equals_the_grouped_one(spark, setup, nets):
-    frames, m, inputs = setup
-    readouts = ro.fit_block_readouts(inputs, nets, m, 0, 120, 10, [1e-2]).cache()
-    origins = rl.origin_table(spark.range(2).withColumnRenamed("id", "run"), [120, 130])
-    args = (frames, nets, readouts, m, origins, 3, 4)
-    key = ["run", "origin", "t", "cell"]
-    got, wide = (
-        roll(*args).toPandas().sort_values(key)
-        for roll in (rl.rollout_blocks, rl.rollout_blocks_wide)
-    )
-    assert len(wide) == 2 * 2 * 7 * L
-    assert np.allclose(wide.yhat.to_numpy(), got.yhat.to_numpy(), atol=1e-9)
-
-
 def test_single_layer_shapes(spark, setup):
     frames, m, _ = setup
     plain = spec(spark).drop("d_rec", "d_neigh", "d_layer")
@@ -370,3 +356,23 @@ def test_system_size_is_checked():
     rl.check_system_size(1000, 400, 2000)
     with pytest.raises(ValueError):
         rl.check_system_size(10**7, 1000, 2000)
+
+
+def test_ridges_alone_or_together_give_the_same():
+    from stforecast.functions.numeric import ridge_solutions
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 100))
+    x[1:] = x[0] + 1e-5 * x[1:]  # near-collinear
+    gram, cross = x @ x.T, rng.normal(size=(4, 100)) @ x.T
+    both = ridge_solutions(gram, cross, [1e-6, 1e-3])
+    for r, got in zip([1e-6, 1e-3], both, strict=True):
+        assert np.allclose(got, ridge_solutions(gram, cross, [r])[0], rtol=1e-9, atol=0)
+
+
+def test_a_system_too_large_for_a_task_fails(spark, setup, nets):
+    frames, m, inputs = setup
+    readouts = ro.fit_block_readouts(inputs, nets, m, 0, 120, 10, [1e-2])
+    origins = rl.origin_table(spark.range(2).withColumnRenamed("id", "run"), [120])
+    with pytest.raises(Exception, match="max_bytes"):
+        rl.rollout_blocks(frames, nets, readouts, m, origins, 3, 4, max_bytes=100).count()

@@ -98,3 +98,13 @@ def test_shared_gram_sweep_equals_single_runs(spark, panel_of):
     want = alone[0].unionByName(alone[1]).toPandas().sort_values(key)
     assert len(got) == 8 and (got.n_rep == 2).all()
     assert np.allclose(got["mean"], want["mean"]) and np.allclose(got["std"], want["std"])
+
+
+def test_layers_and_series_are_kept_apart(spark):
+    rows = [(s, l, t, 0, 10.0 * l + t) for s in ("a", "b") for l in (0, 1) for t in (0, 1)]
+    actual = spark.createDataFrame(rows, "series string, layer int, t long, cell int, value double")
+    forecast = actual.withColumnRenamed("value", "yhat")
+    out = ev.align_forecast(forecast, actual).collect()
+    assert len(out) == len(rows) and all(r.error == 0 for r in out)
+    with pytest.raises(Exception, match="more than one actual value"):
+        ev.align_forecast(forecast.drop("series"), actual).collect()
