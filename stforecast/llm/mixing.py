@@ -113,6 +113,7 @@ def mixed(
     docs: DataFrame, levels: Levels, percent: int = 100, epochs: int = 1, seed: int = 0, tokens: Column | None = None
 ) -> DataFrame:
     """The rows of ``docs`` that a mix takes, with ``epoch``: as often as they are taken.
+    A column of that name gives way.
 
     ``docs`` needs doc_id, text and the level columns from the root down; each level has an
     integer weight (a column of its path), null or below 1 for nothing. The budget is ``percent``
@@ -132,13 +133,13 @@ def mixed(
     last = F.col("__cut").isNotNull() & (place("doc_id", "__whole", seed) <= F.col("__cut"))
     taken = F.sequence(F.lit(0), (F.col("__whole") + last.cast("long")).cast("int") - 1)
     rows = rows.where((F.col("__whole") > 0) | last)
-    return rows.withColumn("epoch", F.explode(taken)).drop("__whole", "__cut")
+    return rows.select(*[f"`{c}`" for c in docs.columns if c != "epoch"], F.explode(taken).alias("epoch"))
 
 
 def drop_to_mix(docs: DataFrame, levels: Levels, **options) -> DataFrame:
     """The rows of ``docs`` that a mix of one epoch takes, with their own columns only."""
-    named = docs.withColumns({name: F.col(name) for name, _ in levels if name in docs.columns})
-    return columns_of(docs, mixed(named, levels, epochs=1, **options).drop("epoch"))
+    own = docs.withColumnsRenamed({"epoch": "__epoch"})
+    return columns_of(docs, mixed(own, levels, epochs=1, **options).drop("epoch").withColumnsRenamed({"__epoch": "epoch"}))
 
 
 def document_levels() -> Levels:
