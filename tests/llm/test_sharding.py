@@ -18,7 +18,7 @@ def test_differencing_beats_its_parts():
     assert sorted(sum(parts, [])) == sorted(sizes) and max(sums) - min(sums) < 20
 
 
-@pytest.mark.parametrize(("chunk", "top", "direct"), [(2000, 400, 8000), (40, 400, 100), (20, 4, 30)])
+@pytest.mark.parametrize(("chunk", "top", "direct"), [(2000, 400, 8000), (40, 400, 100), (10, 20, 100)])
 def test_groups_are_placed_once_and_evenly(spark, monkeypatch, chunk, top, direct):
     for name, value in (("CHUNK", chunk), ("TOP", top), ("DIRECT", direct), ("FAN", 3)):
         monkeypatch.setattr(sharding, name, value)
