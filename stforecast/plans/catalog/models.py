@@ -426,6 +426,58 @@ def forecast_delay_job(spark, sf_dir):
     return _forecast_delay(spark, sf_dir, 2, None)
 
 
+# The sweep: two degrees x two ridge values, each run from three origins.
+DELAY_RIDGES, DELAY_ORIGINS = (0.5, 20.0), (0, 40, 90)
+
+
+def _sweep_delay_sql() -> str:
+    parts, errors = [], []
+    for config, (degree, features) in enumerate(((1, 17), (2, 153))):
+        for k, ridge in enumerate(DELAY_RIDGES):
+            name = f"g{config}{k}"
+            parts += [
+                f"""{name}f AS (SELECT phi.t, list(phi.value ORDER BY f) AS z FROM phi, pr
+                    WHERE degree <= {degree} AND phi.t < stop - 101 GROUP BY phi.t)""",
+                sm.ridge_fit(name, f"{name}f", "vec", features, 8, ridge),
+                f"{name}t AS (SELECT list([i0 + 1, i1 + 1] ORDER BY f) AS terms FROM dict WHERE degree <= {degree})",
+                f"""{name}r AS (
+                  SELECT stop - back AS origin, stop - back - 1 AS t, a.v AS h0, b.v AS h1
+                  FROM pr, (SELECT unnest([{', '.join(map(str, DELAY_ORIGINS))}]) AS back), nfr a, nfr b
+                  WHERE a.t = stop - back - 1 AND b.t = stop - back - 2
+                  UNION ALL
+                  SELECT origin, t + 1, list_transform(range(1, 9), lambda o: list_dot_product({name}w.w[o], q.ph)), h0
+                  FROM (SELECT x.origin, x.t, x.h0, list_transform(y.terms, lambda e:
+                          CAST(CASE WHEN e[1] > 0 THEN list_concat(h0, h1)[e[1]] ELSE 1 END
+                               * CASE WHEN e[2] > 0 THEN list_concat(h0, h1)[e[2]] ELSE 1 END AS DOUBLE)) AS ph
+                        FROM {name}r x, {name}t y WHERE x.t < x.origin + {STEPS} - 1) q, {name}w)""",
+            ]
+            errors.append(f"""
+              SELECT {config} AS config_id, {degree} AS degree, {ridge} AS ridge, f.origin, f.t - f.origin + 1 AS t_len,
+                     (f.value - z8.value) ** 2 AS se
+              FROM (SELECT origin, t, unnest(range(8)) AS cell, unnest(h0) AS value FROM {name}r WHERE t >= origin) f
+              JOIN z8 ON z8.t = f.t AND z8.cell = f.cell""")
+    return f"""WITH RECURSIVE {sql.Z8}, {sm.SPAN}, {DICTIONARY}, {DELAYED},
+    nfr AS (SELECT t, list(value ORDER BY cell) AS v FROM z8 GROUP BY t), {', '.join(parts)},
+    er AS ({' UNION ALL '.join(errors)}),
+    st AS (SELECT config_id, degree, ridge, origin, t_len, sum(se) AS sse, count(*) AS n FROM er GROUP BY ALL),
+    cu AS (SELECT config_id, degree, ridge, t_len, sqrt(sum(sse) OVER w / sum(n) OVER w) AS rmse
+           FROM st WINDOW w AS (PARTITION BY config_id, ridge, origin ORDER BY t_len))
+    SELECT CAST(config_id AS BIGINT) AS config_id, CAST(2 AS BIGINT) AS past, CAST(1 AS BIGINT) AS delay,
+           CAST(degree AS BIGINT) AS degree, {r('ridge')} AS ridge, 'rmse' || ((t_len - 1) // 4 + 1) AS err,
+           {r('avg(rmse)')} AS mean, {r('stddev_samp(rmse)')} AS std, count(*) AS n_rep
+    FROM cu WHERE (t_len - 1) % 4 = 0 GROUP BY config_id, degree, ridge, t_len"""
+
+
+@query("sweep_delay", _sweep_delay_sql())
+def sweep_delay_job(spark, sf_dir):
+    n = p.frame_count(spark, sf_dir)
+    out = pl.sweep_delay(
+        p.emb8_frames(spark, sf_dir), p.emb8(spark, sf_dir), 8, [(2, 1, 1), (2, 1, 2)], DELAY_RIDGES,
+        n - LAST - 101 - 11, [n - LAST - back for back in DELAY_ORIGINS], STEPS, washout=10,
+    )
+    return p.present(out)
+
+
 # A full rotation changes nothing in a linear ridge model, so SQL can leave it out.
 @query("forecast_delay_pca", _delay_sql(1, 17) + ", " + _delay_roll(1))
 def forecast_delay_pca_job(spark, sf_dir):

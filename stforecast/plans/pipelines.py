@@ -52,7 +52,7 @@ from stforecast.operators.weights import (
 from stforecast.session import settle
 from stforecast.sources.panel import to_frames
 
-__all__ = ["Result", "forecast_single_layer", "forecast_layers", "forecast_deep", "forecast_delay"]
+__all__ = ["Result", "forecast_single_layer", "forecast_layers", "forecast_deep", "forecast_delay", "sweep_single_layer", "sweep_delay"]
 
 
 @dataclass
@@ -326,3 +326,53 @@ def sweep_single_layer(
     )
     stats = sweep_stats(errors, ["config_id", "ridge"])
     return grid.join(stats, "config_id")
+
+
+def sweep_delay(
+    frames: DataFrame,
+    panel: DataFrame,
+    n_cells: int,
+    structures: Sequence[tuple[int, int, int]],
+    ridges: Sequence[float],
+    train_len: int,
+    origins: Sequence[int],
+    steps: int,
+    washout: int = 0,
+    points: int = 4,
+    max_bytes: int = MAX_SYSTEM_BYTES,
+) -> DataFrame:
+    """Sweep of the delay model: (past, delay, degree) x ridge, scored from several origins.
+
+    ``frames`` is ``(layer, t, values)`` of one series, trained on ``train_len`` steps. The
+    features of a structure and its Gram sums serve every ridge value; a (ridge, origin) pair
+    is one group of the free run. Mean and deviation are over the origins.
+    Returns config_id (the place in ``structures``), past, delay, degree, ridge, err, mean, std, n_rep.
+    """
+    runs = frames.sparkSession.range(len(ridges)).select(F.col("id").alias("run"))
+    listed = F.array(*[F.lit(float(r)) for r in ridges])
+    parts = []
+    for config, (past, delay, degree) in enumerate(structures):
+        linear = frames.sparkSession.range(n_cells * past).select(F.col("id").cast("int").alias("i"))
+        dictionary = feature_dictionary(linear, degree)
+        one = frames.select(F.lit(0).cast("long").alias("run"), "layer", "t", "values")
+        stop = washout + (past - 1) * delay + train_len
+        delayed = delay_frames(one, past, delay, washout, ["run", "layer"]).filter(F.col("t") < stop)
+        readouts = fit_readout(delay_gram(delayed, dictionary, ["run"]), ridges, ["run"]).withColumn(
+            "run", (F.array_position(listed, F.col("ridge")) - 1).cast("long"))
+        near = around(frames, origins, 1 + (past - 1) * delay, steps)
+        each = F.array(*[F.lit(k).cast("long") for k in range(len(ridges))])
+        near = near.select(F.explode(each).alias("run"), "layer", "t", "values")
+        forecast = rollout_delay(
+            near, settle(readouts), dictionary, origin_table(runs, origins), past, delay, steps, max_bytes
+        )
+        aligned = align_forecast(forecast, panel)
+        curve = sample_curve(error_curve(aligned, ["run", "origin"]), points, keys=["run", "origin"])
+        parts.append(curve.select(
+            F.lit(config).alias("config_id"), F.lit(past).alias("past"), F.lit(delay).alias("delay"),
+            F.lit(degree).alias("degree"), F.get(listed, F.col("run").cast("int")).alias("ridge"),
+            F.concat(F.lit("rmse"), F.col("point").cast("string")).alias("err"), F.col("rmse").alias("error"),
+        ))
+    errors = parts[0]
+    for part in parts[1:]:
+        errors = errors.unionByName(part)
+    return sweep_stats(errors, ["config_id", "past", "delay", "degree", "ridge"])
