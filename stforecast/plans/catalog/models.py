@@ -528,3 +528,50 @@ def pca_restore_job(spark, sf_dir):
     components = ro.pca_fit(frames, ratio=1.0)
     restored = ro.pca_restore(ro.pca_reduce(frames, components, n_cells=64), components, n_cells=64)
     return p.present(restored.select("t", F.posexplode("values").alias("cell", "value")))
+
+
+# The covariance of eight cells, squared ten times and scaled, is the projection on its first
+# component: the others have died out.
+LEADING = f"""WITH RECURSIVE {sql.Z8},
+    cv AS (SELECT a.cell AS i, list(v ORDER BY b) AS row FROM (
+             SELECT a.cell, b.cell AS b, covar_samp(a.value, b.value) AS v
+             FROM z8 a JOIN z8 b ON a.t = b.t GROUP BY 1, 2) a GROUP BY 1),
+    pw AS (
+      SELECT 0 AS k, list(row ORDER BY i) AS m FROM cv
+      UNION ALL
+      SELECT k + 1, list_transform(q, lambda r: list_transform(r, lambda e: e / s)) FROM (
+        SELECT k, q, list_sum(list_transform(range(1, 9), lambda i: q[i][i])) AS s FROM (
+          SELECT k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS q
+          FROM pw WHERE k < 10))),
+    pj AS (SELECT m FROM pw WHERE k = 10),
+    fr AS (SELECT t, list(value ORDER BY cell) AS v FROM z8 GROUP BY t)"""
+
+
+def _leading(spark, sf_dir):
+    frames = p.emb8_frames(spark, sf_dir)
+    return frames, ro.pca_fit(frames, ratio=0.05)
+
+
+@query(
+    "pca_restore_leading",
+    f"""{LEADING} SELECT CAST(t AS BIGINT) AS t, CAST(cell AS BIGINT) AS cell, {r('list_dot_product(m[cell + 1], v)')} AS value
+    FROM fr, pj, (SELECT unnest(range(8)) AS cell)""",
+)
+def pca_restore_leading_job(spark, sf_dir):
+    """Frames reduced to the first component and restored."""
+    frames, components = _leading(spark, sf_dir)
+    restored = ro.pca_restore(ro.pca_reduce(frames, components, n_cells=8), components, n_cells=8)
+    return p.present(restored.select("t", F.posexplode("values").alias("cell", "value")))
+
+
+@query(
+    "pca_fit_leading",
+    f"""{LEADING} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('m[i + 1][j + 1]')} AS w
+    FROM pj, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)""",
+)
+def pca_fit_leading_job(spark, sf_dir):
+    """The first component as its projection, which has no free sign."""
+    _, components = _leading(spark, sf_dir)
+    rows = components.select("vector", F.posexplode("vector").alias("i", "a"))
+    return p.present(rows.select("i", "a", F.posexplode("vector").alias("j", "b")).select(
+        "i", "j", (F.col("a") * F.col("b")).alias("w")))
