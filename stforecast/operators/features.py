@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stforecast.functions.columns import seeded_int, seeded_normal_sql, square_even
 from stforecast.sources.panel import KEYS, time_chunks
 
-# A Gram matrix of this many features is 800 MB; wider models are refused.
+# A Gram matrix of this many features is 800 MB; the default limit of a model's width.
 MAX_FEATURES = 10_000
 # Steps per time chunk of the lag windows.
 CHUNK = 4096
@@ -50,14 +50,18 @@ def feature_length(n_linear: int, degree: int) -> int:
     return 1 + n_linear + sum(math.comb(n_linear + p - 1, p) for p in range(2, degree + 1))
 
 
-def feature_dictionary(linear: DataFrame, degree: int) -> DataFrame:
-    """Rows ``(f, degree, idx)``: 0 is the constant, then linear terms, then monomials."""
+def feature_dictionary(linear: DataFrame, degree: int, max_features: int = MAX_FEATURES) -> DataFrame:
+    """Rows ``(f, degree, idx)``: 0 is the constant, then linear terms, then monomials.
+
+    More than ``max_features`` features are an error: their Gram matrix, 8 bytes times the
+    square, must fit in one task of the fit.
+    """
     n = int(linear.agg(F.max("i")).first()[0]) + 1
-    if feature_length(n, degree) > MAX_FEATURES:
+    if feature_length(n, degree) > max_features:
         raise ValueError(
-            f"{feature_length(n, degree)} features exceed {MAX_FEATURES}; reduce the cells first"
+            f"{feature_length(n, degree)} features exceed {max_features}; reduce the cells or raise max_features"
         )
-    # row numbers over at most MAX_FEATURES rows
+    # row numbers over at most max_features rows
     out = index_combos(linear, 0).select(F.lit(0).alias("f"), F.lit(0).alias("degree"), "idx")
     start = 1
     for p in range(1, degree + 1):
@@ -83,9 +87,14 @@ def select_features(dictionary: DataFrame, n_features: int, seed: int = 0) -> Da
     return draw.orderBy("_key", "f").limit(n_features).drop("_key").orderBy("f")
 
 
+def chunk_for(depth: int) -> int:
+    """Steps of a time chunk for lags of this depth: longer than the steps it repeats."""
+    return max(CHUNK, 4 * depth)
+
+
 def delay_embed(
     panel: DataFrame, past: int, delay: int, washout: int = 0, keys: Sequence[str] = KEYS,
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Lags 0, d, ..., (past-1)d of every cell as columns ``lag0, lag1, ...``.
 
@@ -95,7 +104,7 @@ def delay_embed(
     depth = (past - 1) * delay
     w = W.partitionBy(*keys, "cell", "_chunk").orderBy("t")
     lags = [F.lag("value", j * delay).over(w).alias(f"lag{j}") for j in range(past)]
-    cut = time_chunks(panel.select(*keys, "t", "cell", "value"), chunk, back=depth)
+    cut = time_chunks(panel.select(*keys, "t", "cell", "value"), chunk or chunk_for(depth), back=depth)
     return (
         cut.select(*keys, "t", "cell", "_own", *lags)
         .filter(F.col("_own") & (F.col("t") >= washout + depth)).drop("_own")
@@ -113,13 +122,13 @@ def next_step_target(
 
 def delay_frames(
     frames: DataFrame, past: int, delay: int, washout: int = 0, keys: Sequence[str] = KEYS,
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Delay vectors of whole frames: ``lin`` (lag-major, then cell) and target ``y``."""
     depth = (past - 1) * delay
     w = W.partitionBy(*keys, "_chunk").orderBy("t")
     lags = [F.lag("values", j * delay).over(w) for j in range(past)]
-    cut = time_chunks(frames.select(*keys, "t", "values"), chunk, back=depth, ahead=1)
+    cut = time_chunks(frames.select(*keys, "t", "values"), chunk or chunk_for(depth), back=depth, ahead=1)
     vectors = cut.select(
         *keys, "t", "_own", F.concat(*lags).alias("lin"), F.lead("values").over(w).alias("y")
     )

@@ -16,6 +16,7 @@ from stforecast.operators.blocks import (
 )
 from stforecast.operators.evaluate import align_forecast, error_curve, sample_curve
 from stforecast.operators.features import (
+    MAX_FEATURES,
     delay_frames,
     feature_dictionary,
     jitter_features,
@@ -226,6 +227,7 @@ def forecast_delay(
     pca_ratio: float | None = None,
     fit_until: int | None = None,
     max_bytes: int = MAX_SYSTEM_BYTES,
+    max_features: int = MAX_FEATURES,
 ) -> Result:
     """Polynomial delay features of ``(run, layer, t, values)``: (reduce,) fit, free-run, (restore).
 
@@ -238,7 +240,7 @@ def forecast_delay(
         width = components.groupBy("run").count().agg(F.max("count")).first()[0]
         model = pca_reduce(frames, components, ["run"], n_cells)
     linear = frames.sparkSession.range(width * past).select(F.col("id").cast("int").alias("i"))
-    dictionary = select_features(feature_dictionary(linear, degree), n_features, seed)
+    dictionary = select_features(feature_dictionary(linear, degree, max_features), n_features, seed)
     start = washout + (past - 1) * delay
     stop = start + train_len
     delayed = delay_frames(model, past, delay, washout, ["run", "layer"]).filter(F.col("t") < stop)

@@ -63,14 +63,16 @@ def load_models(nets: DataFrame, readouts: DataFrame) -> dict[tuple[int, int, in
 
 
 def stream_one_step(
-    inputs: DataFrame, models: dict[tuple[int, int, int], dict], mode: str = "quadratic"
+    inputs: DataFrame, models: dict[tuple[int, int, int], dict], mode: str = "quadratic",
+    max_early: int = 10_000,
 ) -> DataFrame:
     """Next-step forecasts of every block as its inputs arrive.
 
     ``inputs`` is the streaming ``(run, layer, block, t, u_rec, u_neigh, u_layer)`` of
     ``gather_inputs``. The state of a block is its net state, the next step it waits for
     (0 at first) and the inputs that came early; a step seen before is ignored. After
-    step t the output is the forecast for t + 1.
+    step t the output is the forecast for t + 1. If a step does not come while more than
+    ``max_early`` later ones wait, the stream fails rather than let the state grow.
     """
     check_mode(mode)
 
@@ -95,6 +97,8 @@ def stream_one_step(
             z = np.concatenate(x)
             times.append(due)
             outputs.append(coef @ (squared_evens(z) if mode == "quadratic" else z))
+        if len(waiting) > max_early:
+            raise ValueError(f"step {due} of {key} is missing while {len(waiting)} later steps wait")
         early = sorted(waiting)
         state.update((
             due, np.concatenate(x).tolist(), early,
