@@ -19,6 +19,7 @@ from stforecast.llm.shared import columns_of, query, table, written
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
 SKETCH = 64
 MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketches
+LONG_SKETCH = 256  # of sets that are still apart in some list
 BEST = 3  # links each text tries first
 PIECE_BYTES = 8 << 20
 SKETCH_SCHEMA = "id long, n int, print binary, sketch array<long>"
@@ -125,6 +126,37 @@ def needed(n: Column, k: int, percent: int) -> Column:
     return F.when(n <= k, exact).otherwise(F.lit(least_overlap(k, percent))).cast("int")
 
 
+def rare_lists(values: DataFrame, k: int, percent: int) -> DataFrame:
+    """Inverted lists (v, rep, n, place) of sketch values (rep, n, s, v), ``s`` the sketch's size.
+
+    The values of a sketch are put in one order for all: by how many sketches have them, then by
+    themselves. Two sketches with ``needed`` common values have the first of these within the
+    first ``s - needed + 1`` places of either, so the lists hold those only; a value of one
+    sketch alone takes a place and no row.
+    """
+    shared = written(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
+    own = Window.partitionBy("rep")
+    placed = values.join(shared, "v").withColumn(
+        "place", F.row_number().over(own.orderBy("c", "v")) + F.col("s") - F.count("*").over(own))
+    lists = placed.where(F.col("place") <= F.col("s") - needed(F.col("n"), k, percent) + 1)
+    return written(lists.select("v", "rep", "n", "place"))
+
+
+def largest_partner(k: int, percent: int) -> Column:
+    """How many shingles a set may have that is linked with a row of ``rare_lists`` and meets it
+    first at that place: the values before are not common. Exact where the sketch is the whole
+    set on both sides; others are bounded by the ratio of sizes alone."""
+    ratio = F.floor(F.col("n") * 100 / percent)
+    common = F.col("n") - F.col("place") + 1
+    most = F.floor(common * (100 + percent) / percent) - F.col("n")
+    return F.when(ratio <= k, F.least(ratio, most)).otherwise(ratio).cast("long")
+
+
+def size_class(n: Column) -> Column:
+    """Sizes in steps of a tenth, so that a list is joined in pieces."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.1)).cast("int")
+
+
 def sized(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -165,6 +197,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def long_sketches(sets: DataFrame, k: int) -> DataFrame:
+    """The k smallest hashes of full sets as rows (rep, n, s, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(x.as_buffer()) // 8 for x in batch.column("shingles")]
+            low = [np.frombuffer(x.as_buffer(), np.int64)[:k] for x in batch.column("shingles")]
+            took = [len(x) for x in low]
+            columns = [np.repeat(batch.column("id").to_numpy(), took), np.repeat(sizes, took), np.repeat(took, took)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, kind in zip(
+                    [*columns, np.concatenate([np.zeros(0, np.int64), *low])],
+                    (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
+                ["rep", "n", "s", "v"],
+            )
+
+    return sets.select("id", "shingles").mapInArrow(run, "rep long, n int, s int, v long")
+
+
+def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows, with their ``component``, of lists whose members are not yet all in one."""
+    now = written(lists.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")))
+    open_ = now.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return now.join(written(open_.select("v")), "v", "left_semi")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """The component of every document under links of Jaccard similarity ``percent`` or more.
 
@@ -181,9 +240,12 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
        listed: values of passages that many documents share fall out unless a node is made of them.
     3. Each node is offered the member that a hash picks from each of its lists; the BEST by
        union-sketch estimate are confirmed on the full sets. This joins large groups without
-       their pairs. Then, in lists that still hold several components, every node outside the
-       most frequent component of the list meets all nodes of other components: a pair left out
-       is inside one component or fails an exact or binomial bound.
+       their pairs.
+    4. What lists still hold in several components is listed again by longer sketches, exact for
+       sets up to LONG_SKETCH shingles. In each list, the nodes outside its most frequent
+       component meet the nodes of other components that their sizes and their places in the
+       list leave possible. A pair left out is inside one component or fails an exact or
+       binomial bound; texts that share a passage and little else fail them by their own words.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     marks = written(sketches(texts, width, k))
@@ -193,13 +255,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     ).select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
 
     values = nodes.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    shared = written(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
-    own = Window.partitionBy("rep")
-    listed = values.join(shared, "v").withColumns({
-        "place": F.row_number().over(own.orderBy("c", "v")) + F.col("s") - F.count("*").over(own),
-    }).where(F.col("place") <= F.col("s") - needed(F.col("n"), k, percent) + 1)
-    lists = written(listed.select("v", "rep", "n"))
-
+    lists = rare_lists(values, k, percent)
     picked = written(lists.groupBy("v").agg(
         F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("x"),
         F.count("*").alias("c"),
@@ -215,16 +271,20 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     links = written(confirmed(tried, sets, percent))
     joined = written(components(links))
 
-    now = lists.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "v", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    now = written(now)
-    mixed = now.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    mixed = written(now.join(mixed.select("v"), "v", "left_semi"))
-    heavy = mixed.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(
+    apart = mixed(lists, joined).select(F.col("rep").alias("id")).distinct()
+    values = long_sketches(sets.join(written(apart), "id", "left_semi"), LONG_SKETCH)
+    several = written(mixed(rare_lists(values, LONG_SKETCH, percent), joined).withColumn(
+        "most", largest_partner(LONG_SKETCH, percent)))
+    heavy = several.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(
         F.max(F.struct("c", "component")).alias("x")).select("v", F.col("x.component").alias("main"))
-    few = written(mixed.join(written(heavy), "v").where("component <> main").select(
-        "v", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc")))
-    rest = mixed.join(few, "v").where(F.col("component") != F.col("bc")).where(sized("n", "bn", percent))
+    few = several.join(written(heavy), "v").where("component <> main")
+    few = few.select(
+        "v", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("component").alias("bc"),
+        F.explode(F.sequence(size_class(F.ceil(F.col("n") * percent / 100)), size_class(F.col("most")))).alias("class"),
+    )
+    rest = several.withColumn("class", size_class(F.col("n"))).join(written(few), ["v", "class"]).where(
+        (F.col("component") != F.col("bc")) & sized("n", "bn", percent)
+        & (F.col("n") <= F.col("bmost")) & (F.col("bn") <= F.col("most")))
     rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     rest = written(sketch_filter(rest.join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
     links = links.unionByName(confirmed(rest, sets, percent))
