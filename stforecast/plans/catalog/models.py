@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stforecast.operators import blocks as bl
@@ -478,6 +479,52 @@ def sweep_delay_job(spark, sf_dir):
     return p.present(out)
 
 
+# Ten series as runs, each fitted alone and run from three origins.
+RUN_TRAIN, RUN_ORIGINS, RUN_STEPS = 30, (31, 34, 37), 6
+RUNS = f"""WITH RECURSIVE
+    lf AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding AS e FROM embeddings),
+    fr AS (SELECT run, t, list_transform(range(8), lambda c: list_avg(list_transform(e[8 * c + 1:8 * c + 8], lambda x: x::DOUBLE))) AS v
+           FROM lf),
+    fe AS (SELECT f.run AS key, f.t, list_concat([1.0::DOUBLE], f.v) AS z, g.v AS y
+           FROM fr f JOIN fr g ON g.run = f.run AND g.t = f.t + 1 WHERE f.t < {RUN_TRAIN}),
+    zz AS (SELECT key, t, unnest(range(1, 10)) AS i, unnest(z) AS v FROM fe),
+    yy AS (SELECT key, t, unnest(range(10, 18)) AS i, unnest(y) AS v FROM fe),
+    au AS (
+      SELECT key, i, list(v ORDER BY j) AS r FROM (
+        SELECT a.key, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 0.5 ELSE 0 END AS v
+        FROM zz a JOIN zz b ON b.key = a.key AND b.t = a.t GROUP BY 1, 2, 3
+        UNION ALL
+        SELECT a.key, a.i, y.i, sum(a.v * y.v) FROM zz a JOIN yy y ON y.key = a.key AND y.t = a.t GROUP BY 1, 2, 3)
+      GROUP BY key, i),
+    {sql.solve('sv', 'au', 9)},
+    wo AS (SELECT key, list_transform(range(1, 9), lambda o: list_transform(range(1, 10), lambda i: m[i][9 + o])) AS w FROM sv),
+    rr AS (
+      SELECT run, origin, origin - 1 AS t, v FROM fr, (SELECT unnest([{', '.join(map(str, RUN_ORIGINS))}]) AS origin)
+      WHERE t = origin - 1
+      UNION ALL
+      SELECT rr.run, origin, t + 1, list_transform(range(1, 9), lambda o: list_dot_product(w[o], list_concat([1.0::DOUBLE], v)))
+      FROM rr JOIN wo ON wo.key = rr.run WHERE t < origin + {RUN_STEPS} - 1)"""
+
+
+@query(
+    "backtest_delay_runs",
+    f"""{RUNS} SELECT CAST(run AS BIGINT) AS run, CAST(origin AS BIGINT) AS origin, CAST(t AS BIGINT) AS t,
+      CAST(cell AS BIGINT) AS cell, {r('y')} AS yhat
+    FROM (SELECT run, origin, t, unnest(range(8)) AS cell, unnest(v) AS y FROM rr WHERE t >= origin)""",
+)
+def backtest_delay_runs_job(spark, sf_dir):
+    """One linear delay model per label of the embeddings, all at once."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    frames = p.table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("run"), F.lit(0).alias("layer"),
+        (F.row_number().over(order) - 1).cast("long").alias("t"), F.expr("""transform(sequence(0, 7), c ->
+            aggregate(slice(CAST(embedding AS ARRAY<DOUBLE>), 8 * c + 1, 8), 0D, (s, x) -> s + x) / 8)""").alias("values"),
+    )
+    result = pl.forecast_delay(
+        frames, 8, RUN_TRAIN, RUN_STEPS, past=1, degree=1, ridge=0.5, origins=list(RUN_ORIGINS))
+    return p.present(result.forecast.select("run", "origin", "t", "cell", "yhat"))
+
+
 # A full rotation changes nothing in a linear ridge model, so SQL can leave it out.
 @query("forecast_delay_pca", _delay_sql(1, 17) + ", " + _delay_roll(1))
 def forecast_delay_pca_job(spark, sf_dir):
