@@ -64,9 +64,9 @@ def drop_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: in
     after a partial aggregate, and copies of a repeated chunk are combined before their shuffle.
     The joins on a hash have one row per hash on one side, so that a hot hash can be split.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({
-        "chunks": chunks_of(F.col("text"), divisor, long_words), "doc": F.unhex(F.md5(F.concat_ws(":", "doc_id", F.coalesce("text", F.lit("")))))
-    })
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+    rows = rows.withColumns({"chunks": chunks_of(F.col("text"), divisor, long_words), "doc": F.unhex(F.md5(known))})
     places = rows.select("doc_id", "doc", F.posexplode("chunks").alias("place", "c")).where("c.passage").select(
         "doc_id", "doc", "place", F.unhex(F.md5("c.chunk")).alias("hash"), "c.chunk")
     found = written(places.drop("chunk"))
@@ -104,7 +104,8 @@ WITH lines AS (
          OR (h + {RADIX} * lag(h, 1, 0) OVER w + {RADIX**2} * lag(h, 2, 0) OVER w) % {DIVISOR} = 0 AS last
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
-  SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM marked
 ), chunks AS (
   SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk,

@@ -106,7 +106,8 @@ def mix_plan(docs: DataFrame, levels: Levels, percent: int, epochs: int, seed: i
 
 def place(doc_id: str, epoch: str, seed: int) -> Column:
     """Place of a document in the seeded order of an epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    known = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), known))
 
 
 def mixed(
@@ -128,8 +129,8 @@ def mixed(
     """
     names = [name for name, _ in levels]
     plan = mix_plan(docs, levels, percent, epochs, seed, words(F.col("text")) if tokens is None else tokens)
-    rows = docs.alias("l").join(plan.select(*names, F.col("whole").alias("__whole"), F.col("cut").alias("__cut")).alias("r"), _same(names))
-    rows = rows.select("l.*", "__whole", "__cut")
+    plan = plan.select(*names, F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
+    rows = docs.alias("l").join(plan.alias("r"), _same(names)).select("l.*", "__whole", "__cut")
     last = F.col("__cut").isNotNull() & (place("doc_id", "__whole", seed) <= F.col("__cut"))
     taken = F.sequence(F.lit(0), (F.col("__whole") + last.cast("long")).cast("int") - 1)
     rows = rows.where((F.col("__whole") > 0) | last)
@@ -173,6 +174,7 @@ def _sql_level(path: str, parent: str, weight: str, source: str) -> str:
             WINDOW w AS ({over} ORDER BY capacity::DOUBLE / weight::DOUBLE, {last}))))"""
 
 
+LANGUAGE = "CASE WHEN n.lang = 'en' THEN 5 WHEN n.lang IN ('de', 'fr') THEN 2 ELSE 1 END"
 NUMBER = "coalesce(TRY_CAST(regexp_extract({0}source, '[0-9]+') AS INTEGER), 0)"
 SQL = f"""
 WITH sized AS (
@@ -182,7 +184,7 @@ WITH sized AS (
   SELECT domain, lang, source, sum(n_tokens) AS tokens, 3 * sum(n_tokens) AS capacity FROM sized GROUP BY ALL
 ), root AS (SELECT (sum(tokens) * 120 // 100)::HUGEINT AS budget FROM leaves
 ), one AS ({_sql_level('domain', '', '4 - n.domain', 'root')}
-), two AS ({_sql_level('domain, lang', 'domain', "CASE WHEN n.lang = 'en' THEN 5 WHEN n.lang IN ('de', 'fr') THEN 2 ELSE 1 END", 'one')}
+), two AS ({_sql_level('domain, lang', 'domain', LANGUAGE, 'one')}
 ), three AS ({_sql_level('domain, lang, source', 'domain, lang', f"1 + {NUMBER.format('n.')} % 3", 'two')}
 ), plan AS (
   SELECT l.*, t.budget // l.tokens AS whole, t.budget % l.tokens AS rest FROM leaves l JOIN three t
@@ -190,7 +192,8 @@ WITH sized AS (
 ), placed AS (
   SELECT s.*, p.whole, p.rest, sum(s.n_tokens) OVER (PARTITION BY s.domain, s.lang, s.source
          ORDER BY md5('17:' || p.whole::VARCHAR || ':' || s.doc_id::VARCHAR)) AS upto
-  FROM sized s JOIN plan p ON s.domain = p.domain AND s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source
+  FROM sized s JOIN plan p ON s.domain = p.domain
+    AND s.lang IS NOT DISTINCT FROM p.lang AND s.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, e::INTEGER AS epoch, domain, lang, source, n_tokens::BIGINT AS n_tokens FROM (
   SELECT *, unnest(range(whole::BIGINT + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS e FROM placed)
