@@ -19,9 +19,8 @@ from stforecast.llm.shared import columns_of, query, table, written
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
 SKETCH = 64
 MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketches
-LONG_SKETCH = 256  # of sets that are still apart in some list
 BEST = 3  # links each text tries first
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20  # text hashed in one step
 SKETCH_SCHEMA = "id long, n int, print binary, sketch array<long>"
 SET_SCHEMA = "id long, shingles binary"
 
@@ -126,30 +125,28 @@ def needed(n: Column, k: int, percent: int) -> Column:
     return F.when(n <= k, exact).otherwise(F.lit(least_overlap(k, percent))).cast("int")
 
 
-def rare_lists(values: DataFrame, k: int, percent: int) -> DataFrame:
-    """Inverted lists (v, rep, n, place) of sketch values (rep, n, s, v), ``s`` the sketch's size.
+def rare_lists(values: DataFrame, common: Column) -> DataFrame:
+    """Inverted lists (v, rep, n, place) of values (rep, n, s, v), ``s`` of them of each node.
 
-    The values of a sketch are put in one order for all: by how many sketches have them, then by
-    themselves. Two sketches with ``needed`` common values have the first of these within the
-    first ``s - needed + 1`` places of either, so the lists hold those only; a value of one
-    sketch alone takes a place and no row.
+    The values of a node are put in one order for all: by how many nodes have them, then by
+    themselves. Two nodes with ``common`` values or more in common have the first of these
+    within the first ``s - common + 1`` places of either, so the lists hold those only; a value
+    of one node alone takes a place and no row.
     """
     shared = written(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
     own = Window.partitionBy("rep")
     placed = values.join(shared, "v").withColumn(
         "place", F.row_number().over(own.orderBy("c", "v")) + F.col("s") - F.count("*").over(own))
-    lists = placed.where(F.col("place") <= F.col("s") - needed(F.col("n"), k, percent) + 1)
+    lists = placed.where(F.col("place") <= F.col("s") - common + 1)
     return written(lists.select("v", "rep", "n", "place"))
 
 
-def largest_partner(k: int, percent: int) -> Column:
-    """How many shingles a set may have that is linked with a row of ``rare_lists`` and meets it
-    first at that place: the values before are not common. Exact where the sketch is the whole
-    set on both sides; others are bounded by the ratio of sizes alone."""
-    ratio = F.floor(F.col("n") * 100 / percent)
+def largest_partner(percent: int) -> Column:
+    """How many shingles a set may have that is linked with a row of ``rare_lists`` of full sets
+    and meets it first at that place: none of the values before is common."""
     common = F.col("n") - F.col("place") + 1
     most = F.floor(common * (100 + percent) / percent) - F.col("n")
-    return F.when(ratio <= k, F.least(ratio, most)).otherwise(ratio).cast("long")
+    return F.least(F.floor(F.col("n") * 100 / percent), most).cast("long")
 
 
 def size_class(n: Column) -> Column:
@@ -197,21 +194,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def long_sketches(sets: DataFrame, k: int) -> DataFrame:
-    """The k smallest hashes of full sets as rows (rep, n, s, v)."""
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """Full sets as rows (rep, n, s, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(x.as_buffer()) // 8 for x in batch.column("shingles")]
-            low = [np.frombuffer(x.as_buffer(), np.int64)[:k] for x in batch.column("shingles")]
-            took = [len(x) for x in low]
-            columns = [np.repeat(batch.column("id").to_numpy(), took), np.repeat(sizes, took), np.repeat(took, took)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, kind) for x, kind in zip(
-                    [*columns, np.concatenate([np.zeros(0, np.int64), *low])],
-                    (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
-                ["rep", "n", "s", "v"],
-            )
+            for rep, shingles in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
+                values = np.frombuffer(shingles.as_buffer(), np.int64)
+                size = np.full(len(values), len(values), np.int32)
+                columns = [np.full(len(values), rep, np.int64), size, size, values]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rep", "n", "s", "v"])
 
     return sets.select("id", "shingles").mapInArrow(run, "rep long, n int, s int, v long")
 
@@ -241,11 +233,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     3. Each node is offered the member that a hash picks from each of its lists; the BEST by
        union-sketch estimate are confirmed on the full sets. This joins large groups without
        their pairs.
-    4. What lists still hold in several components is listed again by longer sketches, exact for
-       sets up to LONG_SKETCH shingles. In each list, the nodes outside its most frequent
-       component meet the nodes of other components that their sizes and their places in the
-       list leave possible. A pair left out is inside one component or fails an exact or
-       binomial bound; texts that share a passage and little else fail them by their own words.
+    4. What lists still hold in several components is listed again by its full sets. In each
+       list, the nodes outside its most frequent component meet the nodes of other components
+       that their sizes and their places in the list leave possible. A pair left out is inside
+       one component or fails an exact bound; texts that share a passage and little else, and
+       copies edited beyond the limit, fail them by the words of their own.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     marks = written(sketches(texts, width, k))
@@ -255,7 +247,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     ).select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
 
     values = nodes.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    lists = rare_lists(values, k, percent)
+    lists = rare_lists(values, needed(F.col("n"), k, percent))
     picked = written(lists.groupBy("v").agg(
         F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("x"),
         F.count("*").alias("c"),
@@ -272,9 +264,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     joined = written(components(links))
 
     apart = mixed(lists, joined).select(F.col("rep").alias("id")).distinct()
-    values = long_sketches(sets.join(written(apart), "id", "left_semi"), LONG_SKETCH)
-    several = written(mixed(rare_lists(values, LONG_SKETCH, percent), joined).withColumn(
-        "most", largest_partner(LONG_SKETCH, percent)))
+    full = written(shingle_rows(sets.join(written(apart), "id", "left_semi")))
+    lists = rare_lists(full, F.ceil(F.col("n") * percent / 100))
+    several = written(mixed(lists, joined).withColumn("most", largest_partner(percent)))
     heavy = several.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(
         F.max(F.struct("c", "component")).alias("x")).select("v", F.col("x.component").alias("main"))
     few = several.join(written(heavy), "v").where("component <> main")
