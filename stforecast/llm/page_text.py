@@ -310,8 +310,11 @@ def learn(pages: DataFrame, seed: int = 0) -> Model:
     dresses, with text of the sample in menus, headers, footers, sidebars, notices, adverts,
     forms and comments. Pages without such marks train nothing.
     """
-    known = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
-    sample = known.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_PAGES).select("html").collect()
+    known = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).withColumn("h", F.xxhash64("page_id"))
+    # hashes first, so that no task sends more pages than the sample has
+    upto = known.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    chosen = known.where(F.col("h") <= F.lit(upto)).orderBy("h", "page_id", "html").limit(SAMPLE_PAGES)
+    sample = chosen.select("html").collect()
     parsed = [blocks_of(row.html) for row in sample]
     labelled = [(blocks, [marked(b) for b in blocks]) for blocks in parsed]
     labelled = [(blocks, labels) for blocks, labels in labelled if any(labels)]
