@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 8 << 20  # text encoded in one step
-WORDS_KEPT = 1_000_000  # bound of the word table of one Python worker, about 200 MB
+WORDS_KEPT = 250_000  # bound of the word table of one Python worker, about 50 MB
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -127,5 +127,6 @@ def encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tup
         keep = np.ones(len(out), bool)
         keep[ends] = False
         out[ends], out[keep] = end_id, ids
+        pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
         yield batch.column(0).slice(at, n), out, starts + np.arange(n + 1)
         at = to
