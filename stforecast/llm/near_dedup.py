@@ -19,6 +19,7 @@ from stforecast.llm.shared import columns_of, query, table, written
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
 SKETCH = 64
 MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketches
+OFFERS = 8  # of a text's rarest lists, from which it is offered a member
 BEST = 3  # links each text tries first
 PIECE_BYTES = 4 << 20  # text hashed in one step
 SKETCH_SCHEMA = "id long, n int, print binary, sketch array<long>"
@@ -126,19 +127,20 @@ def needed(n: Column, k: int, percent: int) -> Column:
 
 
 def rare_lists(values: DataFrame, common: Column) -> DataFrame:
-    """Inverted lists (v, rep, n, place) of values (rep, n, s, v), ``s`` of them of each node.
+    """Inverted lists (v, rep, n, place, turn) of values (rep, n, s, v), ``s`` of them of each node.
 
     The values of a node are put in one order for all: by how many nodes have them, then by
     themselves. Two nodes with ``common`` values or more in common have the first of these
     within the first ``s - common + 1`` places of either, so the lists hold those only; a value
-    of one node alone takes a place and no row.
+    of one node alone takes a place and no row. ``turn`` counts a node's own rows.
     """
     shared = written(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"))
     own = Window.partitionBy("rep")
-    placed = values.join(shared, "v").withColumn(
-        "place", F.row_number().over(own.orderBy("c", "v")) + F.col("s") - F.count("*").over(own))
+    placed = values.join(shared, "v").withColumns({
+        "turn": F.row_number().over(own.orderBy("c", "v")), "alone": F.col("s") - F.count("*").over(own),
+    }).withColumn("place", F.col("turn") + F.col("alone"))
     lists = placed.where(F.col("place") <= F.col("s") - common + 1)
-    return written(lists.select("v", "rep", "n", "place"))
+    return written(lists.select("v", "rep", "n", "place", "turn"))
 
 
 def largest_partner(percent: int) -> Column:
@@ -230,9 +232,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     2. Inverted lists of the sketch values that occur more than once. Two linked nodes have at
        least ``needed`` values in common, so only the rarest ``k - needed + 1`` of a node are
        listed: values of passages that many documents share fall out unless a node is made of them.
-    3. Each node is offered the member that a hash picks from each of its lists; the BEST by
-       union-sketch estimate are confirmed on the full sets. This joins large groups without
-       their pairs.
+    3. Each node is offered the member that a hash picks from each of its OFFERS rarest lists;
+       the BEST by union-sketch estimate are confirmed on the full sets. This joins large groups
+       without their pairs; what it leaves out the next step finds.
     4. What lists still hold in several components is listed again by its full sets. In each
        list, the nodes outside its most frequent component meet the nodes of other components
        that their sizes and their places in the list leave possible. A pair left out is inside
@@ -252,7 +254,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("x"),
         F.count("*").alias("c"),
     ).where("c > 1").select("v", "x.p", "x.pn"))
-    offered = lists.join(picked, "v").where(F.col("rep") != F.col("p")).where(sized("n", "pn", percent))
+    offered = lists.where(F.col("turn") <= OFFERS).join(picked, "v")
+    offered = offered.where(F.col("rep") != F.col("p")).where(sized("n", "pn", percent))
     offered = offered.select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct()
     members = written(lists.join(picked.select("v"), "v", "left_semi").select(F.col("rep").alias("id")).distinct())
     sets = written(full_sets(texts.join(members, "id", "left_semi"), width))
