@@ -21,7 +21,7 @@ SKETCH = 64
 MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketches
 OFFERS = 8  # of a text's rarest lists, from which it is offered a member
 BEST = 3  # links each text tries first
-PIECE_BYTES = 4 << 20  # text hashed in one step
+PIECE_BYTES = 2 << 20  # text hashed in one step
 SKETCH_SCHEMA = "id long, n int, print binary, sketch array<long>"
 SET_SCHEMA = "id long, shingles binary"
 
@@ -71,6 +71,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
         done = sizes[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(sizes, done + PIECE_BYTES, "right")))
         yield batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
+        pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
         at = to
 
 
