@@ -19,7 +19,7 @@ from stforecast.llm.shared import columns_of, query, table, written
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
 SKETCH = 64
 MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketches
-OFFERS = 8  # of a text's rarest lists, from which it is offered a member
+OFFERS = 24  # of a text's rarest lists, from which it is offered a member
 BEST = 3  # links each text tries first
 PIECE_BYTES = 2 << 20  # text hashed in one step
 SKETCH_SCHEMA = "id long, n int, print binary, sketch array<long>"
