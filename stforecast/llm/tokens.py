@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 8 << 20  # text encoded in one step
-WORDS_KEPT = 250_000  # bound of the word table of one Python worker, about 50 MB
+WORDS_KEPT = 250_000  # words of earlier pieces kept in the table of one Python worker, about 50 MB
+WORDS_LEARNT = 1 << 16  # words the tokenizer is given at a time
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -60,8 +61,10 @@ class WordEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        if len(self.slot) + len(words) > WORDS_KEPT:
-            self.forget()
+        for i in range(0, len(words), WORDS_LEARNT):
+            self.learn_some(words[i : i + WORDS_LEARNT])
+
+    def learn_some(self, words: list[str]) -> None:
         plain, other = [], []
         for w in words:
             if w.isalpha():
@@ -94,11 +97,10 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         fresh = [w for w in words if w not in self.slot]
-        if fresh:
-            before = len(self.slot)
-            self.learn(fresh)
-            if len(self.slot) < before + len(fresh):  # the table was cleared
-                self.learn([w for w in words if w not in self.slot])
+        if fresh and len(self.slot) + len(fresh) > WORDS_KEPT:
+            self.forget()
+            fresh = words  # all words of the piece, however many
+        self.learn(fresh)
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
         pool, start = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.start, np.int64)
         first, length = start[slots], start[slots + 1] - start[slots]

@@ -38,6 +38,16 @@ def test_a_full_word_table_is_cleared(monkeypatch):
         assert work.encode(pa.array([text]))[0].tolist() == plain(text)
 
 
+def test_a_piece_may_have_more_words_than_the_table_keeps(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 50)
+    monkeypatch.setattr(tokens, "WORDS_LEARNT", 64, raising=False)
+    work = tokens.WordEncoder(NAME)
+    for text in ("word0 other", " ".join(f"word{i} x{i}, {i}" for i in range(200)), "word3 other", "more words of it " * 9):
+        ids, starts = work.encode(pa.array([text, None, "word1"]))
+        parts = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        assert parts == [plain(text), [], plain("word1")]
+
+
 def test_parts_of_a_batch(monkeypatch):
     monkeypatch.setattr(tokens, "PIECE_BYTES", 10)
     texts = ["a bc", None, "", "some more words than ten bytes", "é", "x"]
