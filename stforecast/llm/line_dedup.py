@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stforecast.llm.mixing import WORDS
@@ -124,3 +124,99 @@ FROM kept JOIN documents d USING (doc_id) GROUP BY doc_id
 @query("op1_line_dedup", SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_chunks(table(spark, sf_dir, "documents"))
+
+
+def drop_repeated_passages(docs: DataFrame, min_words: int = LONG_WORDS) -> DataFrame:
+    """Every document without the lines of the passages that an earlier place has, wherever they begin.
+
+    A passage is a run of lines of ``min_words`` words or more. All lines of a run go if the same
+    lines stand in an earlier place (by doc_id, then line) that the run does not overlap; the
+    earliest place keeps them. Lines without a word are not compared; they go with the lines
+    around them. Columns, nulls and repeated rows are as in ``drop_repeated_chunks``, with n_lines
+    and n_removed in lines.
+
+    From each line the shortest passage that begins there and the one that ends there are compared
+    by SHA-256 of their lines' SHA-256; these cover every longer run. Lines meet their document
+    as hashes, not as text. Passages are counted with a partial aggregate, and the joins on a hash
+    have one row per hash on one side.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+    rows = rows.withColumns({
+        "lines": F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), "doc": F.unhex(F.md5(known)),
+    })
+    lines = rows.withColumn("row", F.monotonically_increasing_id()).select(
+        "doc_id", "doc", "row", F.posexplode("lines").alias("i", "line"))
+    lines = lines.withColumn("words", F.regexp_count("line", F.lit(WORDS)).cast("long")).where("words > 0").select(
+        "doc_id", "doc", "row", "i", "words", F.unhex(F.sha2("line", 256)).alias("line"))
+    own = Window.partitionBy("doc_id", "doc", "row")
+    lines = lines.withColumn("end", F.sum("words").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("begin", F.col("end") - F.col("words"))
+
+    def passage(over: Window) -> Column:
+        """The lines of a frame, from ``i`` to ``j``."""
+        return F.struct(F.min("i").over(over).alias("i"), F.max("i").over(over).alias("j"),
+                        F.collect_list("line").over(over).alias("line"),
+                        F.sum("words").over(over).alias("words"))
+
+    # in words, from a line's begin or end: as far as the first line that makes the passage full
+    ahead = passage(own.orderBy("begin").rangeBetween(0, min_words - 1))
+    back = passage(own.orderBy("end").rangeBetween(1 - min_words, 0))
+    both = lines.select("doc_id", "doc", ahead.alias("ahead"), back.alias("back"))
+    both = both.select("doc_id", "doc", F.explode(F.array("ahead", "back")).alias("p")).where(F.col("p.words") >= min_words)
+    found = written(both.select("doc_id", "doc", "p.i", "p.j", F.unhex(F.sha2(F.array_join(
+        F.transform("p.line", F.hex), ""), 256)).alias("hash")))
+    repeated = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    place = F.struct("doc_id", "doc", "i", "j")
+    same = written(found.join(repeated, "hash", "left_semi"))
+    first = same.groupBy("hash").agg(F.min(place).alias("first"))
+    again = same.join(first, "hash").where(
+        (F.col("doc") != F.col("first.doc")) | (F.col("i") > F.col("first.j"))).select("doc", "i", "j").distinct()
+    sorted_ = Window.partitionBy("doc").orderBy("i", "j")
+    top = F.max("j").over(sorted_.rowsBetween(Window.unboundedPreceding, -1))
+    again = again.withColumn("fresh", F.coalesce(F.col("i") > top + 1, F.lit(True)).cast("int"))
+    again = again.withColumn("run", F.sum("fresh").over(sorted_.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = again.groupBy("doc", "run").agg(F.min("i").alias("i"), F.max("j").alias("j"))
+    runs = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("runs"))
+    kept = F.expr("""flatten(transform(sequence(0, size(runs)), k -> slice(lines,
+        coalesce(get(runs, k - 1).j, -1) + 2,
+        coalesce(get(runs, k).i, size(lines)) - coalesce(get(runs, k - 1).j, -1) - 1)))""")
+    left = F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept)
+    return rows.join(runs, "doc", "left").withColumn("left", left).select(
+        "doc_id", F.when(F.col("text").isNotNull(), F.array_join("left", "\n")).alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
+    )
+
+
+PASSAGE_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (
+    SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))
+), sums AS (
+  SELECT *, (sum(words) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS upto FROM lines WHERE words > 0
+), pairs AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.i <= b.i
+  WHERE b.upto - a.upto + a.words >= {LONG_WORDS}
+    AND (b.upto - b.words - a.upto + a.words < {LONG_WORDS} OR b.upto - a.upto < {LONG_WORDS})
+), passages AS (
+  SELECT p.doc_id, p.i, p.j, string_agg(s.line, chr(10) ORDER BY s.i) AS passage
+  FROM pairs p JOIN sums s ON s.doc_id = p.doc_id AND s.i BETWEEN p.i AND p.j GROUP BY ALL
+), again AS (
+  SELECT * FROM (SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(j) OVER w AS first_j FROM passages
+                 WINDOW w AS (PARTITION BY passage ORDER BY doc_id, i, j))
+  WHERE doc_id <> first_doc OR i > first_j
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN again a ON l.doc_id = a.doc_id AND l.i BETWEEN a.i AND a.j
+)
+SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL
+         THEN coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') END AS text,
+       count(*) AS n_lines, count(g.i) AS n_removed
+FROM documents d JOIN lines l USING (doc_id) LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY d.doc_id
+"""
+
+
+@query("op1_passage_dedup", PASSAGE_SQL)
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, sf_dir, "documents"))
