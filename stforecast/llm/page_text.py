@@ -17,6 +17,7 @@ from stforecast.llm.shared import query, table
 
 SAMPLE_PAGES = 120  # labelled pages, a bound on what training reads
 SAMPLE_BYTES = 200_000  # longer pages are not used for training
+MARKS = r"(?i)<(article|main)[\s/>]"  # a page that may label itself
 COPIES, EPOCHS, RATE, DECAY = 3, 5, 0.5, 1e-4
 CHAINS_KEPT = 20_000  # ancestor chains whose scores a worker remembers
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -306,11 +307,14 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
 def learn(pages: DataFrame, seed: int = 0) -> Model:
     """A model from at most SAMPLE_PAGES pages of at most SAMPLE_BYTES, those of smallest id hash.
 
-    Pages that mark their article label themselves; each is used as it is and in COPIES other
+    Only pages with an article or main tag are drawn, so that the bound counts no others. Pages
+    that mark their article label themselves; each is used as it is and in COPIES other
     dresses, with text of the sample in menus, headers, footers, sidebars, notices, adverts,
-    forms and comments. Pages without such marks train nothing.
+    forms and comments. Pages without such marks train nothing; if the table has none that do,
+    the model takes no block and every text is empty.
     """
-    known = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).withColumn("h", F.xxhash64("page_id"))
+    known = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES) & F.col("html").rlike(MARKS))
+    known = known.withColumn("h", F.xxhash64("page_id"))
     # hashes first, so that no task sends more pages than the sample has
     upto = known.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
     chosen = known.where(F.col("h") <= F.lit(upto)).orderBy("h", "page_id", "html").limit(SAMPLE_PAGES)

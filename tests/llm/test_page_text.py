@@ -78,6 +78,13 @@ def test_nothing_to_learn_from(spark):
     assert P.extract(none, model).count() == 0 and P.Extractor(model).text("<p>text</p>") in ("", "text")
 
 
+def test_the_few_pages_that_mark_their_article_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAMPLE_PAGES", 3)
+    marked = "<html><body><ul><li>Menu</ul><ARTICLE class=x><p>Words of the article.</p></ARTICLE></body></html>"
+    rows = [(i, marked if i in (50, 51) else f"<div>plain page {i}</div>") for i in range(100)]
+    assert P.learn(spark.createDataFrame(rows, "page_id long, html string")).weights
+
+
 def test_viterbi_finds_the_best_labels():
     draw = random.Random(2)
     for _ in range(40):
