@@ -29,6 +29,7 @@ INLINE = set(
     " strong sub sup time tt u var wbr".split()
 )
 HIDDEN = set("head iframe math noscript object script style svg template title".split())
+IN_HEAD = set("html head title meta link base basefont bgsound style script noscript template noframes".split())
 # an element of the left kind ends an open one of the right kinds
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -94,7 +95,14 @@ class BlockParser(HTMLParser):
                 return None
         return None
 
+    def end_head(self) -> None:
+        """Close a head that is open and has no open element in it."""
+        if self.stack and self.stack[-1][0] == "head":
+            self.pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag == "br":
             self.buffer.append(" ")
         if tag not in INLINE:
@@ -125,6 +133,8 @@ class BlockParser(HTMLParser):
         return None
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.buffer.append(data)
             if self.links:

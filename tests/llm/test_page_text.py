@@ -61,6 +61,13 @@ def test_blocks():
     P.blocks_of("<" * 2000 + "&#xFFFFFFFF; <a <b <!-- " + "<div>" * 500)
 
 
+@pytest.mark.parametrize("start", ["<p>", "<div>", "<b>", "<h1>", "", "<br>"])
+def test_a_head_that_is_not_closed(start):
+    inside = "<meta charset=x><script>no</script><noscript><img src=x>no</noscript><template><p>no</p></template><title>no</title>\n"
+    assert [b.text for b in P.blocks_of(f"<html><head>{inside}{start}yes <p>more")] == ["yes", "more"]
+    assert [b.text for b in P.blocks_of(f"<html><head>{inside}</head>{start}yes <p>more")] == ["yes", "more"]
+
+
 def test_odd_pages(spark, model):
     long = "<article>" + "<p>some more words of the text.</p>" * 20_000 + "</article>"
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>Some words here.</p></article>", "x"),
