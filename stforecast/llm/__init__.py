@@ -3,6 +3,7 @@
 from stforecast.llm import (
     exact_dedup,
     exact_topk,
+    fill_middle,
     lang_id,
     line_dedup,
     mixing,
@@ -15,6 +16,6 @@ from stforecast.llm import (
 from stforecast.llm.shared import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "exact_dedup", "exact_topk", "lang_id", "line_dedup", "mixing", "near_dedup",
+    "ORACLES", "QUERIES", "exact_dedup", "exact_topk", "fill_middle", "lang_id", "line_dedup", "mixing", "near_dedup",
     "packing", "page_text", "sharding", "token_files",
 ]
