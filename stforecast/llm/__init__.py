@@ -10,6 +10,7 @@ from stforecast.llm import (
     near_dedup,
     packing,
     page_text,
+    quality_rules,
     sharding,
     token_files,
 )
@@ -17,5 +18,5 @@ from stforecast.llm.shared import ORACLES, QUERIES
 
 __all__ = [
     "ORACLES", "QUERIES", "exact_dedup", "exact_topk", "fill_middle", "lang_id", "line_dedup", "mixing", "near_dedup",
-    "packing", "page_text", "sharding", "token_files",
+    "packing", "page_text", "quality_rules", "sharding", "token_files",
 ]
