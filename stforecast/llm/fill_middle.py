@@ -143,12 +143,13 @@ def gathered(out: np.ndarray, to: np.ndarray, form: np.ndarray):
     return out[np.arange(at[-1]) + shifts(at[-1], starts.ravel(), moves)], at
 
 
-def pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about PIECE_BYTES each."""
+def pieces(sizes: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes, or of one longer row."""
+    most = PIECE_BYTES if most is None else most
     total, at = np.cumsum(sizes), 0
     while at < len(total):
         done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + PIECE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(total, done + most, "right")))
         yield at, to
         at = to
 

@@ -19,6 +19,7 @@ from stforecast.llm.shared import shared_folder, written
 from stforecast.llm.token_files import file_system
 from stforecast.session import broadcast_within
 
+PIECE_BYTES = 1 << 20  # text taken in one step, some 100 bytes of arrays for each of its bytes
 ORDER = 4  # symbols of an n-gram: four of 16 bits fill one long, so no two n-grams share a key
 TABLE_ROWS = 1 << 21  # n-grams a task holds before it gives them out
 SHARD_ROWS = 1 << 18  # n-grams of one array, about 6 MB
@@ -100,8 +101,9 @@ def by_language(batch: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[i
         rows = order[lo:hi]
         texts = batch.column(text).take(pa.array(rows)).fill_null("")
         _, at = buffers(texts)
-        for a, b in pieces(np.diff(at)):
+        for a, b in pieces(np.diff(at), PIECE_BYTES):
             yield int(langs[rows[0]]), rows[a:b], *buffers(texts.slice(a, b - a))
+    pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
 
 
 def per_text(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
