@@ -4,6 +4,7 @@ from stforecast.llm import (
     exact_dedup,
     exact_topk,
     fill_middle,
+    hard_negatives,
     lang_id,
     line_dedup,
     mixing,
@@ -17,6 +18,6 @@ from stforecast.llm import (
 from stforecast.llm.shared import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "exact_dedup", "exact_topk", "fill_middle", "lang_id", "line_dedup", "mixing", "near_dedup",
-    "packing", "page_text", "quality_rules", "sharding", "token_files",
+    "ORACLES", "QUERIES", "exact_dedup", "exact_topk", "fill_middle", "hard_negatives", "lang_id", "line_dedup", "mixing",
+    "near_dedup", "packing", "page_text", "quality_rules", "sharding", "token_files",
 ]
