@@ -118,3 +118,32 @@ class LeakyNet:
             a = self.leaks[l]
             out.append((1.0 - a) * x + a * np.tanh(self.recurrent[l] @ x + push))
         return out
+
+
+class NetStack:
+    """Nets of equal sizes that read the same inputs and advance as stacked products."""
+
+    def __init__(self, nets: list[LeakyNet]):
+        self.sizes, self.count = nets[0].sizes, len(nets)
+        self.units = sum(self.sizes)
+        levels = range(len(self.sizes))
+        self.inputs = [np.stack([net.inputs[l] for net in nets]) for l in levels]
+        self.recurrent = [np.stack([net.recurrent[l] for net in nets]) for l in levels]
+        self.leaks = [np.array([[net.leaks[l]] for net in nets]) for l in levels]
+
+    def start(self) -> list[np.ndarray]:
+        return [np.zeros((self.count, s)) for s in self.sizes]
+
+    def drive(self, u: np.ndarray) -> np.ndarray:
+        """First-level input terms (steps, nets, units) of a stack of input rows."""
+        flat = self.inputs[0].reshape(-1, self.inputs[0].shape[2])
+        return (u @ flat.T).reshape(len(u), self.count, self.sizes[0])
+
+    def advance(self, state: list[np.ndarray], drive: np.ndarray) -> list[np.ndarray]:
+        """One step of all nets; a deeper level sees this step's state of the level above it."""
+        out = []
+        for l, x in enumerate(state):
+            push = drive if l == 0 else (self.inputs[l] @ out[l - 1][:, :, None])[:, :, 0]
+            inner = (self.recurrent[l] @ x[:, :, None])[:, :, 0] + push
+            out.append((1.0 - self.leaks[l]) * x + self.leaks[l] * np.tanh(inner))
+        return out

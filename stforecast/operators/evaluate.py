@@ -12,16 +12,20 @@ FORECAST_KEYS = ["run", "layer", "origin"]
 
 
 def align_forecast(
-    forecast: DataFrame, actual: DataFrame, on: Sequence[str] | None = None
+    forecast: DataFrame, actual: DataFrame, on: Sequence[str] | None = None,
+    between: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Forecast rows with the actual value of the same absolute step: adds ``value, error``.
 
     Rows meet on those of series, layer, t and cell that both tables have, or on ``on``. The
-    query fails if two actual values have the same key.
+    query fails if two actual values have the same key. Where the caller knows the first and last
+    step of the forecast (``between``), only their actual values are read and grouped.
     """
     if on is None:
         on = [c for c in ("series", "layer", "t", "cell") if c in forecast.columns and c in actual.columns]
     twice = F.raise_error(F.lit(f"more than one actual value for the same {', '.join(on)}"))
+    if between is not None:
+        actual = actual.filter(F.col("t").between(*between))
     truth = actual.groupBy(*on).agg(F.max("value").alias("value"), F.count("*").alias("_n")).select(
         *on, F.when(F.col("_n") == 1, F.col("value")).otherwise(twice).alias("value")
     )

@@ -70,7 +70,8 @@ def rollout_blocks(
     ``frames`` is ``(run, layer, t, values)``, ``coarse_frames`` ``(run, t, values)``; an
     origin is the first step to forecast. Each step all blocks give their output first,
     then all advance on their own and their neighbours' predicted values. The result
-    covers the warm-up as well; ``t`` is always the step the value is for. A system of more
+    covers the warm-up as well; ``t`` is always the step the value is for. Readouts with a column
+    ``origin`` serve that origin alone. A system of more
     than ``max_bytes`` (readouts and window) fails; its task must hold it whole.
     """
     check_mode(mode)
@@ -78,10 +79,11 @@ def rollout_blocks(
         raise ValueError("steps must be at least 1")
     systems = nets.join(origins, "run")
     head = systems.select(*SYSTEM, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("t"), *NET)
+    own = ["run", "origin"] if "origin" in readouts.columns else ["run"]  # refitted for each origin, or not
     models = (
-        readouts.select("run", "layer", "block", "coef")
+        readouts.select(*own, "layer", "block", "coef")
         .join(pack_blocks(block_map), ["layer", "block"])
-        .join(origins, "run")
+        .join(origins, own)
         .select(*SYSTEM, F.lit(1).alias("kind"), F.col("block").cast("long").alias("t"), "coef",
                 "rec_cells", "neigh_cells", "layer_cells")
     )

@@ -3,6 +3,7 @@
 from stforecast.plans.catalog import (  # noqa: F401
     features,
     models,
+    origins,
     prepare,
     scores,
     streams,

@@ -64,9 +64,9 @@ def one_setup(spark, sf_dir):
     return block_map, nets_of(spark, ONE), inputs, frames, p.frame_count(spark, sf_dir)
 
 
-def one_readouts(spark, sf_dir):
+def one_readouts(spark, sf_dir, earlier: int = 0):
     block_map, nets, inputs, frames, n = one_setup(spark, sf_dir)
-    readouts = ro.fit_block_readouts(inputs, nets, block_map, 0, n - LAST, WASHOUT, [ONE.ridge])
+    readouts = ro.fit_block_readouts(inputs, nets, block_map, 0, n - LAST - earlier, WASHOUT, [ONE.ridge])
     return block_map, nets, inputs, frames, n, readouts
 
 
@@ -172,8 +172,8 @@ def score_one_step_job(spark, sf_dir):
     return p.present(bl.merge_block_outputs(scored, block_map).select("t", "cell", "yhat"))
 
 
-def _rollout_sql(origins: str) -> str:
-    return f"""{FIT}, {ONE.rollout(origins, WARMUP, STEPS)}
+def _rollout_sql(origins: str, until: str = "stop") -> str:
+    return f"""{BASE}, {ONE.fit(until)}, {ONE.rollout(origins, WARMUP, STEPS)}
     SELECT origin, t, CAST(cell AS BIGINT) AS cell, {r('value')} AS yhat FROM afc"""
 
 
@@ -185,13 +185,14 @@ def rollout_blocks_job(spark, sf_dir):
     return p.present(out.select("origin", "t", "cell", "yhat"))
 
 
-@query("backtest", _rollout_sql("SELECT unnest([stop - 200, stop - 100, stop - 50, stop]) AS origin FROM pr"))
+BACK = (200, 100, 50, 0)
+
+
+@query("backtest", _rollout_sql(f"SELECT stop - unnest([{', '.join(map(str, BACK))}]) AS origin FROM pr", f"stop - {max(BACK)}"))
 def backtest_job(spark, sf_dir):
-    block_map, nets, _, frames, n, readouts = one_readouts(spark, sf_dir)
-    stop = n - LAST
-    origins = rl.origin_table(
-        spark.range(1).withColumnRenamed("id", "run"), [stop - 200, stop - 100, stop - 50, stop]
-    )
+    """Four origins with one readout, fitted on the steps before the first of them."""
+    block_map, nets, _, frames, n, readouts = one_readouts(spark, sf_dir, max(BACK))
+    origins = rl.origin_table(spark.range(1).withColumnRenamed("id", "run"), [n - LAST - back for back in BACK])
     out = rl.rollout_blocks(frames, nets, readouts, block_map, origins, WARMUP, STEPS)
     return p.present(out.select("origin", "t", "cell", "yhat"))
 

@@ -180,8 +180,8 @@ class Reservoir:
           SELECT origin, t, unnest(range({self.cells})) AS cell, unnest(y) AS value FROM {p}ro)"""
 
 
-def deep_states(nr: int, nu: int, seed: int, panel: str) -> str:
-    """``dst(t, x1, x2)``: two-level states after step t; nets as in the deep query."""
+def deep_states(nr: int, nu: int, seed: int, panel: str, p: str = "d", scale: float = 0.5) -> str:
+    """``{p}st(t, x1, x2)``: two-level states after step t; nets as in the deep query."""
     q = nr // nu
 
     def recurrent(level: int) -> str:
@@ -191,22 +191,22 @@ def deep_states(nr: int, nu: int, seed: int, panel: str) -> str:
           FROM (SELECT unnest(range({nr})) AS i), (SELECT unnest(range({nr})) AS j)) GROUP BY i)"""
 
     return f"""
-    dn AS (SELECT
+    {p}n AS (SELECT
       ({recurrent(0)}) AS w1, ({recurrent(1)}) AS w2,
       (SELECT list(row ORDER BY i) FROM (SELECT i, CAST(list(w ORDER BY c) AS DOUBLE[]) AS row FROM (
-         SELECT i, c, CASE WHEN i // {q} = c THEN 0.5 * (2 * {sql.seeded_uniform(seed, 0, 11, 'i', 'c')} - 1)
+         SELECT i, c, CASE WHEN i // {q} = c THEN {scale} * (2 * {sql.seeded_uniform(seed, 0, 11, 'i', 'c')} - 1)
                       ELSE 0 END AS w
          FROM (SELECT unnest(range({nr})) AS i), (SELECT unnest(range({nu})) AS c)) GROUP BY i)) AS v1,
       (SELECT list(row ORDER BY i) FROM (SELECT i, CAST(list(w ORDER BY j) AS DOUBLE[]) AS row FROM (
          SELECT i, j, 0.25 * (2 * {sql.seeded_uniform(seed, 1, 14, 'i', 'j')} - 1) AS w
          FROM (SELECT unnest(range({nr})) AS i), (SELECT unnest(range({nr})) AS j)) GROUP BY i)) AS v2),
-    dfr AS (SELECT t, list(value ORDER BY cell) AS u FROM {panel} GROUP BY t),
-    dst AS (
+    {p}fr AS (SELECT t, list(value ORDER BY cell) AS u FROM {panel} GROUP BY t),
+    {p}st AS (
       SELECT CAST(-1 AS BIGINT) AS t, {zeros(nr)} AS x1, {zeros(nr)} AS x2
       UNION ALL
       SELECT t + 1, y1, {deep_step(nr, 1, 'x2', 'y1')}
-      FROM (SELECT s.t, s.x2, {deep_step(nr, 0, 's.x1', 'f.u')} AS y1, dn.*
-            FROM dst s JOIN dfr f ON f.t = s.t + 1, dn))"""
+      FROM (SELECT s.t, s.x2, {deep_step(nr, 0, 's.x1', 'f.u')} AS y1, {p}n.*
+            FROM {p}st s JOIN {p}fr f ON f.t = s.t + 1, {p}n))"""
 
 
 def zeros(n: int) -> str:
@@ -244,3 +244,72 @@ def ridge_fit(name: str, features: str, targets: str, n: int, d: int, ridge: flo
     {name}w AS (
       SELECT list_transform(range(1, {d + 1}), lambda o:
         list_transform(range(1, {n + 1}), lambda i: m[i][{n} + o])) AS w FROM {name})"""
+
+
+@dataclass
+class RunsReservoir(Reservoir):
+    """Nets of several seeds on every series of ``panel`` (series, t, v), refitted for each window.
+
+    ``run`` is series * nets + net; ``windows`` is a SELECT of series, origin, first, last.
+    """
+
+    nets: int = 2
+    windows: str = ""
+
+    def runs(self, warmup: int, steps: int) -> str:
+        """``{p}fc(run, origin, t, cell, value)``."""
+        p, n, d, b, k = self.p, self.n, self.size, self.blocks, self.nets
+        parts = [Reservoir(f"{p}{j}", "", self.cells, b, self.mixing, n, seed=j, gains=self.gains).net() for j in range(k)]
+        every = " UNION ALL ".join(f"SELECT {j} AS net, wm, wn FROM {p}{j}nt" for j in range(k))
+        out = (
+            f"flatten(list_transform(range(1, {b + 1}), lambda b: list_transform(range(1, {d + 1}), "
+            f"lambda o: list_dot_product(w[b][o], {self.features('xs2[b]')}))))"
+        )
+        step = self._cell_step("xs[b]", "list_transform(ix[b], lambda c: v[c + 1])", "q")
+        return f"""
+        {', '.join(parts)}, {p}ns AS ({every}),
+        {ring_blocks(str(self.cells), str(b), self.mixing, p + 'b')},
+        {p}ix AS (SELECT block, list(cell ORDER BY CASE role WHEN 'rec' THEN 0 ELSE 1 END, pos) AS ix FROM {p}b GROUP BY block),
+        {p}in AS (SELECT series, block, t, list_transform(ix, lambda c: v[c + 1]) AS u FROM {self.panel}, {p}ix),
+        {p}st AS (
+          SELECT series, net, block, CAST(0 AS BIGINT) AS t, {zeros(n)} AS x
+          FROM (SELECT DISTINCT series FROM {self.panel}), {p}ns, (SELECT unnest(range({b})) AS block)
+          UNION ALL
+          SELECT s.series, s.net, s.block, s.t + 1, {self._cell_step('s.x', 'i.u', 'q')}
+          FROM {p}st s JOIN {p}in i ON i.series = s.series AND i.block = s.block AND i.t = s.t
+          JOIN {p}ns q ON q.net = s.net),
+        {p}wn AS ({self.windows}),
+        {p}fe AS (
+          SELECT s.series * {k} + net AS run, origin, s.block, s.t, {self.features('x')} AS z, u[:{d}] AS y
+          FROM {p}st s JOIN {p}wn w ON w.series = s.series AND s.t >= w.first AND s.t < w.last
+          JOIN {p}in i ON i.series = s.series AND i.block = s.block AND i.t = s.t WHERE s.t >= {self.washout}),
+        {p}zz AS (SELECT (run * 1000000 + origin) * {b} + block AS key, t, unnest(range(1, {n + 1})) AS i, unnest(z) AS v FROM {p}fe),
+        {p}yy AS (SELECT (run * 1000000 + origin) * {b} + block AS key, t, unnest(range({n + 1}, {n + d + 1})) AS i, unnest(y) AS v
+                  FROM {p}fe),
+        {p}au AS (
+          SELECT key, i, list(v ORDER BY j) AS r FROM (
+            SELECT a.key, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN {self.ridge} ELSE 0 END AS v
+            FROM {p}zz a JOIN {p}zz b ON b.key = a.key AND b.t = a.t GROUP BY 1, 2, 3
+            UNION ALL
+            SELECT a.key, a.i, y.i, sum(a.v * y.v) FROM {p}zz a JOIN {p}yy y ON y.key = a.key AND y.t = a.t GROUP BY 1, 2, 3)
+          GROUP BY key, i),
+        {sql.solve(p + 'g', p + 'au', n)},
+        {p}wo AS (
+          SELECT key // {b} AS key, list(list_transform(range(1, {d + 1}), lambda o:
+            list_transform(range(1, {n + 1}), lambda i: m[i][{n} + o])) ORDER BY key) AS w FROM {p}g GROUP BY key // {b}),
+        {p}ro AS (
+          SELECT w.series, net, CAST(origin AS BIGINT) AS origin, CAST(origin - {warmup} AS BIGINT) AS t,
+            CAST(list_transform(range({b}), lambda e: list_transform(range({n}), lambda f: 0.0)) AS DOUBLE[][]) AS xs,
+            {zeros(self.cells)} AS y
+          FROM {p}wn w, {p}ns
+          UNION ALL
+          SELECT series, net, origin, t + 1, xs2, {out}
+          FROM (
+            SELECT series, net, origin, t, w, list_transform(range(1, {b + 1}), lambda b: {step}) AS xs2
+            FROM (SELECT r.series, r.net, r.origin, r.t, r.xs, CASE WHEN r.t < r.origin THEN f.v ELSE r.y END AS v, o.w, x.ix, wm, wn
+                  FROM {p}ro r LEFT JOIN {self.panel} f ON f.series = r.series AND f.t = r.t
+                  JOIN {p}wo o ON o.key = (r.series * {k} + r.net) * 1000000 + r.origin
+                  JOIN {p}ns s ON s.net = r.net, (SELECT list(ix ORDER BY block) AS ix FROM {p}ix) x
+                  WHERE r.t < r.origin + {steps} - 1) q)),
+        {p}fc AS (
+          SELECT series * {k} + net AS run, origin, t, unnest(range({self.cells})) AS cell, unnest(y) AS value FROM {p}ro)"""

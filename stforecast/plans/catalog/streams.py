@@ -44,13 +44,13 @@ def stream_panel_job(spark, sf_dir):
 )
 def stream_one_step_job(spark, sf_dir):
     """The batch one-step scores, from a stream of frame files in any order."""
-    block_map, nets, _, frames, _, readouts = one_readouts(spark, sf_dir)
+    block_map, nets, _, frames, n, readouts = one_readouts(spark, sf_dir)
     folder = p.work_folder(spark)
     frames.repartitionByRange(4, "t").write.parquet(f"{folder}/in")
     arriving = (
         spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     )
     inputs = bl.gather_inputs(arriving, block_map, keys=["run"])
-    scored = run_to_table(stream_one_step(inputs, load_models(nets, readouts)), folder)
+    scored = run_to_table(stream_one_step(inputs, load_models(nets, readouts), max_early=n), folder)  # all but one may come first
     merged = bl.merge_block_outputs(scored.drop("run"), block_map)
     return p.present(merged.select("t", "cell", "yhat"))

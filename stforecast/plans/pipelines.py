@@ -32,6 +32,7 @@ from stforecast.operators.readout import (
     pca_fit,
     pca_reduce,
     pca_restore,
+    sum_gram,
 )
 from stforecast.operators.rollout import (
     MAX_SYSTEM_BYTES,
@@ -40,6 +41,7 @@ from stforecast.operators.rollout import (
     rollout_deep,
     rollout_delay,
 )
+from stforecast.operators.stack import stack_gram, window_edges, window_readouts
 from stforecast.operators.states import attach_runs, score_one_step
 from stforecast.operators.sweep import sweep_runs, sweep_stats
 from stforecast.operators.weights import (
@@ -53,7 +55,10 @@ from stforecast.operators.weights import (
 from stforecast.session import settle
 from stforecast.sources.panel import to_frames
 
-__all__ = ["Result", "forecast_single_layer", "forecast_layers", "forecast_deep", "forecast_delay", "sweep_single_layer", "sweep_delay"]
+__all__ = [
+    "Result", "backtest_refit", "forecast_single_layer", "forecast_layers", "forecast_deep", "forecast_delay",
+    "rolling_windows", "sweep_single_layer", "sweep_layers", "sweep_deep", "sweep_delay",
+]
 
 
 @dataclass
@@ -61,7 +66,7 @@ class Result:
     """Tables of one fitted layer: all are lazy unless noted by the pipeline."""
 
     readouts: DataFrame
-    fitted: DataFrame
+    fitted: DataFrame | None
     forecast: DataFrame
     nets: DataFrame | None = None
 
@@ -268,6 +273,123 @@ def forecast_delay(
     return Result(readouts, fitted, forecast)
 
 
+def rolling_windows(lengths: DataFrame, shares: Sequence[float], steps: int, width: int | None = None) -> DataFrame:
+    """Training windows ``(series, origin, first, last)`` of rolling origins, from ``(series, n)``.
+
+    An origin lies at each share of a series' steps that have ``steps`` more behind them. Training
+    ends before the origin; it starts with the series (expanding) or ``width`` steps before its end.
+    """
+    at = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("_share")
+    origin = F.floor(F.col("_share") * (F.col("n") - steps)).cast("long")
+    first = F.lit(0).cast("long") if width is None else F.greatest(F.lit(0), F.col("origin") - width).cast("long")
+    return lengths.select("series", "n", at).select("series", origin.alias("origin")).distinct().select(
+        "series", "origin", first.alias("first"), F.col("origin").alias("last"))
+
+
+def backtest_refit(
+    frames: DataFrame,
+    block_map: DataFrame,
+    spec: DataFrame,
+    windows: DataFrame,
+    steps: int,
+    washout: int,
+    warmup: int,
+    ridge: float,
+    mode: str = "quadratic",
+    input_mode: str = "structured",
+    weights: DataFrame | None = None,
+    segment: int | None = None,
+    overlap: int = 0,
+    map_rows: int | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
+) -> Result:
+    """Rolling-origin backtest: every origin forecasts with a readout fitted on steps before it.
+
+    ``frames`` is ``(series, layer, t, values)``, ``spec`` has a row per (run, layer) with the run's
+    ``series``, ``windows`` is ``(series, origin, first, last)``, see :func:`rolling_windows`; a
+    window may not reach beyond its origin. One state pass over a series serves all its runs and
+    all its windows: Gram sums are kept by the time between two window edges and added up along
+    them. Only the very first ``washout`` steps of a series are never trained on.
+    """
+    late = windows.filter("last > origin").limit(1).count()
+    if late:
+        raise ValueError("a training window reaches beyond its origin")
+    sizes = layer_sizes(block_map)
+    sized = with_dimensions(spec, {l: (s.d_rec, s.d_neigh, s.d_layer) for l, s in sizes.items()})
+    weights = reservoir_weights(sized, input_mode) if weights is None else weights
+    of_run = spec.select("run", "series").distinct()
+    nets = settle(pack_reservoir(sized, weights).join(of_run, "run"))
+    if map_rows is None:
+        map_rows = sum(s.n_blocks * (s.d_rec + s.d_neigh + s.d_layer) for s in sizes.values())
+    inputs = gather_inputs(frames, block_map, None, ["series"], map_rows)
+    span = windows.agg(F.max("last")).first()[0]
+    partial = stack_gram(
+        inputs, nets, block_map, 0, int(span), washout, mode, segment, overlap, edges=window_edges(windows))
+    keys = ["run", "layer", "block", "bucket"]
+    total = partial.drop("part") if segment is None else sum_gram(partial, keys)
+    readouts = settle(window_readouts(total, windows, nets, [ridge]))
+    # the frames around the origins go to the runs, never the whole history
+    need = windows.select("series", F.explode(F.sequence(F.col("origin") - warmup, F.col("origin") + steps)).alias("t"))
+    near = frames.join(need.distinct(), ["series", "t"])
+    forecast = rollout_blocks(
+        attach_runs(near, of_run).drop("series"), nets.drop("series"), readouts, block_map,
+        of_run.join(windows, "series").select("run", "origin"), warmup, steps, mode, max_bytes=max_bytes,
+    )
+    return Result(readouts, None, forecast, nets)
+
+
+def _swept(
+    inputs: DataFrame, frames: DataFrame, panel: DataFrame, block_map: DataFrame, nets: DataFrame, runs: DataFrame,
+    ridges: Sequence[float], train: tuple[int, int], steps: int, washout: int, warmup: int, mode: str, points: int,
+    max_bytes: int, coarse: DataFrame | None = None, after: bool = False, fit_stop: int | None = None,
+) -> DataFrame:
+    """Errors of every (net, ridge), from one stacked state pass over each series' inputs.
+
+    ``nets`` has the ``series`` each net reads; ``runs`` its grid point and repetition. The inputs are
+    placed once for all nets of a series, however many there are.
+    """
+    last = train[1] if fit_stop is None else fit_stop
+    partial = stack_gram(inputs, nets, block_map, train[0], last, washout, mode, after=after)
+    readouts = fit_readout(partial.drop("bucket", "part"), ridges)
+    # a run is a (net, ridge) pair
+    listed = F.array(*[F.lit(float(r)) for r in ridges])
+    number = F.array_position(listed, F.col("ridge")) - 1
+    n_ridges = len(ridges)
+    models = settle(readouts.withColumn("run", F.col("run") * n_ridges + number))
+    run_nets = nets.drop("series").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n_ridges - 1)))).withColumn(
+        "run", F.col("run") * n_ridges + F.col("_k")
+    ).drop("_k")
+    pairs = runs.join(nets.select("run", "series"), "run").select(
+        "config_id", "rep", "series", F.col("run").alias("_net"), F.posexplode(listed).alias("_k", "ridge")
+    ).select("config_id", "rep", "series", "ridge", (F.col("_net") * n_ridges + F.col("_k")).alias("run"))
+    near = attach_runs(around(frames, [train[1]], warmup, steps), pairs).drop("series")
+    if coarse is not None:
+        coarse = attach_runs(around(coarse, [train[1]], warmup, steps), pairs).drop("series")
+    forecast = rollout_blocks(
+        near, run_nets, models, block_map, origin_table(pairs, [train[1]]), warmup, steps, mode, coarse, after,
+        max_bytes=max_bytes,
+    )
+    ahead = (train[1], train[1] + steps - 1)
+    aligned = align_forecast(forecast.filter(F.col("t").between(*ahead)), panel, between=ahead)
+    curve = sample_curve(error_curve(aligned, ["run"]), points, keys=["run"])
+    errors = curve.join(pairs, "run").select(
+        "config_id", "ridge", "rep",
+        F.concat(F.lit("rmse"), F.col("point").cast("string")).alias("err"), F.col("rmse").alias("error"),
+    )
+    return sweep_stats(errors, ["config_id", "ridge"])
+
+
+def _with_base(grid: DataFrame, base: dict, names: Sequence[str]) -> DataFrame:
+    """Grid rows with the base values of the parameters that the grid does not vary."""
+    for name in names:
+        if name not in grid.columns:
+            grid = grid.withColumn(name, F.lit(base[name]))
+    return grid
+
+
+RESERVOIR = ("n", "g", "degree", "g_in_rec", "g_in_neigh", "g_in_layer", "tau", "dt")
+
+
 def sweep_single_layer(
     frames: DataFrame,
     panel: DataFrame,
@@ -285,48 +407,111 @@ def sweep_single_layer(
     weights: Callable[[DataFrame], DataFrame] | None = None,
     max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> DataFrame:
-    """Sweep of the single-layer pipeline with one state pass per net for all ridge values.
+    """Sweep of the single-layer pipeline with one state pass for all nets and ridge values.
 
     ``frames`` is ``(series, layer, t, values)`` of one series; ``grid`` holds every
     parameter except the ridge. Each (grid point, repetition) is a net; each ridge value of
-    it a run. Nets do not depend on the ridge, so the passes and Gram sums are shared.
+    it a run. Nets do not depend on the ridge, so the passes and Gram sums are shared, and the
+    inputs of a block are shuffled once for all nets.
     ``weights`` makes the weights of the sized spec (one row per net); random nets if not given.
     """
-    nets_grid = sweep_runs(grid, repetitions)
-    spec = nets_grid.withColumn("layer", F.lit(0)).withColumn("tau", F.lit(float(base["tau"]))).withColumn(
-        "dt", F.lit(float(base["dt"]))
-    )
-    for name in ("n", "g", "degree", "g_in_rec", "g_in_neigh", "g_in_layer"):
-        if name not in grid.columns:
-            spec = spec.withColumn(name, F.lit(base[name]))
+    runs = sweep_runs(grid, repetitions)
+    spec = _with_base(runs.withColumn("layer", F.lit(0)), base, RESERVOIR)
     sized = with_dimensions(spec, check_dimensions(block_map))
-    nets = settle(pack_reservoir(sized, (weights or reservoir_weights)(sized)))
-    per_net = attach_runs(frames, spec.select("run").withColumn("series", F.lit(base["series"])))
-    inputs = gather_inputs(per_net.drop("series"), block_map, keys=["run"])
-    readouts = fit_block_readouts(inputs, nets, block_map, *train, washout, ridges, mode)
-    # a run is a (net, ridge) pair
-    listed = F.array(*[F.lit(float(r)) for r in ridges])
-    number = F.array_position(listed, F.col("ridge")) - 1
-    n_ridges = len(ridges)
-    models = settle(readouts.withColumn("run", F.col("run") * n_ridges + number))
-    run_nets = nets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n_ridges - 1)))).withColumn(
-        "run", F.col("run") * n_ridges + F.col("_k")
-    ).drop("_k")
-    runs = nets_grid.select(
-        "config_id", "rep", F.col("run").alias("_net"), F.posexplode(listed).alias("_k", "ridge")
-    ).select("config_id", "rep", "ridge", (F.col("_net") * n_ridges + F.col("_k")).alias("run"))
-    run_frames = attach_runs(frames, runs.withColumn("series", F.lit(base["series"]))).drop("series")
-    forecast = rollout_blocks(
-        around(run_frames, [train[1]], warmup, steps), run_nets, models, block_map,
-        origin_table(runs, [train[1]]), warmup, steps, mode, max_bytes=max_bytes,
+    nets = settle(pack_reservoir(sized, (weights or reservoir_weights)(sized)).withColumn("series", F.lit(base["series"])))
+    inputs = gather_inputs(frames, block_map, keys=["series"])
+    stats = _swept(inputs, frames, panel, block_map, nets, runs, ridges, train, steps, washout, warmup, mode, points, max_bytes)
+    return grid.join(stats, "config_id")
+
+
+def sweep_layers(
+    frames: Sequence[DataFrame],
+    panel: DataFrame,
+    maps: Sequence[DataFrame],
+    coarse_base: dict,
+    grid: DataFrame,
+    ridges: Sequence[float],
+    base: dict,
+    repetitions: int,
+    train: tuple[int, int],
+    steps: int,
+    washout: int,
+    warmup: int,
+    modes: Sequence[str] = ("quadratic", "quadratic"),
+    points: int = 4,
+    weights: Callable[[DataFrame], DataFrame] | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
+) -> DataFrame:
+    """Sweep of the finer of two layers; the coarser one runs once a repetition.
+
+    ``frames`` and ``maps`` are those of the coarse and of the fine layer, frames ``(t, values)`` with
+    any other columns. The coarse layer's parameters (``coarse_base``, with its ``ridge``) do not vary,
+    so its nets, fit and forecast belong to the repetition alone: their number of jobs and their
+    rows do not depend on the grid. Every grid point of a repetition reads the same coarse
+    values, so their nets share one stacked pass. Scores are those of the fine layer.
+    """
+    spark = grid.sparkSession
+    reps = spark.range(repetitions).withColumnRenamed("id", "run")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repetitions - 1).cast("long")))
+    make = weights or reservoir_weights
+    upper_spec = _with_base(reps.withColumn("layer", F.lit(0)).withColumn("seed", F.col("run")), coarse_base, RESERVOIR)
+    upper_sized = with_dimensions(upper_spec, check_dimensions(maps[0]))
+    upper_frames = frames[0].select(each.alias("run"), F.lit(0).alias("layer"), "t", "values")
+    upper = forecast_single_layer(
+        upper_frames, maps[0], upper_spec, train, [train[1]], steps, washout, warmup, coarse_base["ridge"], modes[0],
+        weights=make(upper_sized), max_bytes=max_bytes,
     )
-    aligned = align_forecast(forecast.filter(F.col("t") >= train[1]), panel)
-    curve = sample_curve(error_curve(aligned, ["run"]), points, keys=["run"])
-    errors = curve.join(runs, "run").select(
-        "config_id", "ridge", "rep",
-        F.concat(F.lit("rmse"), F.col("point").cast("string")).alias("err"), F.col("rmse").alias("error"),
+    known = settle(layer_input(upper.fitted, upper.forecast, train[1]))
+    coarse = settle(to_frames(known, ["run"]).withColumnRenamed("run", "series"))
+    fine = frames[1].select(each.alias("series"), F.lit(1).alias("layer"), "t", "values")
+    runs = sweep_runs(grid, repetitions)
+    spec = _with_base(runs.withColumn("layer", F.lit(1)), base, RESERVOIR)
+    sized = with_dimensions(spec, check_dimensions(maps[1]))
+    of_rep = runs.select("run", F.col("rep").cast("long").alias("series"))
+    nets = settle(pack_reservoir(sized, make(sized)).join(of_rep, "run"))
+    inputs = gather_inputs(fine, maps[1], coarse, ["series"])
+    stats = _swept(
+        inputs, fine, panel, maps[1], nets, runs, ridges, train, steps, washout, warmup, modes[1], points, max_bytes, coarse)
+    return grid.join(stats, "config_id")
+
+
+DEEP = ("nr", "rho", "leak", "input_scale", "inter_scale", "sparsity", "nu")
+
+
+def sweep_deep(
+    frames: DataFrame,
+    panel: DataFrame,
+    n_cells: int,
+    grid: DataFrame,
+    ridges: Sequence[float],
+    base: Sequence[dict],
+    repetitions: int,
+    train: tuple[int, int],
+    steps: int,
+    washout: int,
+    warmup: int,
+    points: int = 4,
+    weights: Callable[[DataFrame], DataFrame] | None = None,
+    max_bytes: int = MAX_SYSTEM_BYTES,
+) -> DataFrame:
+    """Sweep of the deep model: all nets of the grid advance together over the frames.
+
+    ``frames`` is ``(t, values)`` of one series. ``base`` has the parameters of each level; a column
+    of the grid replaces one at all levels. Training uses steps whose target lies before the origin.
+    """
+    runs = sweep_runs(grid, repetitions)
+    levels = None
+    for level, parameters in enumerate(base):
+        one = _with_base(runs.withColumn("level", F.lit(level)), parameters, DEEP)
+        levels = one if levels is None else levels.unionByName(one)
+    nets = settle(pack_deep(levels, (weights or deep_weights)(levels)).withColumn("series", F.lit("all")))
+    block_map = whole_block(frames, n_cells)
+    one = frames.select(F.lit("all").alias("series"), F.lit(0).alias("layer"), "t", "values")
+    inputs = frames_with_target(one, ("series", "layer")).filter("y IS NOT NULL")
+    stats = _swept(
+        inputs, one, panel, block_map, nets, runs, ridges, train, steps, washout, warmup, "quadratic", points, max_bytes,
+        after=True, fit_stop=train[1] - 1,
     )
-    stats = sweep_stats(errors, ["config_id", "ridge"])
     return grid.join(stats, "config_id")
 
 
@@ -342,6 +527,7 @@ def sweep_delay(
     washout: int = 0,
     points: int = 4,
     max_bytes: int = MAX_SYSTEM_BYTES,
+    max_features: int = MAX_FEATURES,
 ) -> DataFrame:
     """Sweep of the delay model: (past, delay, degree) x ridge, scored from several origins.
 
@@ -355,7 +541,7 @@ def sweep_delay(
     parts = []
     for config, (past, delay, degree) in enumerate(structures):
         linear = frames.sparkSession.range(n_cells * past).select(F.col("id").cast("int").alias("i"))
-        dictionary = feature_dictionary(linear, degree)
+        dictionary = feature_dictionary(linear, degree, max_features)
         one = frames.select(F.lit(0).cast("long").alias("run"), "layer", "t", "values")
         stop = washout + (past - 1) * delay + train_len
         delayed = delay_frames(one, past, delay, washout, ["run", "layer"]).filter(F.col("t") < stop)
@@ -367,7 +553,7 @@ def sweep_delay(
         forecast = rollout_delay(
             near, settle(readouts), dictionary, origin_table(runs, origins), past, delay, steps, max_bytes
         )
-        aligned = align_forecast(forecast, panel)
+        aligned = align_forecast(forecast, panel, between=(min(origins), max(origins) + steps - 1))
         curve = sample_curve(error_curve(aligned, ["run", "origin"]), points, keys=["run", "origin"])
         parts.append(curve.select(
             F.lit(config).alias("config_id"), F.lit(past).alias("past"), F.lit(delay).alias("delay"),
