@@ -71,7 +71,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
         done = sizes[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(sizes, done + PIECE_BYTES, "right")))
         yield batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
-        pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
+        give_back()
         at = to
 
 

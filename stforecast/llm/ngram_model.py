@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stforecast.llm.fill_middle import buffers, pieces
-from stforecast.llm.shared import shared_folder, written
+from stforecast.llm.shared import give_back, shared_folder, written
 from stforecast.llm.token_files import file_system
 from stforecast.session import broadcast_within
 
@@ -103,7 +103,7 @@ def by_language(batch: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[i
         _, at = buffers(texts)
         for a, b in pieces(np.diff(at), PIECE_BYTES):
             yield int(langs[rows[0]]), rows[a:b], *buffers(texts.slice(a, b - a))
-    pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
+    give_back()
 
 
 def per_text(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

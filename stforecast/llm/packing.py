@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from stforecast.llm.tokens import encoded
 
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+CRC_SCHEMA = SCHEMA.replace("ids binary", "ids_crc32 long")
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], target: int) -> dict[int, int]:
@@ -99,7 +101,8 @@ def plan_window(tokens: list[int], capacity: int) -> Iterator[list[tuple[int, in
 
 
 def pack(
-    docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 1, capacity: int = 2048, window: int = 8192
+    docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 1, capacity: int = 2048, window: int = 8192,
+    with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most ``capacity`` tokens.
 
@@ -111,7 +114,8 @@ def pack(
     two. Every sequence is then full or a power of two. A null doc_id stays null; rows that
     repeat a doc_id are documents of their own. An empty table gives no pieces.
 
-    Returns doc_id, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id
+    Returns doc_id, start, length, ids (little-endian unsigned 32 bit; their CRC-32 as ids_crc32
+    instead without ``with_ids``, taken where they are), doc_tokens, sequence_id
     (the task's number times 2^40 plus a count, unique, not dense) and offset in the sequence.
     Nothing is shuffled: a task tokenises, plans and writes its own rows, one window at a time.
     """
@@ -119,36 +123,50 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         names: list[pa.Array] = []
-        ids: list[np.ndarray] = []
+        ids: list[np.ndarray] = []  # runs of documents, each with where they start
+        edges: list[np.ndarray] = []
+        held = tokens = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
-            rows = []
-            for sequence in plan_window([len(x) for x in ids], capacity):
-                offset = 0
-                for doc, start, length in sequence:
-                    rows.append((doc, start, length, number, offset))
-                    offset += length
+            nonlocal number, held, tokens
+            flat = np.concatenate(ids).astype("<u4")
+            sizes = np.concatenate([np.diff(e) for e in edges])
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            doc, start, length, sequence = [], [], [], []
+            for pieces in plan_window(sizes.tolist(), capacity):
+                for d, s, n in pieces:
+                    doc.append(d)
+                    start.append(s)
+                    length.append(n)
+                    sequence.append(number)
                 number += 1
-            doc, start, length, sequence, offset = map(np.array, zip(*rows, strict=True))
-            cut = [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in rows]
+            doc, start, length, sequence = (np.array(x, np.int64) for x in (doc, start, length, sequence))
+            before = np.cumsum(length) - length
+            first = np.searchsorted(sequence, sequence)  # sequences follow each other
+            raw = memoryview(flat).cast("B")
+            begin = (at[doc] + start) * 4
+            cut = [raw[a:b] for a, b in zip(begin.tolist(), (begin + length * 4).tolist(), strict=True)]
+            third = pa.array(cut, pa.binary()) if with_ids else pa.array([zlib.crc32(c) for c in cut], pa.int64())
             known = pa.concat_arrays(names).take(pa.array(doc))
-            total = np.array([len(x) for x in ids])[doc]
-            out = [known, *map(pa.array, (start, length)), pa.array(cut, pa.binary()), *map(pa.array, (total, sequence, offset))]
-            names.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCHEMA.split(", ")])
+            out = [known, pa.array(start), pa.array(length), third, *map(pa.array, (sizes[doc], sequence, before - before[first]))]
+            for one in (names, ids, edges):
+                one.clear()
+            held = tokens = 0
+            return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:
             for doc_id, flat, starts in encoded(batch, vocabulary, end_id):
                 names.append(doc_id)
-                ids += [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                if len(ids) >= window or sum(map(len, ids)) >= window * capacity:
+                ids.append(flat)
+                edges.append(starts)
+                held, tokens = held + len(doc_id), tokens + len(flat)
+                if held >= window or tokens >= window * capacity:
                     yield flush()
-        if ids:
+        if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    schema = SCHEMA if with_ids else CRC_SCHEMA
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
@@ -159,4 +177,4 @@ def with_crc(pieces: DataFrame) -> DataFrame:
 
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_crc(pack(table(spark, sf_dir, "documents")))
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,12 @@ def ascii_lower(text: Column) -> Column:
 def columns_of(like: DataFrame, df: DataFrame) -> DataFrame:
     """``df`` with the columns of ``like``, in their order."""
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker: workers live on and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc keeps what was freed
+        pass

@@ -10,9 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 8 << 20  # text encoded in one step
-WORDS_KEPT = 250_000  # words of earlier pieces kept in the table of one Python worker, about 50 MB
+from stforecast.llm.shared import give_back
+
+PIECE_BYTES = 2 << 20  # text encoded in one step
+WORDS_KEPT = 500_000  # words of earlier pieces kept in the table of one Python worker, about 90 MB
 WORDS_LEARNT = 1 << 16  # words the tokenizer is given at a time
+TAILS = (".", ",")  # cut off words of letters and put back as tokens of their own
+ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -36,9 +40,11 @@ def vocabulary_path(vocabulary: str) -> str:
 class WordEncoder:
     """Encodes each different word once and puts texts together from the ids of their words.
 
-    Right for tokenizers that drop white space and never look across it, as BPE with word ends
-    does. A word is whatever stands between ASCII white space; the tokenizer sees it whole.
-    Words of letters only are encoded many at a time and parted at the word-end tokens.
+    Right for tokenizers that lower-case, drop white space and never look across it, as BPE with
+    word ends does. A word is whatever stands between ASCII white space; the tokenizer sees it
+    whole. Words of letters only share an entry whatever the case of A-Z and with or without a
+    full stop or comma behind them; they are encoded many at a time and parted at the word-end
+    tokens. A word that the tokenizer parts although it is all letters keeps an entry of its own.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,11 +57,14 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
+        self.tails = {tail: ids[0] for tail, ids in zip(TAILS, self.whole(list(TAILS)), strict=True) if len(ids) == 1}
+        self.parted: set[str] = set()  # words of letters that are more than one piece
         self.forget()
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.ids, self.start = array("I"), array("q", [0])
+        self.parted.clear()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,52 +74,71 @@ class WordEncoder:
             self.learn_some(words[i : i + WORDS_LEARNT])
 
     def learn_some(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            if w.isalpha():
-                plain.append((w, 1))
-            elif w[-1:] in (".", ",") and w[:-1].isalpha():
-                plain.append((w, 2))
-            else:
-                other.append(w)
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, ids in zip(groups, self.whole([" ".join(w for w, _ in g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
             ids = np.array(ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            upto = np.cumsum([n for _, n in group])
-            if len(last) != upto[-1]:  # some word is more pieces than its letters say
-                other += [w for w, _ in group]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):
+                other += group
                 continue
-            base = len(self.ids)
+            self.slot.update(zip(group, range(len(self.start) - 1, len(self.start) - 1 + len(group)), strict=True))
+            self.start.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
             self.ids.frombytes(ids.tobytes())
-            for (w, _), end in zip(group, (last[upto - 1] + 1).tolist(), strict=True):
-                self.slot[w] = len(self.start) - 1
-                self.start.append(base + end)
         for w, ids in zip(other, self.whole(other), strict=True):
             self.slot[w] = len(self.start) - 1
             self.ids.extend(ids)
             self.start.append(len(self.ids))
+            if w.isalpha() and self.ends[ids].sum() != 1:
+                self.parted.add(w)
+
+    def entry(self, word: str) -> tuple[str, int]:
+        """The word's entry in the table and the token behind it (0: none)."""
+        tail = 0
+        if not word.isalpha():
+            tail = self.tails.get(word[-1:], 0)
+            if not tail or not word[:-1].isalpha():
+                return word, 0
+            word = word[:-1]
+        if not word.islower():
+            word = word.lower() if word.isascii() else word.translate(ASCII_LOWER)
+        return word, tail
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text starts in them (one more than texts)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.slot]
+        entries = list(map(self.entry, words))
+        fresh = [w for w in {w for w, _ in entries} if w not in self.slot]
         if fresh and len(self.slot) + len(fresh) > WORDS_KEPT:
             self.forget()
-            fresh = words  # all words of the piece, however many
+            fresh = list({w for w, _ in entries})  # all words of the piece, however many
         self.learn(fresh)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        if self.parted:  # their full stops may belong to a piece
+            own = [k for k, (w, tail) in enumerate(entries) if tail and w in self.parted]
+            self.learn([words[k] for k in own if words[k] not in self.slot])
+            for k in own:
+                entries[k] = words[k], 0
+        n = len(words)
+        slots = np.fromiter((self.slot[w] for w, _ in entries), np.int64, n)
+        tails = np.fromiter((tail for _, tail in entries), np.uint32, n)
         pool, start = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.start, np.int64)
-        first, length = start[slots], start[slots + 1] - start[slots]
+        first, length = start[slots], start[slots + 1] - start[slots] + (tails > 0)
         index = coded.indices.to_numpy()
         length = length[index]
         to = np.zeros(len(index) + 1, np.int64)
         np.cumsum(length, out=to[1:])
-        ids = pool[np.repeat(first[index] - to[:-1], length) + np.arange(to[-1])] if to[-1] else np.zeros(0, np.uint32)
+        ids = np.zeros(to[-1], self.dtype)
+        if len(pool):
+            place = np.repeat(first[index] - to[:-1], length)
+            place += np.arange(to[-1])
+            ids[:] = pool.take(place, mode="clip")  # the place of a tail is another word's, and written over
+        tails = tails[index]
+        ids[to[1:][tails > 0] - 1] = tails[tails > 0]
         bounds = lists.offsets.to_numpy().astype(np.int64)
-        return ids.astype(self.dtype), to[bounds - bounds[0]]
+        return ids, to[bounds - bounds[0]]
 
 
 def encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -129,6 +157,6 @@ def encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tup
         keep = np.ones(len(out), bool)
         keep[ends] = False
         out[ends], out[keep] = end_id, ids
-        pa.default_memory_pool().release_unused()  # workers live on and share their executor's memory
+        give_back()
         yield batch.column(0).slice(at, n), out, starts + np.arange(n + 1)
         at = to
