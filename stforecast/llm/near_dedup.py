@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stforecast.llm.components import components
-from stforecast.llm.shared import columns_of, query, table, written
+from stforecast.llm.shared import columns_of, give_back, query, table, written
 
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
 SKETCH = 64
@@ -22,8 +22,9 @@ MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketc
 OFFERS = 24  # of a text's rarest lists, from which it is offered a member
 BEST = 3  # links each text tries first
 PIECE_BYTES = 2 << 20  # text hashed in one step
-SKETCH_SCHEMA = "id long, n int, print binary, sketch array<long>"
-SET_SCHEMA = "id long, shingles binary"
+ROUNDS = 2  # further rounds of such offers, of members of a list's largest component
+SKETCH_SCHEMA = "id long, text_id string, n int, print binary, sketch array<long>"
+SET_SCHEMA = "id long, print binary, shingles binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,47 +64,56 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield joined(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(id, text) in pieces of bounded bytes, whole texts each."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+def parts(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+    """Rows (id, ..., text) in pieces of bounded bytes, whole texts each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(sizes):
         done = sizes[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(sizes, done + PIECE_BYTES, "right")))
-        yield batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
+        yield [column.slice(at, to - at) for column in batch.columns]
         give_back()
         at = to
 
 
+def print_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """Set size, 128-bit print of the set and its k smallest hashes, per document."""
+    """Set size, 128-bit print of the set and its k smallest hashes, per row (id, text_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in parts(batch):
+            for ids, names, texts in parts(batch):
                 n, prints, low = [], [], []
                 for s in shingle_sets(texts, width):
                     n.append(len(s))
-                    prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    prints.append(print_of(s))
                     low.append(s[:k].view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(low)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int32()), pa.array(prints, pa.binary()), sketch],
+                    [ids, names, pa.array(n, pa.int32()), pa.array(prints, pa.binary()), sketch],
                     [c.split()[0] for c in SKETCH_SCHEMA.split(", ")],
                 )
 
     return docs.mapInArrow(run, SKETCH_SCHEMA)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def full_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """The full set of each node ``(rep, id, print)``, from the rows with its id and its print."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in parts(batch):
-                sets = pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, sets], ["id", "shingles"])
+                sets = list(shingle_sets(texts, width))
+                arrays = [ids, pa.array([print_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "print", "shingles"])
 
-    return docs.mapInArrow(run, SET_SCHEMA)
+    wanted = texts.select("id", "text").join(members.select("id").distinct(), "id", "left_semi")
+    known = wanted.mapInArrow(run, SET_SCHEMA).join(members, ["id", "print"])
+    return known.select(F.col("rep").alias("id"), "shingles").dropDuplicates(["id"])
 
 
 def least_overlap(k: int, percent: int) -> int:
@@ -219,6 +229,21 @@ def mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
     return now.join(written(open_.select("v")), "v", "left_semi")
 
 
+def main_components(rows: DataFrame) -> DataFrame:
+    """The component that has most members of each list (v, main)."""
+    counts = rows.groupBy("v", "component").agg(F.count("*").alias("c"))
+    return counts.groupBy("v").agg(F.max(F.struct("c", "component")).alias("x")).select("v", F.col("x.component").alias("main"))
+
+
+def offered_again(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, n, pn) of nodes outside the main component of a list and the member of the main
+    component that a hash picks for this turn: one row for each row of the lists at most."""
+    known = rows.join(written(main_components(rows)), "v")
+    chosen = F.min(F.struct(F.xxhash64("v", "rep", F.lit(turn)).alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("x")
+    picked = written(known.where("component = main").groupBy("v").agg(chosen).select("v", "x.p", "x.pn"))
+    return known.where("component <> main").join(picked, "v").select(F.col("rep").alias("a"), F.col("p").alias("b"), "n", "pn")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """The component of every document under links of Jaccard similarity ``percent`` or more.
 
@@ -227,7 +252,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     its words as one shingle if there are fewer; without words it is empty and linked with
     nothing, equal empty texts neither. Returns doc_id, n_shingles, component_id (the smallest
     doc_id reachable) and kept. Equal texts are always linked. A null doc_id counts as the
-    smallest; rows that repeat a doc_id are one document. An empty table gives no rows.
+    smallest. Rows that repeat a doc_id, or have none, keep the links of their own texts: each
+    text is a node, ids are attached last, and of a component the rows with its smallest doc_id
+    and, of those, one text are kept. An empty table gives no rows.
 
     1. One pass makes bottom-k sketches. Equal sets become one node, so copies cost nothing more.
     2. Inverted lists of the sketch values that occur more than once. Two linked nodes have at
@@ -235,19 +262,33 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
        listed: values of passages that many documents share fall out unless a node is made of them.
     3. Each node is offered the member that a hash picks from each of its OFFERS rarest lists;
        the BEST by union-sketch estimate are confirmed on the full sets. This joins large groups
-       without their pairs; what it leaves out the next step finds.
+       without their pairs. In ROUNDS more rounds, nodes that are still outside a list's largest
+       component are offered members of it; what this leaves out the next step finds.
     4. What lists still hold in several components is listed again by its full sets. In each
        list, the nodes outside its most frequent component meet the nodes of other components
        that their sizes and their places in the list leave possible. A pair left out is inside
        one component or fails an exact bound; texts that share a passage and little else, and
        copies edited beyond the limit, fail them by the words of their own.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    real = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    component = F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id")
+    return _classes(docs, width, percent, k).select(real, F.col("n").cast("long").alias("n_shingles"), component, "kept")
+
+
+def _identified(docs: DataFrame) -> list[Column]:
+    """A row's id without null, and what tells texts with one id apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+
+
+def _classes(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """``(id, text_id, n, component_id, kept)`` of every row."""
+    own_id, text_id = _identified(docs)
+    texts = docs.select(own_id.alias("id"), text_id.alias("text_id"), "text")
     marks = written(sketches(texts, width, k))
-    classes = written(marks.where("n > 0").groupBy("print").agg(F.min("id").alias("rep")))
-    nodes = written(marks.join(
-        classes.withColumnRenamed("rep", "id"), ["id", "print"]
-    ).select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]))
+    # equal sets are one node, whatever their ids
+    classes = written(written(marks.where("n > 0").groupBy("print").agg(F.min("id").alias("id"))).withColumn(
+        "rep", F.monotonically_increasing_id()))
+    nodes = written(marks.join(classes, ["id", "print"]).select("rep", "n", "sketch").dropDuplicates(["rep"]))
 
     values = nodes.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     lists = rare_lists(values, needed(F.col("n"), k, percent))
@@ -255,25 +296,31 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         F.min(F.struct(F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("x"),
         F.count("*").alias("c"),
     ).where("c > 1").select("v", "x.p", "x.pn"))
-    offered = lists.where(F.col("turn") <= OFFERS).join(picked, "v")
-    offered = offered.where(F.col("rep") != F.col("p")).where(sized("n", "pn", percent))
-    offered = offered.select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct()
-    members = written(lists.join(picked.select("v"), "v", "left_semi").select(F.col("rep").alias("id")).distinct())
-    sets = written(full_sets(texts.join(members, "id", "left_semi"), width))
-
-    ranked = Window.partitionBy("a").orderBy(F.desc("similar"), "b")
-    tried = sketch_filter(offered, nodes, k, percent).withColumn("r", F.row_number().over(ranked)).where(f"r <= {BEST}")
-    tried = written(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    offered = lists.where(F.col("turn") <= OFFERS).join(picked, "v").where(F.col("rep") != F.col("p"))
+    offered = offered.select(F.col("rep").alias("a"), F.col("p").alias("b"), "n", "pn")
+    members = written(lists.join(picked.select("v"), "v", "left_semi").select("rep").distinct().join(classes, "rep"))
+    sets = written(full_sets(texts, members, width))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """The BEST offers of each node by estimate."""
+        ranked = Window.partitionBy("a").orderBy(F.desc("similar"), "b")
+        fit = pairs.where(sized("n", "pn", percent)).select("a", "b").distinct()
+        taken = sketch_filter(fit, nodes, k, percent).withColumn("r", F.row_number().over(ranked)).where(f"r <= {BEST}")
+        return written(taken.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    tried = best(offered)
     links = written(confirmed(tried, sets, percent))
     joined = written(components(links))
+    for turn in range(1, ROUNDS + 1):
+        again = best(offered_again(mixed(lists.where(F.col("turn") <= OFFERS), joined), turn))
+        links = written(links.unionByName(confirmed(again, sets, percent)))
+        tried, joined = tried.unionByName(again), written(components(links))
 
     apart = mixed(lists, joined).select(F.col("rep").alias("id")).distinct()
     full = written(shingle_rows(sets.join(written(apart), "id", "left_semi")))
     lists = rare_lists(full, F.ceil(F.col("n") * percent / 100))
     several = written(mixed(lists, joined).withColumn("most", largest_partner(percent)))
-    heavy = several.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(
-        F.max(F.struct("c", "component")).alias("x")).select("v", F.col("x.component").alias("main"))
-    few = several.join(written(heavy), "v").where("component <> main")
+    few = several.join(written(main_components(several)), "v").where("component <> main")
     few = few.select(
         "v", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("component").alias("bc"),
         F.explode(F.sequence(size_class(F.ceil(F.col("n") * percent / 100)), size_class(F.col("most")))).alias("class"),
@@ -282,28 +329,34 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         (F.col("component") != F.col("bc")) & sized("n", "bn", percent)
         & (F.col("n") <= F.col("bmost")) & (F.col("bn") <= F.col("most")))
     rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    rest = written(sketch_filter(rest.join(tried, ["a", "b"], "left_anti"), nodes, k, percent))
+    rest = written(sketch_filter(rest.join(tried.distinct(), ["a", "b"], "left_anti"), nodes, k, percent))
     links = links.unionByName(confirmed(rest, sets, percent))
     final = written(components(links))
 
-    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "print", F.coalesce("component", "rep").alias("component"))
-    real = F.when(F.col("id") != NO_ID, F.col("id"))
-    out = marks.select("id", "n", "print").join(written(named), "print", "left").select(
-        real.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component"), "id",
-    )
+    grouped = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "print", F.struct("id", "print").alias("own"), F.coalesce("component", "rep").alias("component"))
+    first = grouped.groupBy("component").agg(F.min("own").alias("first"))
+    named = written(grouped.join(first, "component").select("print", "first"))
+    out = marks.select("id", "text_id", "n", "print").join(named, "print", "left")
+    alone = F.col("first").isNull()  # no words
     return out.select(
-        "doc_id", "n_shingles", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        "id", "text_id", "n", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        (alone | ((F.col("id") == F.col("first.id")) & (F.col("print") == F.col("first.print")))).alias("kept"),
     )
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with all its columns."""
-    gone = near_components(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    return columns_of(docs, rows.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left_anti"))
+    """The rows of ``docs`` that stay: one document of each component, with all its columns.
+
+    Rows go by doc_id and text, so of texts that share a doc_id, or have none, each is judged
+    alone; rows equal in both go or stay together. An empty table stays empty; columns of any
+    other name are kept as they are.
+    """
+    gone = _classes(docs, width, percent, SKETCH).where("NOT kept").select(
+        F.col("id").alias("__id"), F.col("text_id").alias("__text")).distinct()
+    own_id, text_id = _identified(docs)
+    rows = docs.withColumns({"__id": own_id, "__text": text_id})
+    return columns_of(docs, rows.join(gone, ["__id", "__text"], "left_anti"))
 
 
 SQL = r"""

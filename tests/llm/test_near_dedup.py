@@ -97,3 +97,20 @@ def test_components_of_paths_and_stars(spark):
 
 def test_the_bound_on_common_values():
     assert 20 <= least_overlap(64, 80) <= 30 and least_overlap(64, 100) == 64
+
+
+def test_repeated_and_null_ids_keep_the_links_of_their_texts(docs_of):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "of its own"), (None, "x " + a), (None, b + " end more"),
+            (5, "c " * 3), (None, "nobody else has this text"), (4, "of its own")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_components(docs_of(rows)).collect()), key=str)
+    both = [(None, None, True), (None, None, True), (None, None, True), (1, None, False), (1, None, False), (2, None, False),
+            (3, None, False), (4, 4, True), (4, 4, True), (5, 5, True)]
+    assert [(d, c, k) for d, _, c, k in got] == sorted(both, key=str)
+    named = [r for r in rows if r[0] is not None]
+    got = {(r.doc_id, r.component_id) for r in near_components(docs_of(named)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    stay = sorted((r.text for r in drop_near(docs_of(named)).collect()))
+    assert stay == sorted([a, b, "of its own", "of its own", "c " * 3])
+    stay = sorted(r.text for r in drop_near(docs_of([(None, a), (None, a + " more"), (None, b), (None, None)])).collect() if r.text)
+    assert len(stay) == 2 and b in stay and stay[0][:5] == "a0 a1"
