@@ -13,7 +13,7 @@ from stforecast.llm.exact_dedup import drop_exact
 from stforecast.llm.lang_id import keep_identified, train
 from stforecast.llm.mixing import document_levels, drop_to_mix, with_domain
 from stforecast.llm.near_dedup import drop_near
-from stforecast.llm.packing import pack, with_crc
+from stforecast.llm.packing import pack
 from stforecast.llm.shared import columns_of, table, written
 
 
@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of at most 2048 tokens."""
-    return with_crc(pack(docs))
+    return pack(docs, with_ids=False)
 
 
 STAGES = [
