@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from stforecast.llm.shared import give_back
 
 PIECE_BYTES = 2 << 20  # text encoded in one step
-WORDS_KEPT = 500_000  # words of earlier pieces kept in the table of one Python worker, about 90 MB
+WORDS_KEPT = 800_000  # words of earlier pieces kept in the table of one Python worker, about 150 MB
 WORDS_LEARNT = 1 << 16  # words the tokenizer is given at a time
 TAILS = (".", ",")  # cut off words of letters and put back as tokens of their own
 ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
@@ -157,6 +157,6 @@ def encoded(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tup
         keep = np.ones(len(out), bool)
         keep[ends] = False
         out[ends], out[keep] = end_id, ids
-        give_back()
         yield batch.column(0).slice(at, n), out, starts + np.arange(n + 1)
         at = to
+    give_back()
