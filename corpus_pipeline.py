@@ -33,8 +33,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken once, up to four fifths of all words, by the weights of their sources."""
-    return columns_of(docs, drop_to_mix(with_domain(docs), document_levels(), percent=80, seed=17))
+    """Documents are taken once, up to four fifths of all words, by the weights of their sources.
+
+    A column named domain is put aside and comes back as it was.
+    """
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() == "domain"}
+    mixed = drop_to_mix(with_domain(docs.withColumnsRenamed(own)), document_levels(), percent=80, seed=17)
+    if own:
+        mixed = mixed.drop("domain").withColumnsRenamed({aside: c for c, aside in own.items()})
+    return columns_of(docs, mixed)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
