@@ -37,6 +37,21 @@ def _steps_of(origins: DataFrame, before: int, after: int) -> DataFrame:
     return origins.select("run", "origin", F.explode(F.sequence(first, last)).alias("t"))
 
 
+def _coarse_of(
+    past: DataFrame, ahead: DataFrame | None, origins: DataFrame, warmup: int, steps: int
+) -> DataFrame:
+    """Coarse values ``(run, origin, t, values)`` that each origin reads, in equi-joins."""
+    columns = ["run", "origin", "t", "values"]
+    past = past.select("run", "t", "values")
+    if ahead is None:
+        return past.join(_steps_of(origins, warmup, steps), ["run", "t"]).select(*columns)
+    own = ahead.select(*columns).join(_steps_of(origins, 0, steps), ["run", "origin", "t"])
+    if warmup == 0:
+        return own.select(*columns)
+    before = past.join(_steps_of(origins, warmup, 0), ["run", "t"])
+    return before.select(*columns).unionByName(own.select(*columns))
+
+
 def system_bytes(n_cells: int, n_features: int, window: int) -> int:
     """What one task holds of a coupled system: its readouts and its window of values."""
     return 8 * n_cells * (n_features + 2 * window)
@@ -64,11 +79,14 @@ def rollout_blocks(
     after: bool = False,
     y_init: list[float] | None = None,
     max_bytes: int = MAX_SYSTEM_BYTES,
+    coarse_ahead: DataFrame | None = None,
 ) -> DataFrame:
     """Warm up on true values, then feed the predictions back for ``steps`` steps.
 
     ``frames`` is ``(run, layer, t, values)``, ``coarse_frames`` ``(run, t, values)``; an
-    origin is the first step to forecast. Each step all blocks give their output first,
+    origin is the first step to forecast. With ``coarse_ahead`` ``(run, origin, t, values)`` the
+    coarse values from an origin on are those of that origin's own coarse forecast, and
+    ``coarse_frames`` is read before the origins only. Each step all blocks give their output first,
     then all advance on their own and their neighbours' predicted values. The result
     covers the warm-up as well; ``t`` is always the step the value is for. Readouts with a column
     ``origin`` serve that origin alone. A system of more
@@ -96,9 +114,7 @@ def rollout_blocks(
         )
         parts.append(true)
     if coarse_frames is not None:
-        upper = coarse_frames.select("run", "t", "values").join(
-            _steps_of(origins, warmup, steps), ["run", "t"]
-        ).join(layers, "run")
+        upper = _coarse_of(coarse_frames, coarse_ahead, origins, warmup, steps).join(layers, "run")
         parts.append(upper.select(*SYSTEM, F.lit(3).alias("kind"), "t", "values"))
     rows = parts[0]
     for part in parts[1:]:

@@ -12,13 +12,14 @@ from stforecast.operators import rollout as rl
 from stforecast.operators import states as st
 from stforecast.operators import weights as wt
 from stforecast.operators.evaluate import thin_units
-from stforecast.operators.regrid import regrid_1d_frames
+from stforecast.operators.regrid import regrid_1d_frames, regrid_2d
 from stforecast.plans import pipelines as pl
 from stforecast.plans.catalog import panels as p
 from stforecast.plans.catalog import sql
 from stforecast.plans.catalog import sqlmodel as sm
 from stforecast.plans.catalog.features import DELAYED, DICTIONARY
 from stforecast.plans.catalog.registry import query
+from stforecast.sources.panel import flatten_cells, to_frames
 
 r = sql.r
 LAST, WASHOUT, WARMUP, STEPS = sm.LAST, 30, 25, 15
@@ -36,7 +37,7 @@ def spec_of(spark, model: sm.Reservoir):
         F.lit(model.damp).alias("damp"), F.lit(model.n // 2).alias("degree"),
         *[F.lit(g).alias(c) for g, c in zip(model.gains, ("g_in_rec", "g_in_neigh", "g_in_layer"), strict=True)],
         F.lit(1.0).alias("tau"), F.lit(model.leak).alias("dt"),
-        F.lit(model.size).alias("d_rec"), F.lit(2 * model.mixing).alias("d_neigh"),
+        F.lit(model.size).alias("d_rec"), F.lit(model.halo).alias("d_neigh"),
         F.lit(model.n_layer).alias("d_layer"),
     )
 
@@ -45,7 +46,7 @@ def given_weights(spark, model: sm.Reservoir):
     """Weights SQL can state too: seeded draws times a fixed factor instead of a radius."""
     spec = spec_of(spark, model)
     damped = wt.raw_recurrent_weights(spec).withColumn("w", F.col("w") * F.lit(model.damp))
-    return damped.unionByName(wt.input_weights(spec))
+    return damped.unionByName(wt.input_weights(spec, "structured" if model.structured else "random"))
 
 
 def nets_of(spark, model: sm.Reservoir):
@@ -264,6 +265,57 @@ def forecast_two_layer_job(spark, sf_dir):
     return p.present(both.select("layer", "t", "cell", "yhat"))
 
 
+# Two grids: 8 x 4 cells in 2 x 2 blocks below 4 x 2 cells in 2 blocks. Every unit sees every
+# input, the readouts are linear, and three origins follow the training span.
+GRIDS = [(4, 2, 2, 1), (8, 4, 2, 2)]
+AHEAD = (LAST, 18, 16)  # steps of the origins before the end
+GRID_ORIGINS = f"SELECT n - unnest([{', '.join(map(str, AHEAD))}]) AS origin FROM pr"
+UPPER = sm.GridReservoir(
+    "u", "g8", 8, 2, 1, 8, seed=6, gains=(0.2, 0.1, 0.0), quadratic=False, structured=False, grid=GRIDS[0], n_neigh=4,
+)
+LOWER = sm.GridReservoir(
+    "w", "g32", 32, 4, 1, 10, seed=7, layer=1, gains=(0.1, 0.1, 0.2), quadratic=False, structured=False, grid=GRIDS[1],
+    n_neigh=16, coarse="uft", ahead="ufc", n_layer=4,
+    linked="SELECT b.block, c.pos, c.cell FROM ubm c JOIN (SELECT unnest(range(4)) AS block) b "
+           "ON c.block = b.block // 2 AND c.role = 'rec'",
+)
+
+
+def _grid_frames(spark, sf_dir):
+    """The embeddings on a grid of 8 x 4 cells, and on one of 4 x 2."""
+    panel = p.emb_std(spark, sf_dir).withColumns({
+        "lon_idx": F.floor(F.col("cell") / 8).cast("int"), "lat_idx": F.pmod(F.col("cell"), F.lit(8)).cast("int")})
+    boxes = ((regrid_2d(panel, *box).drop("n_valid"), n_lat) for box, n_lat in (((2, 4), 2), ((1, 2), 4)))
+    return [
+        to_frames(flatten_cells(boxed, n_lat)).withColumn("layer", F.lit(layer)) for layer, (boxed, n_lat) in enumerate(boxes)]
+
+
+@query(
+    "forecast_two_layer_grid",
+    f"""WITH RECURSIVE {sql.Z}, {sm.SPAN},
+    g8 AS (SELECT t, (cell // 16) * 2 + (cell % 8) // 4 AS cell, avg(value) AS value FROM z GROUP BY 1, 2),
+    g32 AS (SELECT t, (cell // 8) * 4 + (cell % 8) // 2 AS cell, avg(value) AS value FROM z GROUP BY 1, 2),
+    {UPPER.net()}, {UPPER.inputs()}, {UPPER.states()}, {UPPER.fit()}, {UPPER.fitted()},
+    {UPPER.rollout(GRID_ORIGINS, WARMUP, STEPS)},
+    {LOWER.net()}, {LOWER.inputs()}, {LOWER.states()}, {LOWER.fit()}, {LOWER.rollout(GRID_ORIGINS, WARMUP, STEPS)}
+    SELECT CAST(0 AS BIGINT) AS layer, origin, t, CAST(cell AS BIGINT) AS cell, {r('value')} AS yhat FROM ufc
+    UNION ALL
+    SELECT CAST(1 AS BIGINT), origin, t, CAST(cell AS BIGINT), {r('value')} FROM wfc""",
+)
+def forecast_two_layer_grid_job(spark, sf_dir):
+    """Coarse and fine grid over the whole table, from three origins that share one fit."""
+    n = p.frame_count(spark, sf_dir)
+    whole = bl.blocks_2d_linked(spark, GRIDS, 1)
+    spec = spec_of(spark, UPPER).unionByName(spec_of(spark, LOWER))
+    results = pl.forecast_layers(
+        [run_frames(f) for f in _grid_frames(spark, sf_dir)], [whole.filter(F.col("layer") == l) for l in range(2)],
+        spec, (0, n - LAST), STEPS, WASHOUT, WARMUP, [UPPER.ridge, LOWER.ridge], ["linear", "linear"], "random",
+        [given_weights(spark, UPPER), given_weights(spark, LOWER)], [n - back for back in AHEAD],
+    )
+    both = results[0].forecast.unionByName(results[1].forecast)
+    return p.present(both.select("layer", "origin", "t", "cell", "yhat"))
+
+
 # --- deep nets ----------------------------------------------------------------------
 
 DEEP = f"""WITH RECURSIVE {sql.Z8}, {sm.SPAN}, {sm.deep_states(8, 8, 5, 'z8')}"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from stforecast.plans.catalog import sql
-from stforecast.plans.catalog.structure import ring_blocks
+from stforecast.plans.catalog.structure import grid_blocks, ring_blocks
 
 LAST = 20  # the test span: the last steps of the embeddings
 SPAN = f"pr AS (SELECT count(*) AS n, count(*) - {LAST} AS stop FROM embeddings)"
@@ -32,18 +32,25 @@ class Reservoir:
     coarse: str | None = None  # CTE (t, cell, value) of the layer above
     n_layer: int = 0
     linked: str = ""  # SELECT block, pos, cell of the layer inputs
+    ahead: str | None = None  # CTE (origin, t, cell, value): the layer above from each origin on
+    structured: bool = True  # inputs feed units of their own, or all units
 
     @property
     def size(self) -> int:
         return self.cells // self.blocks
 
+    @property
+    def halo(self) -> int:
+        return 2 * self.mixing
+
     @property
     def d(self) -> int:
-        return self.size + 2 * self.mixing + self.n_layer
+        return self.size + self.halo + self.n_layer
 
     def net(self) -> str:
         p, n, d, q = self.p, self.n, self.d, self.n // self.d
-        a, b = self.size, self.size + 2 * self.mixing
+        a, b = self.size, self.size + self.halo
+        own = f"i // {q} = c AND i < {q * d}" if self.structured else "true"
         gain = f"CASE WHEN c < {a} THEN {self.gains[0]} WHEN c < {b} THEN {self.gains[1]} ELSE {self.gains[2]} END"
         return f"""
         {p}wr AS (
@@ -53,13 +60,17 @@ class Reservoir:
             FROM (SELECT unnest(range({n})) AS i), (SELECT unnest(range({n})) AS j)) GROUP BY i),
         {p}wi AS (
           SELECT i, list(w ORDER BY c) AS row FROM (
-            SELECT i, c, CASE WHEN i // {q} = c AND i < {q * d}
+            SELECT i, c, CASE WHEN {own}
               THEN {gain} * (2 * {sql.seeded_uniform(self.seed, self.layer, 11, 'i', 'c')} - 1) ELSE 0 END AS w
             FROM (SELECT unnest(range({n})) AS i), (SELECT unnest(range({d})) AS c)) GROUP BY i),
         {p}nt AS (
           SELECT (SELECT list(CAST(row AS DOUBLE[]) ORDER BY i) FROM {p}wr) AS wm,
                  (SELECT list(CAST(row AS DOUBLE[]) ORDER BY i) FROM {p}wi) AS wn)"""
 
+    def block_cells(self) -> str:
+        """CTE ``{p}b(block, role, pos, cell)``."""
+        return ring_blocks(str(self.cells), str(self.blocks), self.mixing, self.p + "b")
+
     def inputs(self) -> str:
         p = self.p
         links = f"UNION ALL SELECT block, 'layer', pos, cell FROM ({self.linked})" if self.linked else ""
@@ -68,8 +79,8 @@ class Reservoir:
             "ON c.cell = b.cell WHERE b.role = 'layer'" if self.coarse else ""
         )
         return f"""
-        {ring_blocks(str(self.cells), str(self.blocks), self.mixing, p + 'b')},
-        {p}bm AS (SELECT * FROM {p}b {links}),
+        {self.block_cells()},
+        {p}bm AS (SELECT block, role, pos, cell FROM {p}b {links}),
         {p}in AS (
           SELECT block, t, list(value ORDER BY ro, pos) AS u, list(value ORDER BY pos) FILTER (ro = 0) AS y
           FROM (
@@ -142,10 +153,16 @@ class Reservoir:
           SELECT t, block * {d} + o - 1 AS cell, list_dot_product(w[block + 1][o], {self.features('x')}) AS value
           FROM {p}ls, {p}wo, (SELECT unnest(range(1, {d + 1})) AS o))"""
 
+    def by_cell(self, flat: str) -> str:
+        """Values listed block by block, as a list over the cells."""
+        return flat
+
     def rollout(self, origins: str, warmup: int, steps: int) -> str:
         """``{p}fc(origin, t, cell, value)``; ``origins`` is a SELECT of ``origin``."""
         p, n, d, b = self.p, self.n, self.size, self.blocks
         upper = f"JOIN {p}cf cf ON cf.t = ro.t" if self.coarse else ""
+        if self.ahead:
+            upper += " AND cf.origin = ro.origin"
         step = self._cell_step("xs[b]", "list_transform(ix.ix[b], lambda c: v[c + 1])", "nt")
         out = (
             f"flatten(list_transform(range(1, {b + 1}), lambda b: list_transform(range(1, {d + 1}), "
@@ -154,6 +171,14 @@ class Reservoir:
         coarse = (
             f"{p}cf AS (SELECT t, list(value ORDER BY cell) AS v FROM {self.coarse} GROUP BY t)," if self.coarse else ""
         )
+        if self.ahead:
+            coarse = f"""{p}cf AS (
+              SELECT origin, t, list(value ORDER BY cell) AS v FROM (
+                SELECT q.origin, c.t, cell, value FROM {self.coarse} c JOIN ({origins}) q
+                  ON c.t >= q.origin - {warmup} AND c.t < q.origin
+                UNION ALL SELECT origin, t, cell, value FROM {self.ahead} WHERE t >= origin)
+              GROUP BY origin, t),"""
+        out = self.by_cell(out)
         now = "CASE WHEN ro.t < ro.origin THEN fr.v ELSE ro.y END"
         if self.coarse:
             now = f"list_concat({now}, cf.v)"
@@ -180,6 +205,33 @@ class Reservoir:
           SELECT origin, t, unnest(range({self.cells})) AS cell, unnest(y) AS value FROM {p}ro)"""
 
 
+@dataclass
+class GridReservoir(Reservoir):
+    """Blocks on a grid: cells of a block do not follow each other."""
+
+    grid: tuple[int, int, int, int] = (1, 1, 1, 1)  # longitudes, latitudes, parts of either
+    n_neigh: int = 0
+
+    @property
+    def halo(self) -> int:
+        return self.n_neigh
+
+    def block_cells(self) -> str:
+        n_lon, n_lat, div_lon, div_lat = self.grid
+        return grid_blocks(self.p + "b", str(n_lon), n_lat, str(div_lon), div_lat, self.mixing)
+
+    def fitted(self) -> str:
+        p = self.p
+        return f"""
+        {p}ft AS (
+          SELECT t, m.cell, list_dot_product(w[f.block + 1][m.pos + 1], z) AS value
+          FROM {p}fe f JOIN {p}b m ON m.block = f.block AND m.role = 'rec', {p}wo)"""
+
+    def by_cell(self, flat: str) -> str:
+        place = f"SELECT list(block * {self.size} + pos + 1 ORDER BY cell) FROM {self.p}b WHERE role = 'rec'"
+        return f"list_select({flat}, ({place}))"
+
+
 def deep_states(nr: int, nu: int, seed: int, panel: str, p: str = "d", scale: float = 0.5) -> str:
     """``{p}st(t, x1, x2)``: two-level states after step t; nets as in the deep query."""
     q = nr // nu

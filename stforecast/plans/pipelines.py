@@ -103,11 +103,14 @@ def forecast_single_layer(
     overlap: int = 0,
     map_rows: int | None = None,
     max_bytes: int = MAX_SYSTEM_BYTES,
+    coarse_ahead: DataFrame | None = None,
+    score_until: int | None = None,
 ) -> Result:
     """Build the nets, fit every block, and roll forward from every origin.
 
     ``frames`` is ``(run, layer, t, values)``: attach the runs to the series first. ``spec``
-    has one row per (run, layer). Input counts come from the block map.
+    has one row per (run, layer). Input counts come from the block map. The one-step outputs
+    reach to the end of training, or to ``score_until``. ``coarse_ahead``: see ``rollout_blocks``.
     """
     sizes = layer_sizes(block_map)
     sized = with_dimensions(spec, {l: (s.d_rec, s.d_neigh, s.d_layer) for l, s in sizes.items()})
@@ -121,13 +124,14 @@ def forecast_single_layer(
             inputs, nets, block_map, *train, washout, [ridge], mode, segment, overlap
         )
     )
-    scored = score_one_step(inputs, nets, readouts, block_map, *train, mode, segment, overlap)
+    until = train[1] if score_until is None else score_until
+    scored = score_one_step(inputs, nets, readouts, block_map, train[0], until, mode, segment, overlap)
     fitted = merge_block_outputs(scored, block_map, map_rows=map_rows)
     runs = spec.select("run").distinct()
     forecast = rollout_blocks(
         around(frames, origins, warmup, steps), nets, readouts, block_map, origin_table(runs, origins),
         warmup, steps, mode, None if coarse_frames is None else around(coarse_frames, origins, warmup, steps),
-        max_bytes=max_bytes,
+        max_bytes=max_bytes, coarse_ahead=coarse_ahead,
     )
     return Result(readouts, fitted, forecast, nets)
 
@@ -144,23 +148,36 @@ def forecast_layers(
     modes: Sequence[str],
     input_mode: str = "structured",
     weights: Sequence[DataFrame] | None = None,
+    origins: Sequence[int] | None = None,
+    segment: int | None = None,
+    overlap: int = 0,
+    max_bytes: int = MAX_SYSTEM_BYTES,
 ) -> list[Result]:
     """Coarse to fine: each layer reads the fit and forecast of the one above it.
 
-    The forecast origin is the end of the training span. Each layer's output is settled
-    once, because the next layer reads it twice (fit and free run).
+    By default the one origin is the end of the training span; ``origins`` may name any steps
+    from there on. Before an origin a finer layer reads the one-step outputs of the layer above
+    (readouts of the training span under true inputs), from the origin on that origin's own
+    coarse forecast; so no layer sees a value that is later than its origin. Each layer's two
+    outputs are settled once, as frames, because the next layer reads them several times.
     """
+    origins = [train[1]] if origins is None else list(origins)
+    if min(origins) < train[1]:
+        raise ValueError("an origin lies inside the training span")
     results: list[Result] = []
-    coarse = None
+    coarse = ahead = None
     for l, (frames, block_map) in enumerate(zip(frames_by_layer, maps, strict=True)):
         result = forecast_single_layer(
-            frames, block_map, layer_params(spec, l), train, [train[1]], steps, washout, warmup,
+            frames, block_map, layer_params(spec, l), train, origins, steps, washout, warmup,
             ridges[l], modes[l], input_mode, None if weights is None else weights[l], coarse,
+            segment, overlap, max_bytes=max_bytes, coarse_ahead=ahead, score_until=max(origins),
         )
         results.append(result)
         if l + 1 < len(maps):
-            upper = settle(layer_input(result.fitted, result.forecast, train[1]))
-            coarse = to_frames(upper, ["run"])
+            values = F.col("yhat").alias("value")
+            coarse = settle(to_frames(result.fitted.select("run", "t", "cell", values), ["run"]))
+            free = result.forecast.filter(F.col("t") >= F.col("origin"))
+            ahead = settle(to_frames(free.select("run", "origin", "t", "cell", values), ["run", "origin"]))
     return results
 
 

@@ -218,6 +218,35 @@ def test_two_layers_shapes(spark, panel_of):
     assert results[1].forecast.filter("layer <> 1 or isnan(yhat)").count() == 0
 
 
+def test_two_layers_from_several_origins(spark, panel_of):
+    """Each origin is forecast as if it were alone, and from nothing that lies behind it."""
+
+    def frames_of(values, layer):
+        return to_frames(panel_of(values, layer=layer)).select(F.lit(0).cast("long").alias("run"), "layer", "t", "values")
+
+    one = spec(spark, runs=1).drop("d_rec", "d_neigh", "d_layer")
+    maps = [bl.blocks_1d(spark, 4, 2, 1), bl.blocks_1d_linked(spark, 8, 2, 4, 1, 2, "include")]
+
+    def forecast(data, origins):
+        results = pl.forecast_layers(
+            [frames_of(data.reshape(4, 2, T).mean(1), 0), frames_of(data, 1)], maps,
+            one.unionByName(one.withColumn("layer", F.lit(1))), (0, 110), 8, 10, 6,
+            [1e-2, 1e-2], ["linear", "quadratic"], "random", origins=origins,
+        )
+        rows = results[0].forecast.unionByName(results[1].forecast).collect()
+        return {(r.layer, r.origin, r.t, r.cell): r.yhat for r in rows}
+
+    together = forecast(DATA, [110, 117, 123])
+    assert len(together) == 3 * (4 + 8) * 14
+    changed = DATA.copy()
+    changed[:, 117:] += 5.0
+    alone = forecast(changed, [117])
+    assert len(alone) == 12 * 14
+    assert max(abs(v - together[k]) for k, v in alone.items()) < 1e-9
+    with pytest.raises(ValueError, match="inside the training span"):
+        pl.forecast_layers([], [], one, (0, 110), 8, 10, 6, [], [], origins=[100])
+
+
 def test_deep_states_and_closed_loop(spark, panel_of):
     data = DATA[:4]
     levels = spark.range(2).select(
