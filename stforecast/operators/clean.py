@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stforecast.functions.numeric import natural_spline
-from stforecast.session import broadcast_within
+from stforecast.session import broadcast_within, settle
 from stforecast.sources.panel import KEYS, chunked_rank
 
 # Fixed values of the packed sea-surface-temperature format.
@@ -65,20 +65,38 @@ def drop_sparse_cells(
     return panel.join(dropped, cell, "left").withColumn("value", value).drop("_dropped")
 
 
+# Neighbours of a grid position, itself included, and those that a scan along latitude inside
+# longitude meets after it.
+AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+SCANNED_LATER = [(dx, dy) for dx, dy in AROUND if (dx, dy) > (0, 0)]
+
+
 def mask_isolated(
     panel: DataFrame,
     n_missing: int = 7,
-    passes: int = 1,
+    passes: int | None = 1,
     keys: Sequence[str] = KEYS,
     at_t: int | None = None,
     n_cells: int | None = None,
+    order: str = "snapshot",
 ) -> DataFrame:
     """Blank interior cells with >= ``n_missing`` missing in their 3x3 neighbourhood.
 
-    The status is taken at one time step (default: the first of the key). Each pass
-    uses one snapshot of the statuses; the status table has one row per cell, the panel
-    itself is only joined with the masked cells at the end.
+    The status is taken at one time step (default: the first of the key).
+    ``snapshot``: each pass uses one snapshot of the statuses; ``passes=None`` goes on until no
+    cell changes. ``scan``: one scan, longitude by longitude, in which a cell blanked early counts
+    as missing for those after it.
+
+    Rounds work on a table with one row per interior cell, which is settled between two rounds:
+    only cells blanked in a round add to the counts of their neighbours, so the plan does not
+    grow from round to round. The panel is only joined with the blanked cells at the end.
     """
+    if order not in ("snapshot", "scan"):
+        raise ValueError(f"order must be snapshot or scan, got {order!r}")
+    if passes is None and order == "scan":
+        raise ValueError("a scan is one pass")
+    if passes is not None and (passes < 1 or (order == "scan" and passes > 1)):
+        raise ValueError("passes must be at least 1, and 1 for a scan")
     pos = [*keys, "lon_idx", "lat_idx"]
     if at_t is None:
         first = panel.groupBy(*keys).agg(F.min("t").alias("_t0"))
@@ -89,27 +107,42 @@ def mask_isolated(
     extent = status.groupBy(*keys).agg(
         F.max("lon_idx").alias("_lon1"), F.max("lat_idx").alias("_lat1")
     )
-    nine = F.sequence(F.lit(-1), F.lit(1))
-    masked = None
-    missing = status.filter("_missing").select(*pos)
-    for _ in range(passes):
-        spread = missing.select(
-            *keys, F.explode(F.transform(nine, lambda d: F.col("lon_idx") + d)).alias("lon_idx"), "lat_idx"
-        ).select(
-            *keys, "lon_idx", F.explode(F.transform(nine, lambda d: F.col("lat_idx") + d)).alias("lat_idx")
-        )
-        hit = (
-            spread.groupBy(*pos).agg(F.count("*").alias("_n"))
-            .filter(F.col("_n") >= n_missing)
-            .join(extent, list(keys))
-            .filter(
-                (F.col("lon_idx") >= 1) & (F.col("lon_idx") < F.col("_lon1"))
-                & (F.col("lat_idx") >= 1) & (F.col("lat_idx") < F.col("_lat1"))
-            )
-            .select(*pos)
+    interior = (
+        (F.col("lon_idx") >= 1) & (F.col("lon_idx") < F.col("_lon1"))
+        & (F.col("lat_idx") >= 1) & (F.col("lat_idx") < F.col("_lat1"))
+    )
+
+    def counted(cells: DataFrame, offsets: list[tuple[int, int]], name: str) -> DataFrame:
+        """How many of the cells each position has at the other end of these offsets."""
+        near = F.array(*[
+            F.struct((F.col("lon_idx") + dx).alias("x"), (F.col("lat_idx") + dy).alias("y")) for dx, dy in offsets
+        ])
+        met = cells.select(*keys, F.explode(near).alias("_p")).select(
+            *keys, F.col("_p.x").alias("lon_idx"), F.col("_p.y").alias("lat_idx"))
+        return met.groupBy(*pos).agg(F.count("*").alias(name))
+
+    hit = F.col("_n") >= n_missing
+    cells = (
+        status.join(extent, list(keys)).filter(interior)
+        .join(counted(status.filter("_missing"), AROUND, "_k"), pos, "left")
+        .select(*pos, "_missing", F.coalesce("_k", F.lit(0)).alias("_n"))
+    )
+    offsets = SCANNED_LATER if order == "scan" else AROUND
+    rounds = passes if order == "snapshot" else None
+    masked, done = None, 0
+    while True:
+        done += 1
+        if rounds != done:  # a further round reads the table twice more
+            cells = settle(cells)
+        found = cells.filter(hit).select(*pos)
+        masked = found if masked is None else masked.unionByName(found)
+        fresh = cells.filter(hit & ~F.col("_missing"))
+        if rounds == done or (rounds is None and fresh.isEmpty()):
+            break
+        cells = (
+            cells.filter(~hit).join(counted(fresh, offsets, "_k"), pos, "left")
+            .select(*pos, "_missing", (F.col("_n") + F.coalesce("_k", F.lit(0))).alias("_n"))
         )
-        masked = hit if masked is None else masked.union(hit).distinct()
-        missing = missing.union(hit).distinct()
     masked = broadcast_within(masked.withColumn("_masked", F.lit(True)), n_cells, CELL_ROW_BYTES)
     flagged = panel.join(masked, pos, "left")
     return flagged.withColumn(

@@ -276,6 +276,56 @@ def mask_isolated_two_job(spark, sf_dir):
     return p.present(clean.mask_isolated(p.event_grid(spark, sf_dir), passes=2, n_cells=72).select(*PANEL))
 
 
+# Customers on a grid with 30 latitudes: what each bought in a half-year, missing if nothing. The
+# state of the SQL is one list over all cells: 0 there, 1 missing, 2 blanked.
+BUYERS = """size AS (SELECT count(*) // 30 AS nlon FROM customer),
+    bought AS (
+      SELECT o_custkey AS cell, (year(o_orderdate) - 1995) * 2 + (month(o_orderdate) - 1) // 6 AS t,
+             CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM orders GROUP BY 1, 2),
+    bg AS (
+      SELECT t, cell, value FROM (SELECT unnest(range(nlon * 30)) AS cell FROM size)
+      CROSS JOIN (SELECT unnest(range(4)) AS t) LEFT JOIN bought USING (cell, t)),
+    m0 AS (SELECT list(CASE WHEN value IS NULL THEN 1 ELSE 0 END ORDER BY cell) AS m FROM bg WHERE t = 0)"""
+_NEAR = " + ".join(f"(m[c + {dx * 30 + dy + 1}] > 0)::INT" for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+_INSIDE = "c >= 30 AND c < len(m) - 30 AND c % 30 BETWEEN 1 AND 28"
+MASK_SCAN = f"""WITH RECURSIVE {BUYERS}, st AS (
+      SELECT CAST(0 AS BIGINT) AS c, m FROM m0
+      UNION ALL
+      SELECT c + 1, CASE WHEN {_INSIDE} AND {_NEAR} >= 7 THEN list_concat(m[:c], [2], m[c + 2:]) ELSE m END FROM st WHERE c < len(m)),
+    fin AS (SELECT m FROM st WHERE c = len(m))"""
+MASK_STABLE = f"""WITH RECURSIVE {BUYERS}, st AS (
+      SELECT CAST(0 AS BIGINT) AS k, m, CAST([] AS INT[]) AS before FROM m0
+      UNION ALL
+      SELECT k + 1, list_transform(range(len(m)), lambda c: CASE WHEN {_INSIDE} AND {_NEAR} >= 7 THEN 2 ELSE m[c + 1] END), m
+      FROM st WHERE m <> before),
+    fin AS (SELECT m FROM st ORDER BY k DESC LIMIT 1)"""
+MASKED = f""" SELECT CAST(t AS BIGINT) AS t, CAST(cell AS BIGINT) AS cell, CASE WHEN m[cell + 1] <> 2 THEN {r('value')} END AS value
+    FROM bg, fin"""
+
+
+def _buyers(spark, sf_dir):
+    n_lon = p.table(spark, sf_dir, "customer").count() // 30
+    half = (F.year("o_orderdate") - 1995) * 2 + F.floor((F.month("o_orderdate") - 1) / 6)
+    bought = p.table(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").alias("cell"), half.cast("long").alias("t")
+    ).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("t")
+    grid = spark.range(n_lon * 30).select(F.col("id").alias("cell"), steps).join(bought, ["cell", "t"], "left")
+    return unflatten_cells(grid.withColumns({"series": F.lit("buyers"), "layer": F.lit(0)}), 30)
+
+
+@query("mask_isolated_scan", MASK_SCAN + MASKED)
+def mask_isolated_scan_job(spark, sf_dir):
+    """One scan over the grid; a cell blanked early counts for those after it."""
+    return p.present(clean.mask_isolated(_buyers(spark, sf_dir), order="scan").select(*PANEL))
+
+
+@query("mask_isolated_stable", MASK_STABLE + MASKED)
+def mask_isolated_stable_job(spark, sf_dir):
+    """Snapshots until no further cell changes."""
+    return p.present(clean.mask_isolated(_buyers(spark, sf_dir), passes=None).select(*PANEL))
+
+
 STD_EVENTS = sql.EVENTS_FULL + """,
 sev AS (
   SELECT t, cell, (value - avg(value) OVER c) / nullif(stddev_samp(value) OVER c, 0) AS value
