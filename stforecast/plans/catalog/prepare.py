@@ -10,6 +10,7 @@ from stforecast.operators.regrid import regrid_1d, regrid_2d
 from stforecast.plans.catalog import panels as p
 from stforecast.plans.catalog import sql
 from stforecast.plans.catalog.registry import query
+from stforecast.plans.cleaning import Cleaning, cleaned_copies, finished
 from stforecast.sources import (
     dense_time_index,
     flatten_cells,
@@ -326,6 +327,48 @@ def mask_isolated_stable_job(spark, sf_dir):
     return p.present(clean.mask_isolated(_buyers(spark, sf_dir), passes=None).select(*PANEL))
 
 
+# The embeddings as an 8 x 8 grid with gaps: thirteen cells that miss a third of all steps, and
+# one value in thirteen elsewhere. Two present cells between the sparse ones are blanked, the
+# second only because the first one is.
+HOLES = """((cell // 8 BETWEEN 2 AND 5 AND cell % 8 BETWEEN 2 AND 5 AND cell NOT IN (27, 36, 37) AND t % 3 = 0)
+    OR (t * 7 + cell * 3) % 13 = 5)"""
+_GRID_NEAR = " + ".join(f"(m[c + {dx * 8 + dy + 1}] > 0)::INT" for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+CHAIN = f"""WITH RECURSIVE {sql.EMB},
+    gap AS (SELECT t, cell, CASE WHEN NOT {HOLES} THEN value END AS value FROM emb),
+    kept AS (
+      SELECT t, cell, CASE WHEN count(*) OVER c - count(value) OVER c <= 0.15 * count(*) OVER c THEN value END AS value
+      FROM gap WINDOW c AS (PARTITION BY cell)), {VALID},
+    knots AS (SELECT cell, i, CAST(i AS DOUBLE) AS x, value AS y FROM val),
+    targets AS (
+      SELECT kept.cell, kept.t, CAST(kept.t - t0 AS DOUBLE) * (CAST(k - 1 AS DOUBLE) / (t1 - t0)) AS x FROM kept
+      JOIN (SELECT DISTINCT cell, k FROM val) n ON n.cell = kept.cell JOIN rng ON rng.cell = kept.cell),
+    {sql.natural_spline('knots', 'targets')},
+    fil AS (SELECT kept.t, kept.cell, spl.value FROM kept LEFT JOIN spl ON spl.cell = kept.cell AND spl.t = kept.t),
+    st AS (
+      SELECT CAST(0 AS BIGINT) AS c, (SELECT list(CASE WHEN value IS NULL THEN 1 ELSE 0 END ORDER BY cell) FROM fil WHERE t = 0) AS m
+      UNION ALL
+      SELECT c + 1, CASE WHEN c // 8 BETWEEN 1 AND 6 AND c % 8 BETWEEN 1 AND 6 AND {_GRID_NEAR} >= 7
+                    THEN list_concat(m[:c], [2], m[c + 2:]) ELSE m END FROM st WHERE c < 64),
+    msk AS (SELECT t, cell, CASE WHEN m[cell + 1] <> 2 THEN value END AS value FROM fil, (SELECT m FROM st WHERE c = 64)),
+    sd AS (SELECT t, cell, coalesce((value - avg(value) OVER c) / stddev_samp(value) OVER c, 0) AS value
+           FROM msk WINDOW c AS (PARTITION BY cell))
+    SELECT CAST(t AS BIGINT) AS t, CAST(cell AS BIGINT) AS cell, {r('value')} AS value FROM sd"""
+
+
+@query("cleaned_copies", CHAIN)
+def cleaned_copies_job(spark, sf_dir):
+    """The whole chain: the first call cleans and keeps a copy, the second one reads it."""
+    folder = p.work_folder(spark)
+    gaps = p.emb_panel(spark, sf_dir).withColumn(
+        "value", F.expr(f"CASE WHEN NOT {HOLES.replace('//', 'DIV')} THEN value END"))
+    gaps.write.parquet(f"{folder}/raw")
+    for _ in range(2):
+        copies = cleaned_copies(spark, {0: f"{folder}/raw"}, {0: 8}, f"{folder}/clean", Cleaning())
+    if copies.cleaned:
+        raise ValueError("the second call has cleaned again")
+    return p.present(finished(copies.panel).select(*PANEL))
+
+
 STD_EVENTS = sql.EVENTS_FULL + """,
 sev AS (
   SELECT t, cell, (value - avg(value) OVER c) / nullif(stddev_samp(value) OVER c, 0) AS value

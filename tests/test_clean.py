@@ -6,6 +6,7 @@ from stforecast.functions.numeric import natural_spline
 from stforecast.operators import clean
 from stforecast.operators.features import delay_embed, next_step_target
 from stforecast.operators.regrid import regrid_1d, regrid_1d_frames, regrid_2d
+from stforecast.plans.cleaning import Cleaning, cleaned_copies, finished
 from stforecast.sources import complete_panel, to_frames
 
 
@@ -158,3 +159,74 @@ def test_complete_panel(spark):
     )
     full = complete_panel(panel)
     assert full.count() == 8 and full.filter("value is not null").count() == 2
+
+
+def missing_after(missing, passes, scan):
+    """Cells blanked on one grid, by loops."""
+    state, hit = missing.copy(), np.zeros_like(missing)
+    lon, lat = missing.shape
+    while passes is None or passes > 0:
+        before, seen = state.copy(), state.copy()
+        for i in range(1, lon - 1):
+            for j in range(1, lat - 1):
+                source = state if scan else seen
+                if source[i - 1:i + 2, j - 1:j + 2].sum() >= 7:
+                    state[i, j] = hit[i, j] = True
+        if passes is not None:
+            passes -= 1
+        elif (state == before).all():
+            break
+    return hit
+
+
+@pytest.mark.parametrize("passes, order", [(1, "snapshot"), (3, "snapshot"), (None, "snapshot"), (1, "scan")])
+def test_mask_equals_loops(spark, passes, order):
+    rng = np.random.default_rng(8)
+    grids = {f"g{k}": rng.random((14, 11)) < 0.5 + 0.05 * k for k in range(4)}
+    rows = [(s, 0, t, int(i), int(j), None if m[i, j] and t == 0 else 1.0)
+            for s, m in grids.items() for t in (0, 1) for i in range(14) for j in range(11)]
+    panel = spark.createDataFrame(rows, "series string, layer int, t long, lon_idx int, lat_idx int, value double")
+    got = clean.mask_isolated(panel, passes=passes, order=order).filter("t = 1 AND value IS NULL")
+    blanked = {(r.series, r.lon_idx, r.lat_idx) for r in got.collect()}
+    want = {(s, i, j) for s, m in grids.items() for i, j in np.argwhere(missing_after(m, passes, order == "scan"))}
+    assert blanked == want and want
+
+
+def test_mask_refuses_two_scans_and_takes_an_empty_panel(spark):
+    empty = spark.createDataFrame([], "series string, layer int, t long, lon_idx int, lat_idx int, value double")
+    assert clean.mask_isolated(empty, passes=None).count() == 0
+    with pytest.raises(ValueError, match="1 for a scan"):
+        clean.mask_isolated(empty, passes=2, order="scan")
+
+
+def test_copies_follow_files_and_parameters(spark, tmp_path, panel_of):
+    """Only a layer whose files or parameters changed is cleaned again; a copy without manifest does not count."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(16, 40))
+    values[5, :30] = np.nan
+    values[3, 7] = np.nan
+    paths = {l: str(tmp_path / f"raw{l}") for l in (0, 1)}
+    for l, path in paths.items():
+        panel_of(values + l, layer=l).write.parquet(path)
+    out, lat = str(tmp_path / "clean"), {0: 4, 1: 4}
+    first = cleaned_copies(spark, paths, lat, out)
+    assert first.cleaned == [0, 1] and first.panel.count() == 2 * 16 * 40
+    assert first.panel.filter("cell = 5 AND value IS NOT NULL").count() == 0
+    assert first.panel.filter("cell = 3 AND value IS NULL").count() == 0
+    group = "cleaning-again"
+    spark.sparkContext.setJobGroup(group, group)
+    again = cleaned_copies(spark, paths, lat, out)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert again.cleaned == [] and len(jobs) <= 10  # fingerprints, manifests and footers only
+    assert sorted(again.panel.collect()) == sorted(first.panel.collect())
+    assert cleaned_copies(spark, paths, lat, out, Cleaning(max_missing=0.9)).cleaned == [0, 1]
+    panel_of(values[:, :20], series="more", layer=1).write.mode("append").parquet(paths[1])
+    assert cleaned_copies(spark, paths, lat, out).cleaned == [1]
+    lost = next((tmp_path / "clean" / "layer-0").iterdir()) / "manifest"
+    for part in lost.glob("*.parquet"):
+        part.unlink()
+    assert len(cleaned_copies(spark, {0: paths[0]}, lat, out).cleaned) + len(
+        cleaned_copies(spark, {0: paths[0]}, lat, out, Cleaning(max_missing=0.9)).cleaned) == 1
+    ready = finished(again.panel, refinement=2)
+    assert ready.filter("value IS NULL").count() == 0 and ready.count() == 2 * 16 * 79
