@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stforecast.llm.shared import columns_of, query, table
+from stforecast.session import broadcast_within
 
 UNDECIDED = "und"
 DICTIONARY_BYTES = 112 << 10  # of training text per language
-LANGUAGES = 200  # most frequent languages that are learned
+TOTAL_BYTES = 256 << 20  # of all dictionaries, which every worker holds; more is an error
+RANGE_BYTES = 256  # of a row that names a language and its part of the hash range
 SAMPLE_ROWS = 600  # training documents fetched per language, on average
 LEVEL, BLOCK = 6, 2048
 MARGIN, SURE_BYTES = 0.01, 256
@@ -33,10 +35,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
-    """Raw dictionaries of the most frequent languages, the most frequent first.
+def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, languages: int | None = None) -> list[tuple[str, bytes]]:
+    """Raw dictionaries of all languages, the most frequent first.
 
-    ``docs`` needs doc_id, text and lang; rows with a null lang, text or id are not used. The
+    Every language is learned, unless ``languages`` asks for the most frequent ones only; more
+    than TOTAL_BYTES of dictionaries are an error, with a smaller ``size`` as the way on. An empty
+    table gives no dictionary. ``docs`` needs doc_id, text and lang; rows with a null lang, text or id are not used. The
     training sample is bounded: about SAMPLE_ROWS documents per language, drawn by a hash of the
     id, whole texts in hash order until ``size`` bytes are full (documents over a sixteenth of
     that only if the others do not fill it). What reaches the driver is that sample.
@@ -46,16 +50,20 @@ def learn(docs: DataFrame, size: int = DICTIONARY_BYTES, languages: int = LANGUA
         (F.octet_length("text") > size // 16).alias("long"),
     )
     counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short"))
-    found = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
-    drawn = F.lit(False)
+    ranked = counts.orderBy(F.desc("n"), "lang")
+    found = ranked.limit(TOTAL_BYTES // size + 1 if languages is None else languages).collect()
+    if len(found) * size > TOTAL_BYTES:
+        raise ValueError(f"more than {TOTAL_BYTES // size} languages of {size} bytes each; give a smaller size")
+    drawn = []
     for row in found:  # the part of the hash range that holds so many rows of the language
         pool, short = (row.short, True) if row.short >= SAMPLE_ROWS else (row.n, False)
-        below = min(2**63 - 1, (2**64 - 1) * SAMPLE_ROWS // pool - 2**63)
-        mine = (F.col("lang") == row.lang) & (F.col("h") <= below)
-        drawn = drawn | (mine & ~F.col("long") if short else mine)
+        drawn.append((row.lang, min(2**63 - 1, (2**64 - 1) * SAMPLE_ROWS // pool - 2**63), short))
+    ranges = docs.sparkSession.createDataFrame(drawn, "lang string, below long, only_short boolean")
+    mine = known.join(broadcast_within(ranges, len(drawn), RANGE_BYTES), "lang").where(
+        (F.col("h") <= F.col("below")) & ~(F.col("only_short") & F.col("long")))
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     took = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = known.where(drawn).withColumns({"took": F.coalesce(took, F.lit(0)), "rank": F.row_number().over(order)})
+    rows = mine.withColumns({"took": F.coalesce(took, F.lit(0)), "rank": F.row_number().over(order)})
     texts: dict[str, list[bytes]] = {row.lang: [] for row in found}
     # letters alone may be half of the bytes; a text longer than the dictionary is cut to it
     sample = rows.where(f"took < {2 * size}").orderBy("lang", "rank")

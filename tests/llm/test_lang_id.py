@@ -1,10 +1,11 @@
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from stforecast.llm import QUERIES
-from stforecast.llm.lang_id import Classifier, identify, keep_identified, learn, letters, train
+from stforecast.llm.lang_id import BLOCK, LEVEL, TOTAL_BYTES, Classifier, identify, keep_identified, learn, letters, train
 from stforecast.llm.shared import table
 
 EN = "the quick brown fox jumps over the lazy dog and then it runs away from the other dogs of the town "
@@ -64,6 +65,42 @@ def test_dictionaries_are_bounded(docs_of):
     assert list(dict(learn(docs_of(rows), size=4000, languages=1))) == ["en"]
 
 
+def test_every_language_is_learned(docs_of):
+    """The language with the fewest documents of 260 is known too; too many bytes are an error."""
+    letters_of = [chr(0x4E00 + 7 * i) for i in range(260)]
+    rows = [(1000 * i + k, f"{c * 3} {c} {c * 2} {c * 5} " * 20, f"l{i:03}", "s", None)
+            for i, c in enumerate(letters_of) for k in range(1 + (i < 259))]
+    books = learn(docs_of(rows), size=2000)
+    assert len(books) == 260 and books[-1][0] == "l259"
+    assert Classifier(books).decide(letters_of[259] * 40)[0] == "l259"
+    with pytest.raises(ValueError, match="give a smaller size"):
+        learn(docs_of(rows), size=TOTAL_BYTES // 200)
+
+
+def test_equals_plain_compression(spark):
+    """Every document of the small table against block-wise compression without the classifier."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    books = train(docs)
+    words = {lang: zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for lang, b in books}
+
+    def size(lang, plain):
+        total = 0
+        for at in range(0, len(plain), BLOCK):
+            one = zstandard.ZstdCompressor(
+                level=LEVEL, dict_data=words[lang], write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += len(one.compress(plain[at:at + BLOCK]))
+        return total
+
+    texts = {r.doc_id: letters(r.text or "") for r in docs.collect()}
+    got = {r.doc_id: r for r in identify(docs, books).collect()}
+    assert len(got) == len(texts)
+    short = {d: t for d, t in texts.items() if len(t) < 20_000}  # the loops build a compressor a block
+    assert len(short) > 150
+    for doc, plain in short.items():
+        sizes = [(size(lang, plain), k, lang) for k, (lang, _) in enumerate(books)] if plain else []
+        assert got[doc].lang_pred == (min(sizes)[2] if sizes else "und")
+
+
 def test_empty_table(odd):
     none = odd.where("false")
     assert train(none) == [] and identify(none, []).count() == 0
