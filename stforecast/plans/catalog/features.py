@@ -292,6 +292,36 @@ def deep_weights_job(spark, sf_dir):
     ))
 
 
+# The radius in SQL: largest entries of the matrix squared 45 times over give the growth of its
+# powers, and its root of order 2^45 is the radius to about 13 digits.
+SCALED = f"""WITH RECURSIVE lv AS (SELECT s_suppkey AS run, unnest(range(3)) AS level FROM supplier),
+    ij AS (SELECT i, j FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(12)) AS j)),
+    raw AS (
+      SELECT run, level, i, j, CASE WHEN {sql.seeded_uniform('run', 'level', 12, 'i', 'j')} < 0.4
+        THEN {sql.seeded_normal('run', 'level', 13, 'i', 'j')} ELSE 0 END AS w FROM lv, ij),
+    rows AS (SELECT run, level, i, list(w ORDER BY j) AS row, max(abs(w)) AS top FROM raw GROUP BY run, level, i),
+    first AS (SELECT run, level, max(top) AS s, list(row ORDER BY i) AS m FROM rows GROUP BY run, level),
+    pw AS (
+      SELECT run, level, CAST(0 AS BIGINT) AS k, ln(s) AS growth,
+             list_transform(m, lambda row: list_transform(row, lambda x: x / s)) AS m FROM first
+      UNION ALL
+      SELECT run, level, k + 1, growth + ln(s) / power(2, k + 1), list_transform(p, lambda row: list_transform(row, lambda x: x / s))
+      FROM (SELECT *, list_max(list_transform(p, lambda row: list_max(list_transform(row, lambda x: abs(x))))) AS s FROM (
+        SELECT run, level, k, growth, list_transform(m, lambda row: list_transform(range(1, 13), lambda j:
+          list_sum(list_transform(range(1, 13), lambda q: row[q] * m[q][j])))) AS p FROM pw WHERE k < 45))),
+    radius AS (SELECT run, level, exp(growth) AS radius FROM pw WHERE k = 45)
+    SELECT CAST(run AS BIGINT) AS run, CAST(level AS BIGINT) AS level, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j,
+           {r('w * (0.9 - 0.1 * level) / radius')} AS w
+    FROM raw JOIN radius USING (run, level) WHERE w <> 0"""
+
+
+@query("deep_weights_scaled", SCALED)
+def deep_weights_scaled_job(spark, sf_dir):
+    """Recurrent entries of every level at the radius that the level asks for."""
+    weights = wt.deep_weights(deep_spec(spark, sf_dir)).filter("tag = 'W'")
+    return p.present(weights.select("run", F.col("layer").alias("level"), "i", "j", "w"))
+
+
 @query(
     "layer_params",
     f"""SELECT CAST(l_suppkey AS BIGINT) AS config_id, CAST(1 AS BIGINT) AS layer,
