@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before = (0, None)  # without links nothing is left to do
     while (now := _mark(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,3 +34,20 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def extended(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of ``joined`` after further ``links`` (a, b).
+
+    Only links between two of the components so far are followed, from component to component,
+    so the rounds work on what the new links change and not on all links again.
+    """
+    def known(end: str) -> DataFrame:
+        return joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+
+    between = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = written(components(between))
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = joined.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.unionByName(merged.join(joined, "node", "left_anti").select("node", "component"))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stforecast.llm.components import components
+from stforecast.llm.components import components, extended
 from stforecast.llm.shared import columns_of, give_back, query, table, written
 
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
@@ -309,12 +309,10 @@ def _classes(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
         return written(taken.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     tried = best(offered)
-    links = written(confirmed(tried, sets, percent))
-    joined = written(components(links))
+    joined = written(components(confirmed(tried, sets, percent)))
     for turn in range(1, ROUNDS + 1):
         again = best(offered_again(mixed(lists.where(F.col("turn") <= OFFERS), joined), turn))
-        links = written(links.unionByName(confirmed(again, sets, percent)))
-        tried, joined = tried.unionByName(again), written(components(links))
+        tried, joined = tried.unionByName(again), written(extended(joined, written(confirmed(again, sets, percent))))
 
     apart = mixed(lists, joined).select(F.col("rep").alias("id")).distinct()
     full = written(shingle_rows(sets.join(written(apart), "id", "left_semi")))
@@ -330,8 +328,7 @@ def _classes(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
         & (F.col("n") <= F.col("bmost")) & (F.col("bn") <= F.col("most")))
     rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     rest = written(sketch_filter(rest.join(tried.distinct(), ["a", "b"], "left_anti"), nodes, k, percent))
-    links = links.unionByName(confirmed(rest, sets, percent))
-    final = written(components(links))
+    final = written(extended(joined, written(confirmed(rest, sets, percent))))
 
     grouped = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "print", F.struct("id", "print").alias("own"), F.coalesce("component", "rep").alias("component"))

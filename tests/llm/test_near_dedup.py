@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stforecast.llm.components import components
+from stforecast.llm.components import components, extended
 from stforecast.llm.near_dedup import drop_near, least_overlap, near_components, shingle_sets
 
 
@@ -114,3 +114,14 @@ def test_repeated_and_null_ids_keep_the_links_of_their_texts(docs_of):
     assert stay == sorted([a, b, "of its own", "of its own", "c " * 3])
     stay = sorted(r.text for r in drop_near(docs_of([(None, a), (None, a + " more"), (None, b), (None, None)])).collect() if r.text)
     assert len(stay) == 2 and b in stay and stay[0][:5] == "a0 a1"
+
+
+def test_components_go_on_from_components(spark):
+    draw = random.Random(5)
+    pairs = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    first, later = (spark.createDataFrame(part, "a long, b long") for part in (pairs[:15], pairs[15:]))
+    got = {(r.node, r.component) for r in extended(components(first), later).collect()}
+    assert got == {(r.node, r.component) for r in components(links).collect()}
+    none = links.where(F.lit(False))
+    assert extended(components(links), none).count() == len(got)
