@@ -192,11 +192,15 @@ def fit_block_readouts(
     segment: int | None = None,
     overlap: int = 0,
     after: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
-    """Readouts of every (run, layer, block), all ridge values from one state pass."""
+    """Readouts of every (run, layer, block), all ridge values from one state pass.
+
+    ``starts`` (``segments.starts_of``) makes the segments exact without an overlap.
+    """
     n_segments = 1 if segment is None else -(-(stop - start) // segment)
     partial = state_gram(
-        inputs, nets, block_map, start, stop, washout, mode, segment, overlap, after
+        inputs, nets, block_map, start, stop, washout, mode, segment, overlap, after, starts
     )
     # a single segment already is the whole sum
     total = partial.drop("part") if n_segments == 1 else sum_gram(partial, BLOCK, n_segments)

@@ -43,17 +43,18 @@ def net_from_row(row) -> LeakyNet:
     return LeakyNet(*[row[c] for c in NET])
 
 
-def segment_rows(rows: DataFrame, start: int, stop: int, segment: int | None, overlap: int) -> DataFrame:
+def segment_rows(rows: DataFrame, start: int, stop: int, segment: int | None, overlap: int, known: bool = False) -> DataFrame:
     """Window the rows and give each to its segment, and to the next one's warm-up.
 
     Without ``segment`` the history is one exact segment. With it the pass runs as
     several parallel segments, each preceded by ``overlap`` steps that only let the
-    state forget its start; ``keep`` is false on those.
+    state forget its start; ``keep`` is false on those. Segments whose start is ``known``
+    (see ``operators/segments``) need no such steps.
     """
     window = rows.filter((F.col("t") >= start) & (F.col("t") < stop))
     if segment is None or segment >= stop - start:
         return window.withColumn("segment", F.lit(0)).withColumn("keep", F.lit(True))
-    if not 0 < overlap <= segment:
+    if not (overlap == 0 if known else 0 < overlap <= segment):
         raise ValueError("the overlap must lie between 1 and the segment length")
     own = F.floor((F.col("t") - start) / segment).cast("int")
     last = (stop - start - 1) // segment
@@ -75,9 +76,13 @@ def _placed(
     segment: int | None,
     overlap: int,
     readouts: DataFrame | None = None,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
-    """Inputs behind their net, placed and sorted for the grouped pass."""
-    data = segment_rows(inputs, start, stop, segment, overlap).select(
+    """Inputs behind their net, placed and sorted for the grouped pass.
+
+    ``starts`` (GROUP, x0, x0_t) holds the state of each segment before its step x0_t.
+    """
+    data = segment_rows(inputs, start, stop, segment, overlap, starts is not None).select(
         *GROUP, "t", F.concat("u_rec", "u_neigh", "u_layer").alias("u"),
         (F.col("y") if "y" in inputs.columns else F.col("u_rec")).alias("y"), "keep",
     )
@@ -90,11 +95,20 @@ def _placed(
     if readouts is not None:
         heads = heads.join(readouts.select("run", "layer", "block", "coef"), ["run", "layer", "block"])
         extra = ["coef"]
+    if starts is not None:
+        heads = heads.join(starts.select(*GROUP, "x0", "x0_t"), GROUP)
+        extra += ["x0", "x0_t"]
     heads = heads.select(*GROUP, F.lit(None).cast("long").alias("t"), *NET, *extra)
     rows = data.unionByName(heads, allowMissingColumns=True)
     return spread(rows, *GROUP).sortWithinPartitions(*GROUP, F.col("t").asc_nulls_first())
 
 
+def _start(net: LeakyNet, head) -> list[np.ndarray]:
+    if head.get("x0") is None:
+        return net.start()
+    return np.split(np.asarray(head["x0"], float), np.cumsum(net.sizes)[:-1])
+
+
 def _run_net(batches: Iterator[pd.DataFrame], after: bool):
     """Stream (head, batch, recorded states) over one sorted group."""
     head = net = state = last = None
@@ -104,7 +118,9 @@ def _run_net(batches: Iterator[pd.DataFrame], after: bool):
             if not pd.isna(head["t"]):
                 raise ValueError("inputs without a net: check run, layer and block keys")
             net, pdf = net_from_row(head), pdf.iloc[1:]
-            state = net.start()
+            state = _start(net, head)
+            if not pd.isna(head.get("x0_t")):
+                last = int(head["x0_t"]) - 1
         if pdf.empty:
             continue
         t = pdf["t"].to_numpy(np.int64)
@@ -140,10 +156,12 @@ def leaky_tanh_states(
     segment: int | None = None,
     overlap: int = 0,
     after: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """States ``(run, layer, block, t, x)``, x <- (1-a)x + a tanh(Wx + W_in u), x = 0 first.
 
     The state at t is the one before it consumes the input of t (``after=True``: after).
+    ``starts`` gives each segment its state to begin with, instead of an overlap.
     """
 
     def emit(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,12 +172,36 @@ def leaky_tanh_states(
             out["x"] = list(x[keep])
             yield out
 
-    rows = _placed(inputs, nets, block_map, start, stop, segment, overlap)
+    rows = _placed(inputs, nets, block_map, start, stop, segment, overlap, starts=starts)
     return rows.groupBy(*GROUP).applyInPandas(
         emit, f"{KEY_SCHEMA}, t long, x array<double>"
     ).drop("segment")
 
 
+def end_states(inputs: DataFrame, nets: DataFrame, block_map: DataFrame, start: int, stop: int, segment: int,
+               starts: DataFrame) -> DataFrame:
+    """The state each segment of ``starts`` leaves: its keys, x0, x1, and its steps t_first and t_last.
+
+    Only the inputs of these segments are shuffled; no state in between is kept.
+    """
+
+    def emit(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = None
+        for head, pdf, x in _run_net(batches, True):
+            first = pdf["t"].iloc[0] if first is None else first
+            last, end = pdf["t"].iloc[-1], x[-1]
+        if first is not None:
+            x0 = np.zeros(len(end)) if head["x0"] is None else head["x0"]
+            yield pd.DataFrame(_key_frame(key, 1)).assign(t_first=int(first), t_last=int(last), x0=[x0], x1=[end])
+
+    wanted = broadcast_within(starts.select(*GROUP), starts.count(), 20)
+    data = segment_rows(inputs, start, stop, segment, 0, True).join(wanted, GROUP, "left_semi").drop("segment", "keep")
+    rows = _placed(data, nets, block_map, start, stop, segment, 0, starts=starts)
+    return rows.groupBy(*GROUP).applyInPandas(
+        emit, f"{KEY_SCHEMA}, t_first long, t_last long, x0 array<double>, x1 array<double>"
+    )
+
+
 def deep_states(inputs: DataFrame, nets: DataFrame, block_map: DataFrame, start: int, stop: int,
                 segment: int | None = None, overlap: int = 0) -> DataFrame:
     """States of a deep net, recorded after each step; levels side by side in ``x``."""
@@ -177,6 +219,7 @@ def state_gram(
     segment: int | None = None,
     overlap: int = 0,
     after: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Partial Gram rows of the readout features, with the states never stored.
 
@@ -199,7 +242,7 @@ def state_gram(
             out = pd.DataFrame(_key_frame(key, len(total)))
             yield out.assign(i=np.arange(len(total)), row=list(total))
 
-    rows = _placed(inputs, nets, block_map, start, stop, segment, overlap)
+    rows = _placed(inputs, nets, block_map, start, stop, segment, overlap, starts=starts)
     return rows.groupBy(*GROUP).applyInPandas(
         emit, f"{KEY_SCHEMA}, i int, row array<double>"
     ).withColumnRenamed("segment", "part")
@@ -216,6 +259,7 @@ def score_one_step(
     segment: int | None = None,
     overlap: int = 0,
     after: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """One-step predictions under true inputs: ``(run, layer, block, t, yhat)``.
 
@@ -233,7 +277,7 @@ def score_one_step(
             out["yhat"] = list(z @ coef.T)
             yield out
 
-    rows = _placed(inputs, nets, block_map, start, stop, segment, overlap, readouts)
+    rows = _placed(inputs, nets, block_map, start, stop, segment, overlap, readouts, starts)
     return rows.groupBy(*GROUP).applyInPandas(
         emit, f"{KEY_SCHEMA}, t long, yhat array<double>"
     ).drop("segment")

@@ -9,6 +9,7 @@ from stforecast.operators import blocks as bl
 from stforecast.operators import features as ft
 from stforecast.operators import readout as ro
 from stforecast.operators import rollout as rl
+from stforecast.operators import segments as sg
 from stforecast.operators import states as st
 from stforecast.operators import weights as wt
 from stforecast.operators.evaluate import thin_units
@@ -28,6 +29,9 @@ LAST, WASHOUT, WARMUP, STEPS = sm.LAST, 30, 25, 15
 ONE = sm.Reservoir("a", "z8", 8, 4, 1, 8, seed=1)
 BASE = f"WITH RECURSIVE {sql.Z8}, {sm.SPAN}, {ONE.net()}, {ONE.inputs()}, {ONE.states()}"
 FIT = f"{BASE}, {ONE.fit()}"
+# The same with units that move by a fiftieth a step and so forget slowly.
+SLOW = sm.Reservoir("a", "z8", 8, 4, 1, 8, seed=1, leak=0.02)
+SLOW_BASE = f"WITH RECURSIVE {sql.Z8}, {sm.SPAN}, {SLOW.net()}, {SLOW.inputs()}, {SLOW.states()}"
 
 
 def spec_of(spark, model: sm.Reservoir):
@@ -57,12 +61,12 @@ def run_frames(frames):
     return frames.select(F.lit(0).cast("long").alias("run"), "layer", "t", "values")
 
 
-def one_setup(spark, sf_dir):
+def one_setup(spark, sf_dir, model=ONE):
     """Block map, nets, inputs and number of frames of the single-layer model."""
     block_map = bl.blocks_1d(spark, 8, 4, 1)
     frames = run_frames(p.emb8_frames(spark, sf_dir))
     inputs = bl.gather_inputs(frames, block_map, keys=["run"], map_rows=16)
-    return block_map, nets_of(spark, ONE), inputs, frames, p.frame_count(spark, sf_dir)
+    return block_map, nets_of(spark, model), inputs, frames, p.frame_count(spark, sf_dir)
 
 
 def one_readouts(spark, sf_dir, earlier: int = 0):
@@ -85,6 +89,30 @@ def leaky_tanh_states_job(spark, sf_dir):
     return long_states(st.leaky_tanh_states(inputs, nets, block_map, 0, n))
 
 
+@query(
+    "certified_states",
+    f"""{SLOW_BASE} SELECT block, t, CAST(unit AS BIGINT) AS unit, {r('x')} AS x
+    FROM (SELECT CAST(block AS BIGINT) AS block, t, unnest(range(8)) AS unit, unnest(x) AS x FROM ast)""",
+)
+def certified_states_job(spark, sf_dir):
+    """Four segments at once, run again until each starts where the one before ends."""
+    block_map, nets, inputs, _, n = one_setup(spark, sf_dir, SLOW)
+    return long_states(sg.certified_states(inputs, nets, block_map, 0, n, -(-n // 4), 1e-12))
+
+
+@query(
+    "resumed_states",
+    f"""{SLOW_BASE} SELECT block, t, CAST(unit AS BIGINT) AS unit, {r('x')} AS x
+    FROM (SELECT CAST(block AS BIGINT) AS block, t, unnest(range(8)) AS unit, unnest(x) AS x FROM ast), pr
+    WHERE t >= stop""",
+)
+def resumed_states_job(spark, sf_dir):
+    """The last steps, continued from the latest state kept of the history before them."""
+    block_map, nets, inputs, _, n = one_setup(spark, sf_dir, SLOW)
+    kept = sg.segment_starts(inputs, nets, block_map, 0, n - LAST, -(-n // 4), 1e-12)
+    return long_states(sg.resumed_states(inputs, nets, block_map, kept, n - LAST, n))
+
+
 @query(
     "thin_units",
     f"""{BASE} SELECT t, CAST(unit AS BIGINT) AS unit, {r('x')} AS activity
