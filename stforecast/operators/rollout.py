@@ -20,6 +20,7 @@ from stforecast.operators.states import NET, check_mode, net_from_row
 from stforecast.session import spread
 
 FORECAST_SCHEMA = "run long, layer int, origin long, t long, cell int, yhat double"
+STATE_SCHEMA = "run long, layer int, origin long, block int, t long, x array<double>"
 SYSTEM = ["run", "layer", "origin"]
 # One forecast group is one whole coupled system; refuse what no task could hold.
 MAX_SYSTEM_BYTES = 2 * 1024**3
@@ -52,16 +53,16 @@ def _coarse_of(
     return before.select(*columns).unionByName(own.select(*columns))
 
 
-def system_bytes(n_cells: int, n_features: int, window: int) -> int:
-    """What one task holds of a coupled system: its readouts and its window of values."""
-    return 8 * n_cells * (n_features + 2 * window)
+def system_bytes(n_cells: int, n_features: int, window: int, n_states: int = 0) -> int:
+    """What one task holds of a coupled system: its readouts, its window of values, kept states."""
+    return 8 * (n_cells * (n_features + 2 * window) + n_states * window)
 
 
 def check_system_size(
-    n_cells: int, n_features: int, window: int, max_bytes: int = MAX_SYSTEM_BYTES
+    n_cells: int, n_features: int, window: int, max_bytes: int = MAX_SYSTEM_BYTES, n_states: int = 0
 ) -> None:
     """Refuse a coupled system whose readouts and window do not fit in one task."""
-    need = system_bytes(n_cells, n_features, window)
+    need = system_bytes(n_cells, n_features, window, n_states)
     if need > max_bytes:
         raise ValueError(f"one forecast group holds {need} bytes; raise max_bytes or use fewer cells")
 
@@ -80,6 +81,7 @@ def rollout_blocks(
     y_init: list[float] | None = None,
     max_bytes: int = MAX_SYSTEM_BYTES,
     coarse_ahead: DataFrame | None = None,
+    states: bool = False,
 ) -> DataFrame:
     """Warm up on true values, then feed the predictions back for ``steps`` steps.
 
@@ -91,6 +93,10 @@ def rollout_blocks(
     covers the warm-up as well; ``t`` is always the step the value is for. Readouts with a column
     ``origin`` serve that origin alone. A system of more
     than ``max_bytes`` (readouts and window) fails; its task must hold it whole.
+
+    ``states=True`` returns the states behind these values instead,
+    ``(run, layer, origin, block, t, x)``: those the output for t is read from, over the
+    warm-up and the free run.
     """
     check_mode(mode)
     if steps < 1:
@@ -133,7 +139,8 @@ def rollout_blocks(
             for name in ("rec_cells", "neigh_cells", "layer_cells")
         )
         cells = rec.size
-        check_system_size(cells, coef.shape[2], warmup + steps, max_bytes)
+        kept_units = len(blocks) * sum(net.sizes) if states else 0
+        check_system_size(cells, coef.shape[2], warmup + steps, max_bytes, kept_units)
 
         def values_of(kind: int) -> dict[int, np.ndarray]:
             part = pdf[pdf["kind"] == kind]
@@ -142,10 +149,12 @@ def rollout_blocks(
         true, coarse = values_of(2), values_of(3)
         state = net.start(len(blocks))
         seen = np.zeros(cells) if y_init is None else np.asarray(y_init, dtype=float)
-        times, outputs = [], []
+        times, outputs, passed = [], [], []
 
         def emit() -> np.ndarray:
             x = np.concatenate(state)
+            if states:
+                passed.append(x.T)
             z = squared_evens(x.T) if mode == "quadratic" else x.T
             out = np.zeros(cells)
             out[rec] = np.einsum("bdn,bn->bd", coef, z)
@@ -164,24 +173,31 @@ def rollout_blocks(
                 times.append(t + 1)
                 outputs.append(seen)
         n = len(times)
+        if states:
+            each = len(blocks)
+            return pd.DataFrame({
+                "run": np.full(n * each, run), "layer": np.full(n * each, layer),
+                "origin": np.full(n * each, origin), "block": np.tile(blocks["t"].to_numpy(np.int64), n),
+                "t": np.repeat(times, each), "x": list(np.concatenate(passed)),
+            })
         return pd.DataFrame({
             "run": np.full(n * cells, run), "layer": np.full(n * cells, layer),
             "origin": np.full(n * cells, origin), "t": np.repeat(times, cells),
             "cell": np.tile(np.arange(cells), n), "yhat": np.concatenate(outputs),
         })
 
-    return spread(rows, *SYSTEM).groupBy(*SYSTEM).applyInPandas(roll, FORECAST_SCHEMA)
+    return spread(rows, *SYSTEM).groupBy(*SYSTEM).applyInPandas(roll, STATE_SCHEMA if states else FORECAST_SCHEMA)
 
 
 def rollout_deep(
     frames: DataFrame, nets: DataFrame, readouts: DataFrame, block_map: DataFrame,
     origins: DataFrame, warmup: int, steps: int, y_init: list[float] | None = None,
-    max_bytes: int = MAX_SYSTEM_BYTES,
+    max_bytes: int = MAX_SYSTEM_BYTES, states: bool = False,
 ) -> DataFrame:
     """Closed loop of a deep net: the output after step t is the value for t + 1."""
     return rollout_blocks(
         frames, nets, readouts, block_map, origins, warmup, steps, "quadratic",
-        after=True, y_init=y_init, max_bytes=max_bytes,
+        after=True, y_init=y_init, max_bytes=max_bytes, states=states,
     )
 
 

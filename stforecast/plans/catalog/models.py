@@ -226,6 +226,21 @@ def backtest_job(spark, sf_dir):
     return p.present(out.select("origin", "t", "cell", "yhat"))
 
 
+@query(
+    "rollout_states",
+    f"""{BASE}, {ONE.fit(f"stop - {max(BACK)}")},
+    {ONE.rollout(f"SELECT stop - unnest([{', '.join(map(str, BACK))}]) AS origin FROM pr", WARMUP, STEPS)}
+    SELECT origin, t, CAST(block AS BIGINT) AS block, CAST(unit AS BIGINT) AS unit, {r('xs[block + 1][unit + 1]')} AS x
+    FROM aro, (SELECT unnest(range(4)) AS block), (SELECT unnest(range(8)) AS unit)""",
+)
+def rollout_states_job(spark, sf_dir):
+    """The states behind the backtest: warm-up and free run of four origins as one table."""
+    block_map, nets, _, frames, n, readouts = one_readouts(spark, sf_dir, max(BACK))
+    origins = rl.origin_table(spark.range(1).withColumnRenamed("id", "run"), [n - LAST - back for back in BACK])
+    out = rl.rollout_blocks(frames, nets, readouts, block_map, origins, WARMUP, STEPS, states=True)
+    return p.present(out.select("origin", "t", "block", F.posexplode("x").alias("unit", "x")))
+
+
 @query("forecast_single_layer", _rollout_sql("SELECT stop AS origin FROM pr"))
 def forecast_single_layer_job(spark, sf_dir):
     n = p.frame_count(spark, sf_dir)

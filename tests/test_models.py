@@ -169,6 +169,23 @@ def test_bad_modes(setup, nets):
         st.state_gram(inputs, nets, m, 0, 120, 10, mode="cubic")
 
 
+def test_rollout_states_lead_to_the_outputs(spark, setup, nets):
+    frames, m, inputs = setup
+    readouts = ro.fit_block_readouts(inputs, nets, m, 0, 120, 10, [1e-2], "linear").cache()
+    origins = rl.origin_table(spark.range(2).withColumnRenamed("id", "run"), [120, 130])
+    args = (frames, nets, readouts, m, origins, 15, 12, "linear")
+    states = rl.rollout_blocks(*args, states=True)
+    rows = states.collect()
+    assert len({(r.run, r.origin, r.block, r.t) for r in rows}) == len(rows) == 2 * 2 * B * 27
+    coef = {(r.run, r.block): np.reshape(r.coef, (2, N)) for r in readouts.collect()}
+    want = {(r.run, r.origin, r.t, r.cell): r.yhat for r in rl.rollout_blocks(*args).collect()}
+    for r in rows:
+        out = coef[r.run, r.block] @ np.array(r.x)
+        assert np.allclose(out, [want[r.run, r.origin, r.t, 2 * r.block + o] for o in range(2)], atol=1e-9)
+    with pytest.raises(Exception, match="bytes"):
+        rl.rollout_blocks(*args, max_bytes=rl.system_bytes(L, N, 27), states=True).count()
+
+
 @pytest.mark.parametrize("mode", ["linear", "quadratic"])
 def test_coupled_rollout(spark, setup, nets, weights, mode):
     frames, m, inputs = setup
