@@ -53,6 +53,13 @@ def _coarse_of(
     return before.select(*columns).unionByName(own.select(*columns))
 
 
+def _latest_kept(nets: DataFrame, origins: DataFrame, kept: DataFrame) -> DataFrame:
+    """The latest kept step (x0_t) at or before each (run, layer, origin)."""
+    times = kept.select("run", "layer", "x0_t").distinct()
+    near = nets.select("run", "layer").join(origins, "run").join(times, ["run", "layer"])
+    return near.where("x0_t <= origin").groupBy(*SYSTEM).agg(F.max("x0_t").alias("x0_t"))
+
+
 def system_bytes(n_cells: int, n_features: int, window: int, n_states: int = 0) -> int:
     """What one task holds of a coupled system: its readouts, its window of values, kept states."""
     return 8 * (n_cells * (n_features + 2 * window) + n_states * window)
@@ -82,6 +89,7 @@ def rollout_blocks(
     max_bytes: int = MAX_SYSTEM_BYTES,
     coarse_ahead: DataFrame | None = None,
     states: bool = False,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """Warm up on true values, then feed the predictions back for ``steps`` steps.
 
@@ -97,6 +105,11 @@ def rollout_blocks(
     ``states=True`` returns the states behind these values instead,
     ``(run, layer, origin, block, t, x)``: those the output for t is read from, over the
     warm-up and the free run.
+
+    With ``kept`` states (run, layer, block, x0_t, x0), as ``segments.segment_starts`` returns, each
+    origin warms up from the latest kept step at or before it, instead of ``warmup`` steps from
+    zero: its states are those of the whole history, at the cost of the steps since. An origin
+    without a kept state fails, and so does one whose blocks are not all kept at that step.
     """
     check_mode(mode)
     if steps < 1:
@@ -112,6 +125,16 @@ def rollout_blocks(
                 "rec_cells", "neigh_cells", "layer_cells")
     )
     window = _steps_of(origins, warmup, 0) if warmup > 0 else None
+    resumed = kept is not None
+    if resumed:
+        if coarse_frames is not None:
+            raise ValueError("kept states serve layers without coarse inputs")
+        begins = _latest_kept(nets, origins, kept)
+        held = kept.select("run", "layer", "block", "x0_t", "x0")
+        models = models.withColumn("block", F.col("t").cast("int")).join(begins, SYSTEM, "left").join(
+            held, ["run", "layer", "block", "x0_t"], "left").drop("block")
+        window = begins.where("x0_t < origin").select(
+            "run", "origin", F.explode(F.sequence(F.col("x0_t"), F.col("origin") - 1)).alias("t")).distinct()
     parts = [head, models]
     layers = nets.select("run", "layer")
     if window is not None:
@@ -139,15 +162,20 @@ def rollout_blocks(
             for name in ("rec_cells", "neigh_cells", "layer_cells")
         )
         cells = rec.size
+        before, state = warmup, net.start(len(blocks))
+        if resumed:
+            if any(x is None for x in blocks["x0"]):
+                raise ValueError(f"run {run}, layer {layer}: no kept state at or before step {origin}")
+            before = origin - int(blocks["x0_t"].iloc[0])
+            state = np.split(np.stack(blocks["x0"].to_numpy()).T, np.cumsum(net.sizes)[:-1])
         kept_units = len(blocks) * sum(net.sizes) if states else 0
-        check_system_size(cells, coef.shape[2], warmup + steps, max_bytes, kept_units)
+        check_system_size(cells, coef.shape[2], before + steps, max_bytes, kept_units)
 
         def values_of(kind: int) -> dict[int, np.ndarray]:
             part = pdf[pdf["kind"] == kind]
             return {int(t): np.asarray(v) for t, v in zip(part["t"], part["values"], strict=True)}
 
         true, coarse = values_of(2), values_of(3)
-        state = net.start(len(blocks))
         seen = np.zeros(cells) if y_init is None else np.asarray(y_init, dtype=float)
         times, outputs, passed = [], [], []
 
@@ -160,7 +188,7 @@ def rollout_blocks(
             out[rec] = np.einsum("bdn,bn->bd", coef, z)
             return out
 
-        for t in range(origin - warmup, origin + steps):
+        for t in range(origin - before, origin + steps):
             if not after:
                 seen = emit()
                 times.append(t)
@@ -192,12 +220,12 @@ def rollout_blocks(
 def rollout_deep(
     frames: DataFrame, nets: DataFrame, readouts: DataFrame, block_map: DataFrame,
     origins: DataFrame, warmup: int, steps: int, y_init: list[float] | None = None,
-    max_bytes: int = MAX_SYSTEM_BYTES, states: bool = False,
+    max_bytes: int = MAX_SYSTEM_BYTES, states: bool = False, kept: DataFrame | None = None,
 ) -> DataFrame:
     """Closed loop of a deep net: the output after step t is the value for t + 1."""
     return rollout_blocks(
         frames, nets, readouts, block_map, origins, warmup, steps, "quadratic",
-        after=True, y_init=y_init, max_bytes=max_bytes, states=states,
+        after=True, y_init=y_init, max_bytes=max_bytes, states=states, kept=kept,
     )
 
 

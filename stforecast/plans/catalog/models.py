@@ -20,6 +20,7 @@ from stforecast.plans.catalog import sql
 from stforecast.plans.catalog import sqlmodel as sm
 from stforecast.plans.catalog.features import DELAYED, DICTIONARY
 from stforecast.plans.catalog.registry import query
+from stforecast.session import settle
 from stforecast.sources.panel import flatten_cells, to_frames
 
 r = sql.r
@@ -241,6 +242,21 @@ def rollout_states_job(spark, sf_dir):
     return p.present(out.select("origin", "t", "block", F.posexplode("x").alias("unit", "x")))
 
 
+@query(
+    "rollout_resumed",
+    f"""{BASE}, {ONE.fit(f"stop - {max(BACK)}")},
+    {ONE.rollout(f"SELECT stop - unnest([{', '.join(map(str, BACK))}]) AS origin FROM pr", "origin", STEPS)}
+    SELECT origin, t, CAST(cell AS BIGINT) AS cell, {r('value')} AS yhat FROM afc WHERE t >= origin""",
+)
+def rollout_resumed_job(spark, sf_dir):
+    """Four origins whose states come from the whole history, through states kept along it."""
+    block_map, nets, inputs, frames, n, readouts = one_readouts(spark, sf_dir, max(BACK))
+    kept = settle(sg.segment_starts(inputs, nets, block_map, 0, n - LAST, -(-n // 8), 1e-12))
+    origins = rl.origin_table(spark.range(1).withColumnRenamed("id", "run"), [n - LAST - back for back in BACK])
+    out = rl.rollout_blocks(frames, nets, readouts, block_map, origins, 0, STEPS, kept=kept)
+    return p.present(out.where("t >= origin").select("origin", "t", "cell", "yhat"))
+
+
 @query("forecast_single_layer", _rollout_sql("SELECT stop AS origin FROM pr"))
 def forecast_single_layer_job(spark, sf_dir):
     n = p.frame_count(spark, sf_dir)

@@ -8,6 +8,7 @@ from stforecast.operators import blocks as bl
 from stforecast.operators import features as ft
 from stforecast.operators import readout as ro
 from stforecast.operators import rollout as rl
+from stforecast.operators import segments as sg
 from stforecast.operators import states as st
 from stforecast.operators import weights as wt
 from stforecast.plans import pipelines as pl
@@ -186,6 +187,26 @@ def test_rollout_states_lead_to_the_outputs(spark, setup, nets):
         rl.rollout_blocks(*args, max_bytes=rl.system_bytes(L, N, 27), states=True).count()
 
 
+def test_rollout_from_kept_states(spark, setup, nets):
+    frames, m, inputs = setup
+    readouts = ro.fit_block_readouts(inputs, nets, m, 0, 120, 10, [1e-2]).cache()
+    runs = spark.range(2).withColumnRenamed("id", "run")
+    kept = sg.segment_starts(inputs, nets, m, 0, 140, 30, 0.0).cache()
+    key = ["run", "layer", "origin", "t", "cell"]
+    for origin in (120, 131):  # right at a kept step, and eleven steps after one
+        origins = rl.origin_table(runs, [origin])
+        want = rl.rollout_blocks(frames, nets, readouts, m, origins, origin, 12).where(f"t >= {origin}")
+        late = frames.where("t >= 120")  # nothing before the kept step is read
+        got = rl.rollout_blocks(late, nets, readouts, m, origins, 0, 12, kept=kept)
+        assert got.agg(F.min("t")).first()[0] == 120
+        both = want.join(got.withColumnRenamed("yhat", "z"), key)
+        assert both.count() == want.count() == 2 * 12 * L
+        assert both.agg(F.max(F.abs(F.col("yhat") - F.col("z")))).first()[0] < 1e-9
+    for few in (kept.where("x0_t > 120"), kept.where("block <> 2 OR x0_t < 120")):
+        with pytest.raises(Exception, match="no kept state"):
+            rl.rollout_blocks(frames, nets, readouts, m, origins, 0, 12, kept=few).count()
+
+
 @pytest.mark.parametrize("mode", ["linear", "quadratic"])
 def test_coupled_rollout(spark, setup, nets, weights, mode):
     frames, m, inputs = setup
