@@ -235,19 +235,23 @@ def raw_recurrent_weights_job(spark, sf_dir):
 def recurrent_weights_job(spark, sf_dir):
     """Scaled entries in units of the largest one, and whether the radius is the asked one."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     scaled = wt.recurrent_weights(net_spec(spark, sf_dir))
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((20, 20))
-        m[pdf["i"], pdf["j"]] = pdf["w"]
-        radius = np.abs(np.linalg.eigvals(m)).max()
-        return pdf[["run", "i", "j"]].assign(
-            shape=pdf["w"] / pdf["w"].abs().max(), entries=len(pdf), radius_ok=abs(radius - 0.9) < 1e-9
-        )
-
-    return p.present(spread(scaled, "run").groupBy("run").applyInPandas(
+    def check(batches):
+        for nets, first in wt.whole_nets(batches):
+            counts = np.diff(np.append(first, nets.num_rows))
+            w = nets.column("w").to_numpy()
+            shape = w / np.repeat(np.maximum.reduceat(np.abs(w), first), counts)
+            right = np.abs(wt.spectral_radii(nets, first, np.full(len(first), 20)) - 0.9) < 1e-9
+            added = {"shape": shape, "entries": np.repeat(counts, counts), "radius_ok": np.repeat(right, counts)}
+            out = nets.select(["run", "i", "j"])
+            for name, values in added.items():
+                out = out.append_column(name, pa.array(values))
+            yield from out.to_batches()
+
+    return p.present(spread(scaled, "run", "layer").sortWithinPartitions("run", "layer").mapInArrow(
         check, "run long, i int, j int, shape double, entries long, radius_ok boolean"
     ))
 
