@@ -19,10 +19,10 @@ from stforecast.llm.shared import columns_of, give_back, query, table, written
 NO_ID = -(2**63)  # stands for a null doc_id inside joins
 SKETCH = 64
 MISSED = 1e-9  # chance that a pair right at the limit is not found by its sketches
-OFFERS = 24  # of a text's rarest lists, from which it is offered a member
+OFFERS = 12  # of a text's rarest lists, from which it is offered a member
 BEST = 3  # links each text tries first
 PIECE_BYTES = 2 << 20  # text hashed in one step
-ROUNDS = 2  # further rounds of such offers, of members of a list's largest component
+TRIES = 6  # links each text tries with the hubs of its lists
 SKETCH_SCHEMA = "id long, text_id string, n int, print binary, sketch array<long>"
 SET_SCHEMA = "id long, print binary, shingles binary"
 
@@ -235,13 +235,21 @@ def main_components(rows: DataFrame) -> DataFrame:
     return counts.groupBy("v").agg(F.max(F.struct("c", "component")).alias("x")).select("v", F.col("x.component").alias("main"))
 
 
-def offered_again(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b, n, pn) of nodes outside the main component of a list and the member of the main
-    component that a hash picks for this turn: one row for each row of the lists at most."""
+def offered_again(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes outside the main component of a list of full sets and the list's hub:
+    the member of the main component that comes first by its place, so with the fewest values that
+    are its own or rare. Copies edited in different places are closer to it than to each other.
+    One pair at most for each row of the lists, and TRIES of each node, those from most lists
+    first. Sizes and places leave a link possible."""
     known = rows.join(written(main_components(rows)), "v")
-    chosen = F.min(F.struct(F.xxhash64("v", "rep", F.lit(turn)).alias("h"), F.col("rep").alias("p"), F.col("n").alias("pn"))).alias("x")
-    picked = written(known.where("component = main").groupBy("v").agg(chosen).select("v", "x.p", "x.pn"))
-    return known.where("component <> main").join(picked, "v").select(F.col("rep").alias("a"), F.col("p").alias("b"), "n", "pn")
+    chosen = F.min(F.struct("place", F.xxhash64("v", "rep").alias("h"), F.col("rep").alias("p"),
+                            F.col("n").alias("pn"), F.col("most").alias("pmost"))).alias("x")
+    picked = written(known.where("component = main").groupBy("v").agg(chosen).select("v", "x.p", "x.pn", "x.pmost"))
+    pairs = known.where("component <> main").join(picked, "v").where(
+        sized("n", "pn", percent) & (F.col("n") <= F.col("pmost")) & (F.col("pn") <= F.col("most")))
+    counts = pairs.groupBy(F.col("rep").alias("a"), F.col("p").alias("b")).agg(F.count("*").alias("c"))
+    ranked = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    return counts.withColumn("r", F.row_number().over(ranked)).where(f"r <= {TRIES}").select("a", "b")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -262,10 +270,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
        listed: values of passages that many documents share fall out unless a node is made of them.
     3. Each node is offered the member that a hash picks from each of its OFFERS rarest lists;
        the BEST by union-sketch estimate are confirmed on the full sets. This joins large groups
-       without their pairs. In ROUNDS more rounds, nodes that are still outside a list's largest
-       component are offered members of it; what this leaves out the next step finds.
+       without their pairs; what it leaves out the next step finds.
     4. What lists still hold in several components is listed again by its full sets. In each
-       list, the nodes outside its most frequent component meet the nodes of other components
+       list, the nodes outside its most frequent component first meet its hub, see
+       ``offered_again``. Then those that are still outside meet the nodes of all other components
        that their sizes and their places in the list leave possible. A pair left out is inside
        one component or fails an exact bound; texts that share a passage and little else, and
        copies edited beyond the limit, fail them by the words of their own.
@@ -301,23 +309,26 @@ def _classes(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     members = written(lists.join(picked.select("v"), "v", "left_semi").select("rep").distinct().join(classes, "rep"))
     sets = written(full_sets(texts, members, width))
 
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     def best(pairs: DataFrame) -> DataFrame:
         """The BEST offers of each node by estimate."""
         ranked = Window.partitionBy("a").orderBy(F.desc("similar"), "b")
         fit = pairs.where(sized("n", "pn", percent)).select("a", "b").distinct()
         taken = sketch_filter(fit, nodes, k, percent).withColumn("r", F.row_number().over(ranked)).where(f"r <= {BEST}")
-        return written(taken.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return written(ordered(taken))
 
     tried = best(offered)
     joined = written(components(confirmed(tried, sets, percent)))
-    for turn in range(1, ROUNDS + 1):
-        again = best(offered_again(mixed(lists.where(F.col("turn") <= OFFERS), joined), turn))
-        tried, joined = tried.unionByName(again), written(extended(joined, written(confirmed(again, sets, percent))))
-
     apart = mixed(lists, joined).select(F.col("rep").alias("id")).distinct()
     full = written(shingle_rows(sets.join(written(apart), "id", "left_semi")))
-    lists = rare_lists(full, F.ceil(F.col("n") * percent / 100))
-    several = written(mixed(lists, joined).withColumn("most", largest_partner(percent)))
+    lists = rare_lists(full, F.ceil(F.col("n") * percent / 100)).withColumn("most", largest_partner(percent))
+    again = ordered(offered_again(mixed(lists, joined), percent))
+    again = written(again.join(tried, ["a", "b"], "left_anti"))
+    tried, joined = tried.unionByName(again), written(extended(joined, written(confirmed(again, sets, percent))))
+
+    several = written(mixed(lists, joined))
     few = several.join(written(main_components(several)), "v").where("component <> main")
     few = few.select(
         "v", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("component").alias("bc"),
@@ -326,8 +337,8 @@ def _classes(docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     rest = several.withColumn("class", size_class(F.col("n"))).join(written(few), ["v", "class"]).where(
         (F.col("component") != F.col("bc")) & sized("n", "bn", percent)
         & (F.col("n") <= F.col("bmost")) & (F.col("bn") <= F.col("most")))
-    rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    rest = written(sketch_filter(rest.join(tried.distinct(), ["a", "b"], "left_anti"), nodes, k, percent))
+    rest = ordered(rest.select(F.col("rep").alias("a"), "b"))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"))
     final = written(extended(joined, written(confirmed(rest, sets, percent))))
 
     grouped = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(

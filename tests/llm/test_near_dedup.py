@@ -125,3 +125,30 @@ def test_components_go_on_from_components(spark):
     assert got == {(r.node, r.component) for r in components(links).collect()}
     none = links.where(F.lit(False))
     assert extended(components(links), none).count() == len(got)
+
+
+def test_edited_copies_meet_their_hub(spark, monkeypatch):
+    """Copies edited in places of their own are linked with few others, and not compared with all."""
+    from stforecast.llm import near_dedup
+
+    draw = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for doc in range(400):
+        text = list(base)
+        for place in draw.sample(range(200), draw.randint(3, 7)):
+            text[place] = f"x{doc}_{place}"
+        rows.append((doc, " ".join(text)))
+    rows[200] = (200, " ".join(base))
+    compared = []
+    confirm = near_dedup.confirmed
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    out = near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
+    assert got == brute(rows, 4)
+    assert sum(compared) <= 6 * len(rows), compared
