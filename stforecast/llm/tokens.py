@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -109,21 +110,27 @@ class WordEncoder:
         """Ids of all texts in a row, and where each text starts in them (one more than texts)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        entries = list(map(self.entry, words))
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        n = len(words)
+        tails = np.zeros(n, np.uint32)
+        # a word that is an entry itself, as most are, needs no look at its letters
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, n)
+        others = np.flatnonzero(slots < 0).tolist()
+        entries = [self.entry(words[k]) for k in others]
         fresh = [w for w in {w for w, _ in entries} if w not in self.slot]
         if fresh and len(self.slot) + len(fresh) > WORDS_KEPT:
             self.forget()
+            others, entries = range(n), list(map(self.entry, words))
             fresh = list({w for w, _ in entries})  # all words of the piece, however many
         self.learn(fresh)
         if self.parted:  # their full stops may belong to a piece
-            own = [k for k, (w, tail) in enumerate(entries) if tail and w in self.parted]
-            self.learn([words[k] for k in own if words[k] not in self.slot])
-            for k in own:
-                entries[k] = words[k], 0
-        n = len(words)
-        slots = np.fromiter((self.slot[w] for w, _ in entries), np.int64, n)
-        tails = np.fromiter((tail for _, tail in entries), np.uint32, n)
+            own = [i for i, (w, tail) in enumerate(entries) if tail and w in self.parted]
+            self.learn([words[others[i]] for i in own if words[others[i]] not in self.slot])
+            for i in own:
+                entries[i] = words[others[i]], 0
+        if entries:
+            slots[others] = [self.slot[w] for w, _ in entries]
+            tails[others] = [tail for _, tail in entries]
         pool, start = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.start, np.int64)
         first, length = start[slots], start[slots + 1] - start[slots] + (tails > 0)
         index = coded.indices.to_numpy()

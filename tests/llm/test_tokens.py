@@ -173,3 +173,17 @@ def test_module_default():
 def test_a_path_is_taken_as_it_is(name):
     path = public_tokenizers.path(name)
     assert tokens.vocabulary_path(path) == path == tokens.vocabulary_path(name)
+
+
+def test_known_plain_words_are_looked_up_only(monkeypatch):
+    work = tokens.WordEncoder("word_bpe_49k.json")
+    looked = []
+    monkeypatch.setattr(tokens.WordEncoder, "entry", lambda self, word, old=tokens.WordEncoder.entry: looked.append(word) or old(self, word))
+    first = work.encode(pa.array(["some plain words", "Plain words, some."]))
+    looked.clear()
+    again = work.encode(pa.array(["some plain words", "Plain words, some."]))
+    assert sorted(looked) == ["Plain", "some.", "words,"]
+    assert all((x == y).all() for x, y in zip(first, again, strict=True))
+    texts = ["some plain words", "Plain words, some."]
+    ids, starts = again
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == work.whole(texts)
