@@ -20,6 +20,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def has_words(line: Column, least: int) -> Column:
+    """Whether a line has ``least`` words (WORDS) or more: looked at as far as the last of these, none kept."""
+    if least < 1:
+        return F.lit(True)
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    found = line.rlike(rf"\A{space}*+(?:{word}++{space}++){{{least - 1}}}{word}")
+    return (F.octet_length(line) >= 2 * least - 1) & found
+
+
 def chunks_of(text: Column, divisor: int, long_words: int) -> Column:
     """The chunks of a text in order: each with its text and whether it is a passage.
 
@@ -47,7 +56,7 @@ def chunks_of(text: Column, divisor: int, long_words: int) -> Column:
 
     return let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda lines: let(
         F.transform(lines, line_hash), lambda h: let(
-            F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORDS)) >= long_words),
+            F.transform(lines, lambda x: has_words(x, long_words)),
             lambda long: with_marks(lines, h, long))))
 
 

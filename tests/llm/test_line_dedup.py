@@ -93,3 +93,22 @@ def test_passages_of_odd_rows(clashing):
     assert by_id[3].text is None and by_id[4].text == "" and by_id[7].n_removed == 0
     assert (by_id[8].text, by_id[8].n_removed) == ("last", 12) and by_id[None].text == "A text of nobody"
     assert drop_repeated_passages(clashing.where("false")).count() == 0
+
+
+def test_long_lines_are_told_without_their_words(spark):
+    from pyspark.sql import functions as F
+
+    from stforecast.llm.line_dedup import has_words
+    from stforecast.llm.mixing import WORDS
+
+    draw = random.Random(3)
+    space = [" ", "\t", "  ", "\x0b", "\r", " \x0c "]
+    lines = ["", " ", "a", "a b", " a  b ", "a b c", "é 中文 \U0001f600"]
+    for n in (48, 49, 50, 51, 60):
+        for _ in range(6):
+            lines.append(draw.choice(["", " "]) + "".join(draw.choice("abé中") + draw.choice(space) for _ in range(n)))
+            lines.append(" ".join(["x"] * n))
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    for least in (0, 1, 2, 3, 50):
+        both = rows.select(has_words(F.col("line"), least).alias("got"), (F.regexp_count("line", F.lit(WORDS)) >= least).alias("want"))
+        assert all(r.got == r.want for r in both.collect()), least
