@@ -138,6 +138,16 @@ def test_regrid(panel_of, matrix_of):
         regrid_1d(panel_of(values), 3)
 
 
+def test_regrid_reads_computed_frames_once(spark):
+    # merged into the lambda, the scaled values would be computed again for every coarse cell
+    frames = spark.range(3).select(F.col("id").alias("t"), F.expr("array(id * 1D, 2D, 3D, 4D)").alias("values"))
+    scaled = frames.withColumn("values", F.zip_with("values", "values", lambda v, w: v * w))
+    coarse = regrid_1d_frames(regrid_1d_frames(scaled, 2, 4), 2, 2)
+    plan = coarse._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(" in plan and "slice(zip_with(" not in plan and "slice(transform(" not in plan
+    assert [list(r["values"]) for r in coarse.orderBy("t").collect()] == [[(t * t + 4 + 9 + 16) / 4] for t in range(3)]
+
+
 def test_regrid_2d_min_valid(spark):
     rows = [("s", 0, 0, x, y, None if x == 0 else float(y)) for x in range(2) for y in range(2)]
     grid = spark.createDataFrame(rows, "series string, layer int, t long, lon_idx int, lat_idx int, value double")

@@ -48,6 +48,22 @@ def setup(spark, panel_of):
     return frames, m, bl.gather_inputs(frames, m, keys=["run"])
 
 
+def null_arrays(rows, *names):
+    """Rows that send a null array to a Python task, for each column."""
+    return rows.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first().asDict()
+
+
+def test_rows_behind_a_net_hold_no_null_arrays(setup, nets):
+    # Spark walks the nulls of a list column again for every row that it adds to a batch
+    _, m, inputs = setup
+    names = [n for n in st.NET if n != "n_inputs"]
+    starts = sg.starts_of(sg.segment_starts(inputs, nets, m, 0, T, 80, 1e-8))
+    rows = st._placed(inputs, nets, m, 0, T, 80, 0, starts=starts)
+    assert set(null_arrays(rows, *names, "x0").values()) == {0}
+    assert rows.filter("t IS NULL AND size(w_w) > 0").count() == 2 * B * 2
+    assert rows.filter("t IS NOT NULL AND size(w_w) = 0").count() == 2 * B * T
+
+
 def dense(weights, run):
     """W and [rec | neigh] input matrix of a run."""
     w, win = np.zeros((N, N)), np.zeros((N, 4))
