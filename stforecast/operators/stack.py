@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stforecast.functions.numeric import NetStack, ridge_solutions, squared_evens
 from stforecast.operators.states import NET, check_mode, net_from_row, segment_rows
-from stforecast.session import broadcast_within, spread
+from stforecast.session import broadcast_within, filled, spread
 
 STACK = ["series", "layer", "block", "segment", "chunk"]
 # Weights of the nets that advance together in one task; their Gram sums are as large again.
@@ -53,7 +53,8 @@ def _placed(inputs, nets, block_map, start, stop, segment, overlap, chunk_bytes,
     ).select(
         "series", "layer", "block", "segment", "chunk", F.lit(None).cast("long").alias("t"), "run", *NET, *extra)
     rows = data.unionByName(heads, allowMissingColumns=True)
-    return spread(rows, *STACK).sortWithinPartitions(*STACK, F.col("t").asc_nulls_first(), "run")
+    rows = spread(rows, *STACK).sortWithinPartitions(*STACK, F.col("t").asc_nulls_first(), "run")
+    return filled(rows, *NET, *extra)
 
 
 def _stacks(heads: pd.DataFrame) -> list[tuple[list[int], NetStack]]:
@@ -214,7 +215,7 @@ def window_readouts(grams: DataFrame, windows: DataFrame, nets: DataFrame, ridge
     heads = blocks.join(per_run, "run").withColumn("bucket", F.lit(-1)).withColumn("i", F.lit(-1))
     keys = ["run", "layer", "block"]
     rows = grams.select(*keys, "bucket", "i", "row").unionByName(heads, allowMissingColumns=True)
-    rows = spread(rows, *keys).sortWithinPartitions(*keys, "bucket", "i")
+    rows = filled(spread(rows, *keys).sortWithinPartitions(*keys, "bucket", "i"), "windows")
 
     def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
         at, held = None, []

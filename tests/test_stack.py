@@ -44,6 +44,16 @@ def collected(df, value):
     return {(r.run, r.block, r.t): np.array(r[value]) for r in df.collect()}
 
 
+def test_rows_behind_nets_hold_no_null_arrays(setup, nets):
+    # Spark walks the nulls of a list column again for every row that it adds to a batch
+    _, m, inputs = setup
+    names = [n for n in st.NET if n != "n_inputs"]
+    rows = sk._placed(inputs, nets, m, 0, T, None, 0, sk.CHUNK_BYTES, ())
+    nulls = rows.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
+    assert set(nulls) == {0}
+    assert rows.filter("t IS NOT NULL").count() == B * (T + T - 20)
+
+
 @pytest.mark.parametrize("how", [{}, {"chunk_bytes": 2000}, {"segment": 30, "overlap": 30}])
 @pytest.mark.parametrize("after", [False, True])
 def test_states_equal_single_passes(spark, setup, nets, monkeypatch, how, after):
