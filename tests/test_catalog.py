@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", ["pca_fit_leading"])
+@pytest.mark.parametrize("name", ["pca_fit_leading", "pca_restore_leading"])
 def test_leading_components_lie_close(spark, tmp_path, name):
     """Eight coarse cells with variances one part in some thousand apart: none is the leading one."""
     rows = np.ones((1, 1))
