@@ -17,8 +17,8 @@ BLOCKS = 64  # candidate blocks that one task goes through for one query block
 DIMS = 8  # dimensions added between two prunings
 SCALE = 1024
 SCHEMA = "query_id long, vec_id long, score long"
-# sums of products of so many dimensions below this size are exact in a double
-EXACT = 2.0**53
+# types in which whole numbers below a size are exact, the fastest first
+EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**53))
 
 
 class Block:
@@ -33,6 +33,32 @@ class Block:
         self.rest = np.vstack([rest, np.zeros((1, len(ids)))]) * (1 + 1e-9)
 
 
+class Best:
+    """The k best (score, smaller id first) of all that is offered for each of some places."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.floor = k, floor.copy()  # the lowest score that can still enter, by place
+        self.last = np.full(len(floor), np.iinfo(np.int64).max)  # and with that score, the largest id
+        self.at, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+
+    def offer(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        floor = self.floor[at]
+        enters = (scores > floor) | ((scores == floor) & (ids <= self.last[at]))
+        met = np.zeros(len(self.floor), bool)
+        met[at[enters]] = True
+        old = met[self.at]
+        rest = self.at[~old], self.ids[~old], self.scores[~old]
+        at, ids, scores = (np.concatenate([kept[old], new[enters]]) for kept, new in
+                           ((self.at, at), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        full, stay = rank == self.k - 1, rank < self.k
+        self.floor[at[full]], self.last[at[full]] = scores[full], ids[full]
+        self.at, self.ids, self.scores = (
+            np.concatenate([kept, new[stay]]) for kept, new in zip(rest, (at, ids, scores), strict=True))
+
+
 class TopK:
     """The k best (score, smaller id first) of one query block over the candidate blocks seen."""
 
@@ -43,7 +69,7 @@ class TopK:
     def add(self, block: Block) -> None:
         dims = min(len(self.queries.columns), len(block.columns))  # a shorter vector ends in zeros
         top = max((np.abs(x).max(initial=0) for x in (self.queries.columns, block.columns)))
-        kind = np.float64 if float(top) ** 2 * max(dims, 1) < EXACT else np.int64
+        kind = np.float64 if float(top) ** 2 * max(dims, 1) < 2.0**53 else np.int64
         columns, wanted = block.columns[:dims].astype(kind), self.queries.columns[:dims].T.astype(kind)
         first = wanted[:, :DIMS] @ columns[:DIMS] if dims else np.zeros((len(wanted), len(block.ids)), kind)
         rows = np.arange(len(block.ids))
@@ -88,6 +114,20 @@ def narrow(matrix: np.ndarray) -> np.ndarray:
     return np.frombuffer(bytes([np.dtype(kind).itemsize]) + matrix.astype(kind).tobytes(), np.uint8)
 
 
+def exact_type(longest: float) -> type:
+    """The type for inner products of vectors whose lengths multiply to at most ``longest``: no
+    partial sum of their products is larger than that (Cauchy-Schwarz)."""
+    return next((kind for kind, size in EXACT if longest < size), np.int64)
+
+
+def padded(lists: pa.ListArray) -> np.ndarray:
+    """Whole numbers in lists as one matrix, with zeros behind the shorter ones."""
+    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    matrix = np.zeros((len(sizes), sizes.max()), np.int64)
+    matrix[np.arange(matrix.shape[1]) < sizes[:, None]] = flat
+    return matrix
+
+
 def unpacked(ids: bytes, matrix: bytes) -> Block:
     names = np.frombuffer(ids, np.int64)
     values = np.frombuffer(matrix[1:], f"<i{matrix[0]}")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stforecast.llm.exact_topk import EXACT, narrow
+from stforecast.llm.exact_topk import Best, exact_type, narrow, padded
 from stforecast.llm.shared import query, table, written
 
 SCALE = 256
@@ -18,6 +20,8 @@ ROWS = 8192  # candidates of a block
 ANCHORS = 512  # anchors of a block, one tree
 SLICE = 2048  # candidates whose bounds a task holds for all anchors of a tree
 BLOCKS = 64  # candidate blocks that one task goes through for one anchor block
+SAMPLE = 256  # candidates that tell what bounds would leave
+FEW, MOST = 1 / 16, 1 / 2  # shares of candidates left by the bounds: bounds are taken again, are left out
 PACKED = "first string, last string, ids binary, codes binary, matrix binary, wanted binary"
 FOUND = "anchor_id long, wanted_at int, vec_id long, score long"
 
@@ -37,7 +41,12 @@ class Block:
         values = np.frombuffer(matrix[1:], f"<i{matrix[0]}").reshape(len(names), -1)
         windows = np.frombuffer(wanted or b"", np.int64)
         windows = windows.reshape(len(names), -1, 2) if len(windows) else np.zeros((len(names), 0, 2), np.int64)
-        return cls(names, np.frombuffer(codes, np.int64), values.astype(np.int64), windows)
+        return cls(names, np.frombuffer(codes, np.int64), values, windows)
+
+
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """Length of each vector, a little above rounding."""
+    return np.linalg.norm(vectors.astype(float), axis=1) * (1 + 1e-9)
 
 
 def spanning_tree(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,92 +75,106 @@ class Miner:
     The root of the tree meets every candidate. A child's score differs from its parent's by at
     most the edge times the candidate's length; only candidates whose bounds reach a window (and
     what it still takes to enter it) are scored again, for the others the bounds go on down.
+    Anchors whose bounds leave most candidates are scored against whole slices, in one product,
+    until a sample of their scores tells that bounds would leave few.
     """
 
     def __init__(self, anchors: Block, k: int, same_label: bool):
         self.anchors, self.k, self.same = anchors, k, same_label
         self.order, self.parent, self.edge = spanning_tree(anchors.vectors)
-        windows = anchors.wanted.shape[1]
-        none = np.zeros(0, np.int64)
-        self.best = [[(none, none) for _ in range(windows)] for _ in anchors.ids]
+        self.longest = lengths_of(anchors.vectors).max(initial=0)
+        self.windows = anchors.wanted.shape[1]
+        self.found = Best(anchors.wanted[:, :, 0].ravel(), k)  # by anchor and window
+        self.ceiling = anchors.wanted[:, :, 1]
+        self.whole = self.parent < 0
         self.rescored = 0
 
     def add(self, block: Block) -> None:
         dims = min(self.anchors.vectors.shape[1], block.vectors.shape[1])  # a shorter vector ends in zeros
-        top = max(np.abs(x).max(initial=0) for x in (self.anchors.vectors, block.vectors))
-        kind = np.float64 if float(top) ** 2 * max(dims, 1) < EXACT else np.int64
-        anchors = self.anchors.vectors[:, :dims].astype(kind)
-        whole = np.sqrt((block.vectors.astype(float) ** 2).sum(1)) * (1 + 1e-9)
-        for a in range(0, len(block.ids), SLICE):
-            part = slice(a, a + SLICE)
-            self._slice(anchors, block.ids[part], block.labels[part], block.vectors[part, :dims].astype(kind), whole[part])
-
-    def _slice(self, anchors, ids, labels, vectors, lengths) -> None:
-        n = len(self.order)
-        low, high = np.empty((n, len(ids))), np.empty((n, len(ids)))
+        lengths = lengths_of(block.vectors)
+        kind = exact_type(self.longest * lengths.max(initial=0))
+        anchors, vectors = self.anchors.vectors[:, :dims].astype(kind), block.vectors[:, :dims].astype(kind)
+        cuts = {*range(0, len(block.ids), SLICE), len(block.ids)}
+        if not len(self.found.ids):  # a few candidates first: they tell what it takes to enter
+            cuts.add(min(SAMPLE, len(block.ids)))
+        for a, b in pairwise(sorted(cuts)):
+            part = slice(a, b)
+            self._slice(anchors, block.ids[part], block.labels[part], vectors[part], lengths[part], again=a == 0)
+
+    def _slice(self, anchors, ids, labels, vectors, lengths, again: bool) -> None:
+        low, high, asks = self._spans(labels)
+        whole = np.flatnonzero(self.whole)
+        scores = anchors[whole] @ vectors.T
+        self.rescored += scores.size - len(ids)  # the root's are no second scores
+        least, most = low[whole, None].astype(scores.dtype), high[whole, None].astype(scores.dtype)
+        hit = (scores >= least) & (scores <= most)
+        i, rows = np.divmod(np.flatnonzero(hit), len(ids))  # much faster than the nonzero of a matrix
+        wanted = self._wanted(whole[i], rows, ids, labels)
+        i, rows = i[wanted], rows[wanted]
+        self._offer(whole[i], ids[rows], scores[i, rows])
+        if len(whole) < len(self.order):
+            self._by_bounds(anchors, ids, labels, vectors, lengths, low, high, dict(zip(whole.tolist(), scores, strict=True)))
+        if again:
+            seen, reach = scores[:, :SAMPLE], (self.edge[whole] * lengths.mean())[:, None]
+            left = ((seen >= low[whole, None] - reach) & (seen <= high[whole, None] + reach)).mean(axis=1)
+            self.whole[whole[asks[whole] & (self.parent[whole] >= 0) & (left <= FEW)]] = False
+
+    def _by_bounds(self, anchors, ids, labels, vectors, lengths, low, high, scores) -> None:
+        """Bounds from the parents for all anchors without ``scores``, and the scores they ask for."""
+        bounds = {q: (row, row) for q, row in scores.items()}
+        found = []
         for q in self.order:
-            own, parent = anchors[q], self.parent[q]
-            wanted = (labels == self.anchors.labels[q]) == self.same
-            wanted &= ids != self.anchors.ids[q]
-            if parent < 0:
-                score = vectors @ own
-                low[q] = high[q] = score
-                rows = np.flatnonzero(wanted)
-                self._offer(q, ids[rows], score[rows].astype(np.int64))
+            if q in bounds:
                 continue
             reach = self.edge[q] * lengths
-            np.subtract(low[parent], reach, out=low[q])
-            np.add(high[parent], reach, out=high[q])
-            low[q] -= 1e-9 * np.abs(low[q])  # rounding along the path
-            high[q] += 1e-9 * np.abs(high[q])
-            hit = np.zeros(len(ids), bool)
-            for floor, ceiling in self._reaches(q):
-                hit |= (high[q] >= floor) & (low[q] <= ceiling)
-            rows = np.flatnonzero(hit & wanted)
-            if len(rows):
-                score = vectors[rows] @ own
-                self.rescored += len(rows)
-                low[q, rows] = high[q, rows] = score
-                self._offer(q, ids[rows], score.astype(np.int64))
-
-    def _reaches(self, q: int) -> list[list[int]]:
-        """Ranges of scores that can still enter a window of anchor q, overlapping ones as one."""
-        merged: list[list[int]] = []
-        ranges = []
-        for (floor, ceiling), (_, scores) in zip(self.anchors.wanted[q].tolist(), self.best[q], strict=True):
-            if len(scores) == self.k:
-                floor = max(floor, int(scores[-1]))
-            if floor <= ceiling:
-                ranges.append([floor, ceiling])
-        for floor, ceiling in sorted(ranges):
-            if merged and floor <= merged[-1][1] + 1:
-                merged[-1][1] = max(merged[-1][1], ceiling)
-            else:
-                merged.append([floor, ceiling])
-        return merged
-
-    def _offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        for w, (floor, ceiling) in enumerate(self.anchors.wanted[q].tolist()):
-            known, best = self.best[q][w]
-            if len(best) == self.k:
-                floor = max(floor, int(best[-1]))
-            inside = (scores >= floor) & (scores <= ceiling)
-            if not inside.any():
-                continue
-            known, best = np.concatenate([known, ids[inside]]), np.concatenate([best, scores[inside]])
-            order = np.lexsort((known, -best))[: self.k]
-            self.best[q][w] = known[order], best[order]
+            below, above = bounds[self.parent[q]]
+            below, above = below - reach, above + reach
+            below -= 1e-9 * np.abs(below)  # rounding along the path
+            above += 1e-9 * np.abs(above)
+            near = np.flatnonzero((above >= low[q]) & (below <= high[q]))
+            rows = near[self._wanted(q, near, ids, labels)]
+            most = len(near) > MOST * len(ids)
+            score = (vectors @ anchors[q])[rows] if most else vectors[rows] @ anchors[q]
+            self.rescored += len(rows)
+            below[rows] = above[rows] = score
+            found.append((np.full(len(rows), q), ids[rows], score))
+            bounds[q] = below, above
+            self.whole[q] = most
+        self._offer(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _wanted(self, q: int | np.ndarray, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Whether anchor q may take a row: of its label or of the others, and not its own."""
+        return ((labels[rows] == self.anchors.labels[q]) == self.same) & (ids[rows] != self.anchors.ids[q])
+
+    def _spans(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor the lowest and highest score that can still enter one of its windows, and
+        whether it may take any of these labels at all (nothing enters if not)."""
+        present = np.unique(labels)
+        asks = np.isin(self.anchors.labels, present)
+        if not self.same:
+            asks = ~asks | (len(present) > 1)
+        floor = self.found.floor.reshape(self.ceiling.shape)
+        free = (floor <= self.ceiling) & asks[:, None]
+        low, high = np.where(free, floor, 2**62).min(axis=1), np.where(free, self.ceiling, -(2**62)).max(axis=1)
+        return low, high, asks
+
+    def _offer(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of anchors q, to every window that they lie in."""
+        scores = scores.astype(np.int64)
+        floor = self.found.floor.reshape(self.ceiling.shape)
+        i, w = np.nonzero((scores[:, None] >= floor[q]) & (scores[:, None] <= self.ceiling[q]))
+        self.found.offer(q[i] * self.windows + w, ids[i], scores[i])
+
+    @property
+    def best(self) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """Ids and scores found, the best first, by anchor and window."""
+        places = [np.flatnonzero(self.found.at == at) for at in range(self.ceiling.size)]
+        pairs = [(self.found.ids[rows], self.found.scores[rows]) for rows in places]
+        return [pairs[a : a + self.windows] for a in range(0, len(pairs), self.windows)]
 
     def rows(self) -> pa.RecordBatch:
-        found = [(q, w, *pair) for q, windows in enumerate(self.best) for w, pair in enumerate(windows) if len(pair[0])]
-        sizes = [len(ids) for _, _, ids, _ in found]
-        none = np.zeros(0, np.int64)
-        columns = [
-            np.repeat(self.anchors.ids[[q for q, *_ in found]] if found else none, sizes),
-            np.repeat(np.array([w for _, w, *_ in found], np.int32), sizes),
-            np.concatenate([none, *(ids for *_, ids, _ in found)]),
-            np.concatenate([none, *(scores for *_, scores in found)]),
-        ]
+        anchor, window = np.divmod(self.found.at, self.windows)
+        columns = self.anchors.ids[anchor], window.astype(np.int32), self.found.ids, self.found.scores
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in FOUND.split(", ")])
 
 
@@ -164,15 +187,11 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
 
         def block(part: pa.Table) -> pa.RecordBatch:
             part = part.combine_chunks()
-            lists = part.column("e").to_pylist()
-            matrix = np.zeros((len(lists), max(map(len, lists))), np.int64)
-            for i, v in enumerate(lists):
-                matrix[i, : len(v)] = v
-            labels = part.column("label").to_pylist()
-            wanted = part.column("wanted").to_pylist()
-            flat = np.array([x for w in wanted for x in w], np.int64)
-            cells = [min(labels), max(labels), part.column("id").to_numpy().tobytes(), part.column("code").to_numpy().tobytes(),
-                     narrow(matrix).tobytes(), flat.tobytes()]
+            lists, wanted = (part.column(c).combine_chunks() for c in ("e", "wanted"))
+            ends = pc.min_max(part.column("label"))
+            cells = [ends["min"].as_py(), ends["max"].as_py(), part.column("id").to_numpy().tobytes(),
+                     part.column("code").to_numpy().tobytes(), narrow(padded(lists)).tobytes(),
+                     wanted.flatten().to_numpy().astype(np.int64).tobytes()]
             kinds = [pa.string()] * 2 + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], k) for x, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
@@ -191,6 +210,15 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
     return columns.mapInArrow(run, PACKED)
 
 
+def by_label(vectors: DataFrame, count: int, rows: int) -> DataFrame:
+    """At most ``count`` vectors in order of label, in no more partitions than it takes blocks of
+    ``rows``: every block of anchors is sent candidates of its own, so small blocks cost a shuffle."""
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a common label is spread by the second key
+    placed = vectors.repartitionByRange(max(1, min(tasks, -(-count // rows))), "label", F.xxhash64("id"))
+    return placed.sortWithinPartitions("label")
+
+
 def best_in_windows(anchors: DataFrame, candidates: DataFrame, k: int, same_label: bool) -> DataFrame:
     """``(anchor_id, wanted_at, vec_id, score)``: the best k candidates of each task for each window
     of each anchor, of its own label or of the others. Both tables are blocks that lie in order of
@@ -257,17 +285,16 @@ def mine_hard_negatives(
     usable = rows.where(
         "e IS NOT NULL AND NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
     ).select("id", "label", F.xxhash64("label").alias("code"), F.transform("e", lambda x: F.floor(x * scale)).alias("e"))
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.array().cast("array<bigint>").alias("wanted")
-    # a common label is spread by the second key
-    placed = written(usable.select("*", none).repartitionByRange(tasks, "label", F.xxhash64("id")).sortWithinPartitions("label"))
+    placed = written(by_label(usable.select("*", none), vectors.count(), ROWS))
     candidates = written(blocks(placed, ROWS).withColumn("block", F.monotonically_increasing_id()))
     anchors = written(usable.withColumnRenamed("id", "vec_id").where(is_anchor).groupBy("vec_id").agg(
         F.min(F.struct("label", "code", "e")).alias("a")).select(F.col("vec_id").alias("id"), "a.*"))
 
+    n_anchors = anchors.count()
+
     def in_blocks(asked: DataFrame) -> DataFrame:
-        ordered = asked.repartitionByRange(tasks, "label", F.xxhash64("id")).sortWithinPartitions("label")
-        return blocks(ordered, ANCHORS)
+        return blocks(by_label(asked, n_anchors, ANCHORS), ANCHORS)
 
     lowest, highest = F.lit(-(2**62)), F.lit(2**62)
     asked = anchors.withColumn("wanted", F.array(lowest, highest))

@@ -81,3 +81,53 @@ def test_tree_spans_and_bounds_spare_work():
         scores = block @ anchors[q]
         best = sorted(((-s, i + 1000) for i, s in enumerate(scores) if s >= 3 * 10**5))[:10]
         assert [(-s, i) for s, i in best] == list(zip(*(x.tolist() for x in miner.best[q][0][::-1]), strict=True))
+
+
+def best_of(block, ids, anchor, windows, k):
+    scored = sorted((-s, i) for s, i in zip((block @ anchor).tolist(), ids, strict=True))
+    return [[(i, -s) for s, i in scored if low <= -s <= high][:k] for low, high in windows]
+
+
+@pytest.mark.parametrize("size", [100, 10**5, 10**8])
+def test_anchors_that_bounds_do_not_help_are_scored_whole(size):
+    """Vectors in all directions lie too far apart for bounds; the sizes need three types of numbers."""
+    draw = np.random.default_rng(size)
+    anchors, block = (draw.integers(-size, size, (n, 24)) for n in (30, 9000))
+    wanted = np.array([[(3, 9), (-(2**40), 8), (1, 0)]] * 30) * np.array([size**2 // 3, size**2 // 3])
+    miner = Miner(Block(np.arange(30), np.zeros(30, int), anchors, wanted), 10, False)
+    for a in range(0, 9000, 4500):
+        part = slice(a, a + 4500)
+        miner.add(Block(np.arange(100, 9100)[part], np.ones(4500, int), block[part], wanted[:0]))
+    assert miner.whole.all()
+    got = [[list(zip(*(x.tolist() for x in pair), strict=True)) for pair in windows] for windows in miner.best]
+    assert got == [best_of(block, range(100, 9100), a, w, 10) for a, w in zip(anchors, wanted.tolist(), strict=True)]
+
+
+def test_bounds_are_taken_again_when_they_leave_few():
+    """Everything can enter an empty window, little a full one: then a close parent's bounds tell enough."""
+    draw = np.random.default_rng(5)
+    anchors = 100 + draw.integers(-2, 3, (40, 32))
+    block = draw.integers(-100, 101, (30_000, 32))
+    wanted = np.tile(np.array([[[-(2**62), 2**62]]]), (40, 1, 1))
+    miner = Miner(Block(np.arange(40), np.zeros(40, int), anchors, wanted), 10, False)
+    whole = []
+    for a in range(0, 30_000, 6000):
+        part = slice(a, a + 6000)
+        miner.add(Block(np.arange(100, 30_100)[part], np.ones(6000, int), block[part], wanted[:0]))
+        whole.append(int(miner.whole.sum()))
+    assert whole[0] == 40 and whole[-1] == 1 and miner.rescored < 0.5 * 40 * 30_000
+    got = [list(zip(*(x.tolist() for x in windows[0]), strict=True)) for windows in miner.best]
+    assert got == [best_of(block, range(100, 30_100), a, w, 10)[0] for a, w in zip(anchors, wanted.tolist(), strict=True)]
+
+
+def test_blocks_do_not_shrink_with_more_partitions(spark):
+    """Every block of anchors gets candidates of its own: small blocks would multiply what is shuffled."""
+    spark_parts = spark.conf.get("spark.sql.shuffle.partitions")
+    vectors = spark.range(2000).selectExpr("id", "CAST(id % 3 AS string) AS label")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 100)
+        assert hn.by_label(vectors, 2000, 512).rdd.getNumPartitions() == 4
+        spark.conf.set("spark.sql.shuffle.partitions", 3)
+        assert hn.by_label(vectors, 2000, 512).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", spark_parts)
