@@ -15,10 +15,13 @@ ROWS = 8192  # vectors of a candidate block
 QUERIES = 1024  # vectors of a query block
 BLOCKS = 64  # candidate blocks that one task goes through for one query block
 DIMS = 8  # dimensions added between two prunings
+SLICE = 512  # candidates whose sums a task holds for all queries of a block
+PAIRS = 64  # with fewer than one in so many pairs left, pairs go on one by one
 SCALE = 1024
 SCHEMA = "query_id long, vec_id long, score long"
 # types in which whole numbers below a size are exact, the fastest first
 EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**53))
+LOWEST = np.iinfo(np.int64).min
 
 
 class Block:
@@ -27,10 +30,10 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.columns = ids, vectors
         starts = range(0, vectors.shape[0], DIMS)
-        mass = [np.sqrt((vectors[d : d + DIMS].astype(float) ** 2).sum(0)) for d in starts]
-        rest = np.sqrt(np.cumsum((np.array(mass) ** 2)[::-1], axis=0)[::-1]) if mass else np.zeros((0, len(ids)))
-        # the length of what is still to come, a little above the rounding error
-        self.rest = np.vstack([rest, np.zeros((1, len(ids)))]) * (1 + 1e-9)
+        mass = [(vectors[d : d + DIMS].astype(float) ** 2).sum(0) for d in starts]
+        rest = np.sqrt(np.cumsum(mass[::-1], axis=0)[::-1]) if mass else np.zeros((0, len(ids)))
+        # the length of what is still to come, a little above the rounding error of single precision
+        self.rest = np.vstack([rest, np.zeros((1, len(ids)))]) * (1 + 1e-6)
 
 
 class Best:
@@ -64,46 +67,63 @@ class TopK:
 
     def __init__(self, queries: Block, k: int):
         self.queries, self.k = queries, k
-        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries.ids]
+        self.best = Best(np.full(len(queries.ids), LOWEST), k)
 
     def add(self, block: Block) -> None:
         dims = min(len(self.queries.columns), len(block.columns))  # a shorter vector ends in zeros
-        top = max((np.abs(x).max(initial=0) for x in (self.queries.columns, block.columns)))
-        kind = np.float64 if float(top) ** 2 * max(dims, 1) < 2.0**53 else np.int64
+        kind = exact_type(self.queries.rest[0].max(initial=0) * block.rest[0].max(initial=0))
         columns, wanted = block.columns[:dims].astype(kind), self.queries.columns[:dims].T.astype(kind)
-        first = wanted[:, :DIMS] @ columns[:DIMS] if dims else np.zeros((len(wanted), len(block.ids)), kind)
-        rows = np.arange(len(block.ids))
-        for q, own in enumerate(self.queries.ids):
-            self._search(q, wanted[q], first[q], rows[block.ids != own], columns, block, dims)
-
-    def _search(self, q, vector, score, alive, columns, block, dims) -> None:
-        ids, scores = self.best[q]
-        floor = scores[-1] if len(scores) == self.k else None
-        score = score[alive]
-        for step, d in enumerate(range(DIMS, dims, DIMS), 1):
-            bound = score + self.queries.rest[step][q] * block.rest[step][alive]
-            slack = 1e-6 + 1e-9 * np.abs(score)
-            if floor is None and len(alive) > self.k:  # what the k-th best has for sure
-                reached = np.partition(2 * score - bound - slack, -self.k)[-self.k]
-            else:
-                reached = -np.inf if floor is None else floor
-            stay = bound + slack >= reached
-            if not stay.all():
-                alive, score = alive[stay], score[stay]
-            if not len(alive):
-                return
-            score = score + vector[d : d + DIMS] @ columns[d : d + DIMS, alive]
-        ids, scores = np.concatenate([ids, block.ids[alive]]), np.concatenate([scores, score.astype(np.int64)])
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.best[q] = ids[order], scores[order]
+        for a in range(0, len(block.ids), SLICE):
+            part = slice(a, a + SLICE)
+            self._search(wanted, columns[:, part], block.ids[part], block.rest[:, part])
+
+    def _search(self, wanted, columns, ids, rest) -> None:
+        """All pairs together while many are left, then pairs alone, DIMS dimensions at a time."""
+        dims, own, floor = len(columns), self.queries.rest, self.best.floor
+        need = floor - 1e-6 * (1 + np.abs(floor.astype(float)))  # rounding
+        at = self._first_test(dims, need, rest)
+        score = wanted[:, :at] @ columns[:at]
+        near = self._reached(score, ids) if at == dims else None
+        while near is None:
+            near = score >= self._bounds(need, at // DIMS, rest, score.dtype)
+            if PAIRS * np.count_nonzero(near) > near.size:
+                score += wanted[:, at : at + DIMS] @ columns[at : at + DIMS]
+                at = min(at + DIMS, dims)
+                near = self._reached(score, ids) if at == dims else None
+        q, c = np.divmod(np.flatnonzero(near), len(ids))  # much faster than the nonzero of a matrix
+        other = ids[c] != self.queries.ids[q]
+        q, c = q[other], c[other]
+        score = score[q, c]
+        for step, d in enumerate(range(at, dims, DIMS), at // DIMS + 1):
+            score = score + (wanted[q, d : d + DIMS] * columns[d : d + DIMS, c].T).sum(axis=1)
+            stay = score >= need[q] - own[step, q] * rest[step, c]
+            q, c, score = q[stay], c[stay], score[stay]
+        self.best.offer(q, ids[c], score.astype(np.int64))
+
+    def _first_test(self, dims: int, need: np.ndarray, rest: np.ndarray) -> int:
+        """The dimensions after which a usual pair with a sum of nothing falls out (all, if none does)."""
+        steps = range(1, -(-dims // DIMS))
+        usual = (step for step in steps if self.queries.rest[step].mean() * rest[step].mean() < need.mean())
+        return min(DIMS * next(usual, dims), dims)
+
+    def _bounds(self, need: np.ndarray, step: int, rest: np.ndarray, kind: np.dtype) -> np.ndarray:
+        """The sum that each pair must have by now, to reach what it takes with the lengths that remain."""
+        real = np.float32 if kind == np.float32 else np.float64
+        bounds = np.outer(self.queries.rest[step].astype(real), rest[step].astype(real))
+        return np.subtract(need.astype(real)[:, None], bounds, out=bounds)
+
+    def _reached(self, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether a whole score can be among the k best, of all seen or of these alone."""
+        floor = self.best.floor
+        if (floor == LOWEST).any():
+            among = self.k + np.unique(ids, return_counts=True)[1].max()  # with the rows of a query's own id
+            if among < len(ids):
+                floor = np.maximum(floor, np.partition(score, -among, axis=1)[:, -among])
+        return score >= floor.astype(score.dtype)[:, None]
 
     def rows(self) -> pa.RecordBatch:
-        sizes = [len(ids) for ids, _ in self.best]
-        arrays = [
-            np.repeat(self.queries.ids, sizes),
-            *(np.concatenate([np.zeros(0, np.int64), *(pair[i] for pair in self.best)]) for i in (0, 1)),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["query_id", "vec_id", "score"])
+        columns = self.queries.ids[self.best.at], self.best.ids, self.best.scores
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
 
 
 def narrow(matrix: np.ndarray) -> np.ndarray:
@@ -131,35 +151,28 @@ def padded(lists: pa.ListArray) -> np.ndarray:
 def unpacked(ids: bytes, matrix: bytes) -> Block:
     names = np.frombuffer(ids, np.int64)
     values = np.frombuffer(matrix[1:], f"<i{matrix[0]}")
-    return Block(names, values.reshape(-1, len(names)).astype(np.int64))
+    return Block(names, values.reshape(-1, len(names)))
 
 
 def blocks(vectors: DataFrame, rows: int) -> DataFrame:
     """Vectors of each partition in blocks of at most ``rows``: ids and the transposed matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        held: list[pa.Table] = []
 
-        def block(ids: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
-            width = max(map(len, values))
-            matrix = np.zeros((width, len(ids)), np.int64)
-            for i, v in enumerate(values):
-                matrix[: len(v), i] = v
-            arrays = [pa.array([x], pa.binary()) for x in (ids.tobytes(), narrow(matrix).tobytes())]
-            return pa.RecordBatch.from_arrays(arrays, ["ids", "matrix"])
+        def block(part: pa.Table) -> pa.RecordBatch:
+            matrix = narrow(padded(part.column("e").combine_chunks()).T)
+            cells = part.column("vec_id").to_numpy().tobytes(), matrix.tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in cells], ["ids", "matrix"])
 
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            at = at - at[0]
-            held.append((ids, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
-            while sum(len(i) for i, _ in held) >= rows:
-                ids, values = np.concatenate([i for i, _ in held]), [v for _, vs in held for v in vs]
-                yield block(ids[:rows], values[:rows])
-                held = [(ids[rows:], values[rows:])]
-        ids, values = [i for i, _ in held if len(i)], [v for _, vs in held for v in vs]
-        if values:
-            yield block(np.concatenate(ids), values)
+            whole = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            while len(whole) >= rows:
+                yield block(whole.slice(0, rows))
+                whole = whole.slice(rows)
+            held = [whole]
+        if held and len(held[0]):
+            yield block(held[0])
 
     return vectors.mapInArrow(run, "ids binary, matrix binary")
 
@@ -177,8 +190,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     Candidates lie in vertical blocks. Every query block goes to every candidate block, not
     every row to every row. A task goes through its candidate blocks of one query block in turn,
     adds DIMS dimensions at a time, and keeps only the candidates whose sum so far plus the
-    product of the remaining lengths (Cauchy-Schwarz) reaches the k-th best found. Each task then
-    gives k rows a query, of which a last step takes the best.
+    product of the remaining lengths (Cauchy-Schwarz) reaches the k-th best found. All pairs of
+    a slice go on together, as products of matrices, while many of them are left; dimensions
+    before the first bound that a usual pair misses are added at once. Each task then gives k
+    rows a query, of which a last step takes the best.
     """
     whole = F.col("embedding").cast("array<double>")
     usable = written(vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), whole.alias("e")).where(
